@@ -62,7 +62,7 @@ def action_consistency(frames: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max("dims").alias("dims"),
         F.avg(F.when(some, far(F.slice("v", 1, 3), 0.2))).alias("p"),
         F.avg(F.when(some, far(F.slice("v", 4, 3), 1.0))).alias("r"),
-        F.avg(F.least(F.get("v", F.lit(6)), F.lit(0.5)) / 0.5).alias("g"),
+        F.avg(F.when(some, F.least(F.get("v", F.lit(6)), F.lit(0.5)) / 0.5)).alias("g"),
         F.avg(F.when(some, far(F.col("v"), 0.5))).alias("any"))
     full = 0.4 * (1.0 - F.col("p")) + 0.3 * (1.0 - F.col("r")) + 0.3 * (1.0 - F.col("g") * 0.5)
     value = F.when(F.col("n") < 2, F.lit(0.5)).when(F.col("dims") >= 7, clip(full)).otherwise(clip(1.0 - F.col("any")))
