@@ -288,7 +288,7 @@ LAGS = range(-5, 6)
 @query("cross_corr", f"""WITH {FRAMES}, st AS (SELECT episode_index, avg(a0) mx, stddev_pop(a0) sx, avg(a3) my, stddev_pop(a3) sy FROM fr GROUP BY 1),
 z AS (SELECT fr.*, (a0 - mx) / CASE WHEN sx > 1e-10 THEN sx ELSE 1 END zx, (a3 - my) / CASE WHEN sy > 1e-10 THEN sy ELSE 1 END zy FROM fr JOIN st USING (episode_index)),
 p AS (SELECT {EPC}, n, {", ".join(f"{'lead' if k >= 0 else 'lag'}(zx, {abs(k)}) OVER w * zy c{k + 5}" for k in LAGS)} FROM z WINDOW w AS {W}),
-g AS (SELECT {EPC}, n, {", ".join(f"sum(c{k + 5}) / n g{k + 5}" for k in LAGS)} FROM p GROUP BY ALL),
+g AS (SELECT {EPC}, n, {", ".join(f"sum(c{k + 5}) / n g{k + 5}" for k in LAGS)} FROM p GROUP BY {EPC}, n),
 s AS (SELECT {EPC}, n, unnest([{", ".join(f"g{k + 5}" for k in LAGS)}]) v, unnest([{", ".join(map(str, LAGS))}]) lag FROM g)
 SELECT {SQL_EP}{I('n', 'n')}, {R('v', 'peak')}, {I('lag', 'lag')}, 5 AS lag_range FROM (SELECT *, row_number() OVER (PARTITION BY episode_index ORDER BY v DESC, lag) r FROM s) WHERE r = 1""".replace("5 AS lag_range", "CAST(5 AS BIGINT) AS lag_range"))
 def _(spark, sf):
@@ -815,15 +815,15 @@ def _(spark, sf):
     return stats.task_counts(e)
 
 
-@query("episode_task_map", f"WITH {FRAMES} SELECT dataset_id, {I('episode_index', 'episode_index')}, {I('CASE WHEN episode_index % 2 = 0 THEN task_index + 100 ELSE task_index END', 'task_index')} FROM fr WHERE frame_index = 0")
+@query("episode_task_map", f"WITH {FRAMES} SELECT dataset_id, {I('episode_index', 'episode_index')}, {I('CASE WHEN n > 66 THEN task_index + 100 ELSE task_index END', 'task_index')} FROM fr WHERE frame_index = 0")
 def _(spark, sf):
-    meta = lengths(spark, sf).filter("episode_index % 2 = 0").select("dataset_id", "episode_index", (F.col("task_index") + 100).alias("task_index"))
+    meta = lengths(spark, sf).filter("n_frames > 66").select("dataset_id", "episode_index", (F.col("task_index") + 100).alias("task_index"))
     return relations.episode_task_map(meta, frames(spark, sf))
 
 
 @query("episodes_of_tasks", f"WITH {EPISODES} SELECT {SQL_EP}{I('n_frames', 'n_frames')} FROM ep WHERE task_index IN (1, 3)")
 def _(spark, sf):
-    t = task_table(frames(spark, sf)).filter(F.col("task_index") % 2 == 1)
+    t = task_table(frames(spark, sf)).filter(F.col("task_description").isin("task 1", "task 3"))
     return relations.episodes_of_tasks(lengths(spark, sf), t)
 
 
@@ -880,19 +880,19 @@ def _(spark, sf):
     return relations.first_per_key(f, EP, ["frame_index"]).drop("frame_index")
 
 
-@query("id_sets", f"""WITH {EPISODES}, a AS (SELECT DISTINCT episode_index e FROM ep), b AS (SELECT DISTINCT vec_id e FROM embeddings WHERE vec_id % 3 = 0)
+@query("id_sets", f"""WITH {EPISODES}, a AS (SELECT DISTINCT episode_index e FROM ep), b AS (SELECT DISTINCT vec_id * 2 e FROM embeddings)
 SELECT {I('e', 'episode_index')}, 'both' AS side FROM (SELECT e FROM a INTERSECT SELECT e FROM b) UNION ALL SELECT {I('e', 'episode_index')}, 'missing' FROM (SELECT e FROM b EXCEPT SELECT e FROM a)""")
 def _(spark, sf):
     a = lengths(spark, sf).select("episode_index")
-    b = table(spark, sf, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("episode_index"))
+    b = table(spark, sf, "embeddings").select((F.col("vec_id") * 2).alias("episode_index"))
     both = relations.id_intersection(a, b, ["episode_index"]).withColumn("side", F.lit("both"))
     return both.unionByName(relations.id_difference(b, a, ["episode_index"]).withColumn("side", F.lit("missing")))
 
 
-@query("merge_missing", f"WITH {EPISODES} SELECT {SQL_EP}{I('CASE WHEN episode_index % 2 = 0 THEN 0 ELSE n_frames END', 'n_frames')} FROM ep")
+@query("merge_missing", f"WITH {EPISODES} SELECT {SQL_EP}{I('CASE WHEN n_frames > 66 THEN 0 ELSE n_frames END', 'n_frames')} FROM ep")
 def _(spark, sf):
     e = lengths(spark, sf)
-    cached = e.filter("episode_index % 2 = 0").withColumn("n_frames", F.lit(0).cast("long"))
+    cached = e.filter("n_frames > 66").withColumn("n_frames", F.lit(0).cast("long"))
     return relations.merge_missing(e, cached, EP)
 
 

@@ -1,8 +1,11 @@
 """Result tables: nested reports and keyed materialisation."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motionlake.operators.chunks import shared_folder
 from motionlake.schema import EP
 
 
@@ -49,3 +52,20 @@ def materialise_results(requests: DataFrame, path: str, compute, version: str =
     return spark.read.parquet(path).join(keyed.select("result_key"), "result_key", "left_semi")
 
 
+
+
+def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all available input into a table of the shared folder; return the last state.
+
+    In complete mode each batch replaces the table, so the last one holds the result.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    q = (stream.writeStream.outputMode(mode).foreachBatch(land).option("checkpointLocation", f"{folder}/state")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
