@@ -77,9 +77,9 @@ def one_decimal(x) -> Column:
     """
     x = c(x).cast("double")
     s = x * 8.0 + x * 2.0
-    rest = s - F.floor(s) + (x * 2.0 - (s - x * 8.0))
+    rest = (s - F.floor(s) - 0.5) + (x * 2.0 - (s - x * 8.0))
     low = F.floor(s).cast("long")
-    r = F.when(rest > 0.5, low + 1).when(rest < 0.5, low).otherwise(low + low % 2)
+    r = F.when(rest > 0, low + 1).when(rest < 0, low).otherwise(low + low % 2)
     return F.concat(F.floor(r / 10).cast("long").cast("string"), F.lit("."), (r % 10).cast("string"))
 
 

@@ -2,13 +2,16 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions.vectors import c, clip, last, minus, motion, norm
 from motionlake.operators.chunks import (
-    attach, by_frame, chunk_of, chunked, episode_lengths, numbered, own, scan, spread_join,
+    attach, by_frame, chunk_of, chunked, episode_lengths, materialise, numbered, own, scan, spread_join,
 )
+from motionlake.operators.spectrum import low_power
 from motionlake.schema import EP, TASK
 
 
@@ -295,33 +298,33 @@ def local_minima(frames: DataFrame, value: str, floor_by=None) -> DataFrame:
     return hit.select(*EP, F.floor((F.col("_start") + F.col("frame_index")) / 2).cast("long").alias("frame_index"), value)
 
 
-def spectral_low_share(frames: DataFrame) -> DataFrame:
+def spectral_low_share(frames: DataFrame, in_task: int = 1 << 20) -> DataFrame:
     """Share of velocity power in the lower half of the spectrum: (episode, spectral).
 
-    Dimensions are scaled to unit variance. The Fourier transform of one dimension of one
-    episode is the unit of work (one array of doubles); power is summed in Spark.
+    Dimensions are scaled to unit variance. Up to ``in_task`` frames, one dimension of one
+    episode is transformed in a task; longer ones go through ``spectrum.low_power``, which
+    never holds a whole series. Runs jobs.
     """
-    import numpy as np
-    import pandas as pd
-
-    d = own(derivatives(frames)).select(*EP, "frame_index", F.posexplode("action").alias("dim", "x"), "vel")
-    d = d.withColumn("v", F.get("vel", F.col("dim")))
-    series = d.groupBy(*EP, "dim").agg(
-        F.stddev_pop("x").alias("_s"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("frame_index", "v")))), lambda t: t["v"]).alias("_v"))
+    lengths = materialise(episode_lengths(frames))
+    d = attach(own(derivatives(frames)), lengths, ["n_frames"]).select(*EP, "n_frames", "frame_index", F.posexplode("action").alias("dim", "x"), "vel")
+    d = materialise(d.select(*EP, "n_frames", "frame_index", "dim", "x", F.get("vel", F.col("dim")).alias("v")))
+    scale = d.groupBy(*EP, "dim").agg(F.stddev_pop("x").alias("s"))
+    scale = scale.select(*EP, "dim", F.when(F.col("s") < 1e-8, F.lit(1.0)).otherwise(F.col("s") * F.col("s")).alias("s2"))
 
     @F.pandas_udf("struct<low double, total double>")
     def power(v: pd.Series) -> pd.DataFrame:
-        low, total = [], []
-        for x in v:
-            p = np.abs(np.fft.rfft(np.asarray(x, dtype=float))) ** 2 if len(x) else np.zeros(1)
-            low.append(float(p[:len(p) // 2].sum()))
-            total.append(float(p.sum()))
-        return pd.DataFrame({"low": low, "total": total})
-
-    scale = F.when(F.col("_s") < 1e-8, F.lit(1.0)).otherwise(F.col("_s"))
-    s = series.select(*EP, (scale * scale).alias("_s2"), power("_v").alias("p"))
-    sums = s.groupBy(*EP).agg(F.sum(F.col("p.low") / F.col("_s2")).alias("low"), F.sum(F.col("p.total") / F.col("_s2")).alias("total"))
+        p = [np.abs(np.fft.rfft(np.asarray(x, dtype=float))) ** 2 if len(x) else np.zeros(1) for x in v]
+        return pd.DataFrame({"low": [float(x[:len(x) // 2].sum()) for x in p], "total": [float(x.sum()) for x in p]})
+
+    short = d.filter(F.col("n_frames") <= in_task).groupBy(*EP, "dim").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("frame_index", "v")))), lambda t: t["v"]).alias("_v"))
+    parts = short.select(*EP, "dim", power("_v").alias("p")).select(*EP, "dim", "p.low", "p.total")
+    # lengths hold one row per episode: asking whether a long one exists is cheap
+    if not lengths.filter(F.col("n_frames") > in_task).isEmpty():
+        long_ = d.filter((F.col("n_frames") > in_task) & F.col("v").isNotNull()).select(
+            *EP, "dim", (F.col("n_frames") - 1).alias("n"), (F.col("frame_index") - 1).alias("t"), "v")
+        parts = parts.unionByName(low_power(long_, [*EP, "dim"], EP))
+    sums = parts.join(scale, [*EP, "dim"]).groupBy(*EP).agg(F.sum(F.col("low") / F.col("s2")).alias("low"), F.sum(F.col("total") / F.col("s2")).alias("total"))
     return sums.select(*EP, F.when(F.col("total") > 1e-10, F.col("low") / F.col("total")).otherwise(F.lit(0.5)).alias("spectral"))
 
 

@@ -229,7 +229,7 @@ def _(spark, sf):
 @query("phase_report_json")
 def _(spark, sf):
     r = sinks.episode_reports(cycles(spark, sf), members(spark, sf), segmented(spark, sf), features(spark, sf), reasons(spark, sf))
-    return r.select(*EP, F.to_json(F.struct("phases", "reasons", "shape_features")).alias("report"))
+    return r.select(*EP, "page", F.to_json(F.struct("phases", "reasons", "shape_features")).alias("report"))
 
 
 @query("enrichment_plan")

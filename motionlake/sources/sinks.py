@@ -5,21 +5,30 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.operators.chunks import shared_folder
-from motionlake.schema import EP
+from motionlake.operators.chunks import numbered, shared_folder
+from motionlake.schema import CHUNK, EP
 
 
-def episode_reports(cycles: DataFrame, members: DataFrame, phases: DataFrame, features: DataFrame, reasons: DataFrame) -> DataFrame:
-    """One nested row per episode: phases, features, reasons in signal order, cluster.
+def episode_reports(cycles: DataFrame, members: DataFrame, phases: DataFrame, features: DataFrame, reasons: DataFrame, page: int = 1000) -> DataFrame:
+    """Nested rows per episode: phases, reasons in signal order, features, cluster.
 
-    Phases and reasons of one episode are few: they are bounded by its gripper cycles.
+    A row holds at most ``page`` phases and ``page`` reasons; an episode with more of them
+    continues on further pages, so no row grows with the episode and nothing is left out.
     """
-    p = phases.groupBy(*EP).agg(F.array_sort(F.collect_list(F.struct("start", "end", "phase", "cycle"))).alias("phases"))
-    r = reasons.groupBy(*EP).agg(F.array_sort(F.collect_list(F.struct("ordinal", "signal", "phase", "cycle", "feature", "magnitude", "explanation"))).alias("reasons"))
+    def paged(rows, order, cells, name):
+        n = numbered(rows.withColumn("_o", order), EP, ["_o", *[c for c in cells if c != "end"]], F.floor(F.col("_o") / CHUNK).cast("long"), "_rn")
+        n = n.withColumn("page", F.floor(F.col("_rn") / page).cast("long"))
+        return n.groupBy(*EP, "page").agg(F.array_sort(F.collect_list(F.struct("_rn", *cells))).alias("_c")).select(
+            *EP, "page", F.transform("_c", lambda x: F.struct(*[x[c].alias(c) for c in cells])).alias(name))
+
+    p = paged(phases, F.col("start"), ["start", "end", "phase", "cycle"], "phases")
+    r = paged(reasons, F.col("ordinal").cast("long"), ["ordinal", "signal", "phase", "cycle", "feature", "magnitude", "explanation"], "reasons")
+    nested = p.join(r, [*EP, "page"], "full")
+    flagged = reasons.select(*EP).distinct().withColumn("is_anomaly", F.lit(True))
     f = features.select(*EP, F.struct(*[c for c in features.columns if c not in EP]).alias("shape_features"))
-    j = cycles.select(*EP, "n_frames", "num_cycles").join(f, EP).join(p, EP, "left").join(r, EP, "left")
-    j = j.join(members.select(*EP, "cohort", "cluster"), EP, "left")
-    return j.withColumn("is_anomaly", F.coalesce(F.size("reasons") > 0, F.lit(False)))
+    one = (cycles.select(*EP, "n_frames", "num_cycles").join(f, EP).join(members.select(*EP, "cohort", "cluster"), EP, "left")
+           .join(flagged, EP, "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False))))
+    return one.join(nested, EP, "left").withColumn("page", F.coalesce("page", F.lit(0)))
 
 
 def write_report(reports: DataFrame, path: str, mode: str = "overwrite") -> None:
