@@ -214,10 +214,10 @@ def _(spark, sf):
     return metadata.probe_summary(manifest(spark, sf))
 
 
-@query("episodes_per_file")
+@query("episodes_per_file", "SELECT doc_id AS episode_index, source AS file, CAST(count(*) OVER (PARTITION BY source) AS BIGINT) AS episodes_in_file FROM documents")
 def _(spark, sf):
-    f = readers.with_file(frames(spark, sf)).withColumn("file_path", F.element_at(F.split("file_path", "/"), -1))
-    return stats.episodes_per_file(f).select(*EP, "episodes_in_file")
+    d = table(spark, sf, "documents").select(F.lit("d").alias("dataset_id"), F.lit(0).alias("task_index"), F.col("doc_id").alias("episode_index"), F.col("source").alias("file_path"))
+    return stats.episodes_per_file(d).select("episode_index", "file", "episodes_in_file")
 
 
 @query("catalogue", "SELECT 'org/' || p_name AS repo_id, p_partkey AS downloads, CAST(p_size AS BIGINT) AS likes FROM part WHERE contains(lower(p_name), 'e') ORDER BY 2 DESC")
@@ -416,7 +416,13 @@ def _(spark, sf):
     return metadata.catalog_card(table(spark, sf, "part").select("p_partkey", text.alias("description"))).drop("description")
 
 
-@query("dataset_overview")
+@query("dataset_overview", f"""WITH {README_MD}, {SUMMARY_SQL}, g AS (SELECT doc_id, nullif(left(string_agg(s, ' ' ORDER BY o), 500), '') r FROM y WHERE iy = 0 AND s NOT IN ('', '---') AND NOT starts_with(s, '#') AND NOT starts_with(s, '|') GROUP BY 1),
+m AS (SELECT doc_id, x AS text, {TAG(metadata.ENVIRONMENT).replace('text', 'x')} env, {TAG(metadata.PERSPECTIVE).replace('text', 'x')} per, nullif(concat_ws(',', {", ".join(f"CASE WHEN {ANYT(w).replace('text', 'x')} THEN '{n}' END" for n, w in metadata.MODALITY)}), '') mo,
+  replace(regexp_extract(x, '{HP}', 1), ',', '') h, lower(regexp_extract(x, '{HP}', 0)) ht, replace(regexp_extract(x, '{CP}', 1), ',', '') c, lower(regexp_extract(x, '{CP}', 0)) ct FROM rd)
+SELECT CAST(s_suppkey AS VARCHAR) AS dataset_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'rgb,depth,actions' WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 1 THEN 'rgb,actions' WHEN s_suppkey % 2 = 0 THEN 'actions' ELSE coalesce(mo, 'rgb') END AS modalities,
+CASE WHEN s_suppkey % 2 = 0 AND m.doc_id IS NOT NULL THEN 'mit-' || s_suppkey ELSE 'apache-2.0' END AS license, s_suppkey % 5 = 0 AS gated, CAST(floor(abs(s_acctbal)) AS BIGINT) AS downloads_last_month, r AS readme_summary, env AS environment, per AS perspective,
+round(CASE WHEN h = '' THEN NULL WHEN contains(ht, 'k') THEN CAST(h AS DOUBLE) * 1000 ELSE CAST(h AS DOUBLE) END, 6) + 0e0 AS estimated_hours, CAST(floor(CASE WHEN c = '' THEN NULL WHEN contains(ct, 'million') OR ends_with(ct, 'm') THEN CAST(c AS DOUBLE) * 1000000 WHEN contains(ct, 'k') THEN CAST(c AS DOUBLE) * 1000 ELSE CAST(c AS DOUBLE) END) AS BIGINT) AS estimated_clips,
+s_suppkey * 1000 AS size_bytes, CASE WHEN s_suppkey % 4 = 0 THEN 'LEROBOT' END AS format_detected, s_suppkey AS total_episodes, s_suppkey * 60 AS total_frames FROM supplier LEFT JOIN m ON m.doc_id = s_suppkey LEFT JOIN g ON g.doc_id = s_suppkey""")
 def _(spark, sf):
     s = table(spark, sf, "supplier")
     k = F.col("s_suppkey")

@@ -318,11 +318,6 @@ def _(spark, sf):
     return series.first_true(frames(spark, sf), EP, F.col("action")[6] > 0)
 
 
-@query("spectral_low_share")
-def _(spark, sf):
-    return series.spectral_low_share(frames(spark, sf))
-
-
 @query("greedy_min_gap", f"WITH {SERIES} SELECT {SQL_EP}{I('frame_index', 'frame_index')} FROM {greedy('(SELECT * FROM se WHERE a0 > 0.3e0)', 4)}")
 def _(spark, sf):
     return greedy_min_gap(frames(spark, sf).filter(F.col("action")[0] > 0.3), 4)
@@ -476,7 +471,21 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- scores
 
-@query("motion_smoothness")
+Q = lambda i: f"CASE WHEN q{i} < 1e-8 THEN 1e0 ELSE q{i} END"
+SMOOTH_PARTS = f"""sdv AS MATERIALIZED (SELECT episode_index, {", ".join(f"stddev_pop(a{i}) q{i}" for i in DIMS)} FROM fr GROUP BY 1),
+vl AS MATERIALIZED (SELECT episode_index, n - 1 m, frame_index - 1 t, unnest([0,1,2,3,4,5,6]) dim, unnest([{", ".join(f"v{i} / ({Q(i)})" for i in DIMS)}]) v FROM d1 JOIN sdv USING (episode_index) WHERE frame_index > 0),
+ft AS (SELECT episode_index, m, dim, k, power(sum(v * cos(2 * pi() * ((k * t) % m) / m)), 2) + power(sum(v * sin(2 * pi() * ((k * t) % m) / m)), 2) p FROM vl, range(60) r(k) WHERE k <= m // 2 GROUP BY ALL),
+spc AS MATERIALIZED (SELECT episode_index, CASE WHEN sum(p) > 1e-10 THEN sum(p) FILTER (WHERE k < (m // 2 + 1) // 2) / sum(p) ELSE 0.5e0 END spectral FROM ft GROUP BY 1),
+jn AS (SELECT episode_index, avg(sqrt({" + ".join(f"power(j{i} / ({Q(i)}), 2)" for i in DIMS)})) jn FROM d3 JOIN sdv USING (episode_index) GROUP BY 1),
+rv AS (SELECT episode_index, avg(x) sh FROM (SELECT episode_index, frame_index, ({" + ".join(f"CASE WHEN sign(c{i}) <> sign(lag(c{i}) OVER w) THEN 1 ELSE 0 END" for i in DIMS)}) / 7e0 x FROM d2 WINDOW w AS {W}) WHERE frame_index >= 3 GROUP BY 1),
+smo AS MATERIALIZED (SELECT {EPC}, greatest(0, least(1, 0.4e0 * greatest(0, least(1, 1 - jn / 0.5e0)) + 0.3e0 * (1 - sh) + 0.3e0 * spectral)) motion_smoothness FROM (SELECT DISTINCT {EPC} FROM fr) JOIN spc USING (episode_index) JOIN jn USING (episode_index) JOIN rv USING (episode_index))"""
+
+@query("spectral_low_share", f"WITH {SERIES}, {SMOOTH_PARTS} SELECT {SQL_EP}{R('spectral', 'spectral')} FROM (SELECT DISTINCT {EPC} FROM fr) JOIN spc USING (episode_index)")
+def _(spark, sf):
+    return series.spectral_low_share(frames(spark, sf))
+
+
+@query("motion_smoothness", f"WITH {SERIES}, {SMOOTH_PARTS} SELECT {SQL_EP}{R('motion_smoothness', 'motion_smoothness')} FROM smo")
 def _(spark, sf):
     return scores.motion_smoothness(frames(spark, sf))
 
@@ -514,7 +523,15 @@ def _(spark, sf):
     return scores.trajectory_completeness(frames(spark, sf))
 
 
-@query("temporal_score")
+TEMPORAL_PARTS = SMOOTH_PARTS + f""", {AUTO},
+con AS (SELECT {EPC}, greatest(0, least(1, 0.4e0*(1-p) + 0.3e0*(1-r) + 0.3e0*(1-g*0.5e0))) action_consistency FROM (SELECT {EPC}, avg({VABS(range(3), 0.2)}) p, avg({VABS(range(3, 6), 1.0)}) r, avg(least(abs(v6), 0.5e0) / 0.5e0) g FROM d1 WHERE frame_index >= 1 GROUP BY ALL)),
+com AS (SELECT episode_index, 0.6e0 * least(1, n / 10e0) + 0.4e0 * greatest(0, least(1, 1 - v * 5)) trajectory_completeness FROM (SELECT episode_index, any_value(n) n, avg(({" + ".join(f"abs(v{i})" for i in DIMS)}) / 7) FILTER (WHERE frame_index >= n - 4) v FROM d1 GROUP BY 1)),
+frc AS (SELECT episode_index, greatest(0, least(1, 1 - s / m - abs(m - 1/30e0) * 30e0 * 0.5e0)) rate FROM (SELECT episode_index, avg(d) m, stddev_pop(d) s FROM (SELECT episode_index, ts - lag(ts) OVER {W} d FROM fr) GROUP BY 1)),
+tem AS MATERIALIZED (SELECT *, rate frame_rate_timed, 0.30e0 * motion_smoothness + 0.20e0 * action_consistency + 0.15e0 * trajectory_completeness + 0.25e0 * sync_score rest FROM smo JOIN con USING ({EPC}) JOIN com USING (episode_index) JOIN frc USING (episode_index) JOIN (SELECT episode_index, {AUTO_V} sync_score FROM ac) USING (episode_index))"""
+TEMPORAL_COLS = ", ".join(R(c, c) for c in ("motion_smoothness", "action_consistency", "trajectory_completeness", "sync_score"))
+
+
+@query("temporal_score", f"WITH {SERIES}, {TEMPORAL_PARTS} SELECT {SQL_EP}{TEMPORAL_COLS}, {R('rate', 'frame_rate_consistency')}, {R('rest + 0.10e0 * rate', 'overall_temporal_score')} FROM tem")
 def _(spark, sf):
     return scores.temporal_score(frames(spark, sf))
 
@@ -573,7 +590,16 @@ def _(spark, sf):
     return scores.starting_distance(e, ["label"], block=32)
 
 
-@query("diversity_score")
+DIVERSITY_PARTS = f"""pt AS (SELECT episode_index, least(1, count(DISTINCT CASE WHEN frame_index > 0 THEN {PATTERN} END) / ((any_value(n) - 1) * 0.3e0)) transition_diversity FROM d1 GROUP BY 1),
+nm1 AS (SELECT *, avg(accel_all) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) po FROM pr),
+nm2 AS (SELECT episode_index, CASE WHEN count(*) FILTER (WHERE accel_all > accel_all_p90) = 0 THEN 0e0 ELSE count(*) FILTER (WHERE accel_all > accel_all_p90 AND frame_index < n - 5 AND po < accel_all_p90 * 0.3e0) / count(*) FILTER (WHERE accel_all > accel_all_p90) END near_miss_ratio FROM nm1 GROUP BY 1),
+cvr AS (SELECT episode_index, {COVER} action_space_coverage FROM fr GROUP BY 1),
+dvs AS MATERIALIZED (SELECT {EPC}, transition_diversity, v recovery_behavior_score, near_miss_ratio, action_space_coverage, 0.5e0 starting_state_diversity, 0.20e0 * transition_diversity + 0.35e0 * v + 0.20e0 * near_miss_ratio + 0.15e0 * action_space_coverage + 0.05e0 overall_diversity_score
+  FROM rs JOIN pt USING (episode_index) JOIN nm2 USING (episode_index) JOIN cvr USING (episode_index))"""
+DIVERSITY_COLS = ", ".join(R(c, c) for c in ("transition_diversity", "recovery_behavior_score", "near_miss_ratio", "action_space_coverage", "starting_state_diversity", "overall_diversity_score"))
+
+
+@query("diversity_score", f"WITH {REC_CTE}, {DIVERSITY_PARTS} SELECT {SQL_EP}{DIVERSITY_COLS} FROM dvs")
 def _(spark, sf):
     return scores.diversity_score(frames(spark, sf))
 
@@ -587,19 +613,16 @@ def _(spark, sf):
     return scores.transition_metrics(frames(spark, sf), ready(spark, sf))
 
 
-@query("quality_score")
-def _(spark, sf):
-    return quality(spark, sf)
+QUALITY_CTE = f"{REC_CTE}, {DIVERSITY_PARTS}, {TEMPORAL_PARTS}" + f""",
+q0 AS MATERIALIZED (SELECT tem.*, dvs.* EXCLUDE ({EPC}), 0.8e0 frame_rate_consistency, rest + 0.08e0 overall_temporal_score FROM tem JOIN dvs USING ({EPC})),
+q1 AS MATERIALIZED (SELECT *, 0.55e0 * overall_temporal_score + 0.45e0 * overall_diversity_score v FROM q0),
+q AS MATERIALIZED (SELECT *, CASE WHEN v >= 0.9 THEN 'A' WHEN v >= 0.8 THEN 'B' WHEN v >= 0.7 THEN 'C' WHEN v >= 0.6 THEN 'D' ELSE 'F' END g FROM q1)"""
 
 
-@query("dataset_quality_stats")
+@query("quality_score", f"""WITH {QUALITY_CTE} SELECT {SQL_EP}{TEMPORAL_COLS}, {R('frame_rate_consistency', 'frame_rate_consistency')}, {R('overall_temporal_score', 'overall_temporal_score')}, {DIVERSITY_COLS}, {R('v', 'overall_score')}, g AS quality_grade,
+recovery_behavior_score > 0.5 AS has_recovery_behaviors, overall_diversity_score > 0.6 AS is_diverse, motion_smoothness > 0.7 AS is_smooth, sync_score > 0.7 AS is_well_synced FROM q""")
 def _(spark, sf):
-    return stats.dataset_quality_stats(quality(spark, sf))
-
-
-@query("compare_datasets")
-def _(spark, sf):
-    return stats.compare_datasets(stats.dataset_quality_stats(quality(spark, sf)))
+    return quality(spark, sf)
 
 
 # Roll-up over a score both engines can form: the recovery score.
@@ -613,20 +636,40 @@ def rolled(spark, sf):
                     flag(0.8).alias("is_well_synced"), F.col("overall_score").alias("overall_temporal_score"), (1 - F.col("overall_score")).alias("overall_diversity_score"))
 
 
-STAT_SQL = f"""SELECT dataset_id, {I('count(*)', 'num_episodes')}, {R('avg(v)', 'mean_score')}, {R('stddev_pop(v)', 'std_score')}, {R('min(v)', 'min_score')}, {R('max(v)', 'max_score')},
-{", ".join(I(f"count(*) FILTER (WHERE g = '{x}')", f"grade_{x.lower()}") for x in "ABCDF")}, {R('avg(CASE WHEN v > 0.5 THEN 1 ELSE 0 END)', 'pct_with_recovery')}, {R('avg(CASE WHEN v > 0.6 THEN 1 ELSE 0 END)', 'pct_diverse')},
-{R('avg(CASE WHEN v > 0.7 THEN 1 ELSE 0 END)', 'pct_smooth')}, {R('avg(CASE WHEN v > 0.8 THEN 1 ELSE 0 END)', 'pct_well_synced')}, {R('avg(v)', 'avg_temporal')}, {R('avg(1 - v)', 'avg_diversity')},
+def stat_sql(rec, div, smooth, sync, temporal, diversity):
+    share = lambda e, n: R(f"avg(CASE WHEN {e} THEN 1 ELSE 0 END)", n)
+    grades = ", ".join(I(f"count(*) FILTER (WHERE g = '{x}')", f"grade_{x.lower()}") for x in "ABCDF")
+    return f"""SELECT dataset_id, {I('count(*)', 'num_episodes')}, {R('avg(v)', 'mean_score')}, {R('stddev_pop(v)', 'std_score')}, {R('min(v)', 'min_score')}, {R('max(v)', 'max_score')}, {grades},
+{share(rec, 'pct_with_recovery')}, {share(div, 'pct_diverse')}, {share(smooth, 'pct_smooth')}, {share(sync, 'pct_well_synced')}, {R(f'avg({temporal})', 'avg_temporal')}, {R(f'avg({diversity})', 'avg_diversity')},
 {R('quantile_cont(v, 0.1)', 'p10_score')}, {R('quantile_cont(v, 0.9)', 'p90_score')} FROM q GROUP BY dataset_id"""
 
 
+def compare_sql(cte, stat):
+    return f"""WITH {cte}, s AS ({stat}), l AS (SELECT *, avg_diversity * 0.5 + pct_with_recovery * 0.3 + avg_temporal * 0.2 ls FROM s),
+b AS (SELECT arg_max(dataset_id, mean_score) best_overall, arg_max(dataset_id, avg_diversity) best_diversity, arg_max(dataset_id, avg_temporal) best_temporal, arg_max(dataset_id, ls) best_learning FROM l)
+SELECT *, CASE WHEN best_learning = best_overall THEN best_learning || ' is recommended: best overall quality and learning value.' ELSE best_learning || ' is recommended for learning value (high diversity and recovery behaviors). ' || best_overall || ' has highest overall score.' END AS recommendation FROM b"""
+
+
+STAT_SQL = stat_sql("v > 0.5", "v > 0.6", "v > 0.7", "v > 0.8", "v", "1 - v")
+QUALITY_STAT = stat_sql("recovery_behavior_score > 0.5", "overall_diversity_score > 0.6", "motion_smoothness > 0.7", "sync_score > 0.7", "overall_temporal_score", "overall_diversity_score")
+
+
+@query("dataset_quality_stats", f"WITH {QUALITY_CTE} {QUALITY_STAT}")
+def _(spark, sf):
+    return stats.dataset_quality_stats(quality(spark, sf))
+
+
+@query("compare_datasets", compare_sql(QUALITY_CTE, QUALITY_STAT))
+def _(spark, sf):
+    return stats.compare_datasets(stats.dataset_quality_stats(quality(spark, sf)))
+
+
 @query("score_rollup", f"WITH {ROLL_CTE} {STAT_SQL}")
 def _(spark, sf):
     return stats.dataset_quality_stats(rolled(spark, sf))
 
 
-@query("compare_rollup", f"""WITH {ROLL_CTE}, s AS ({STAT_SQL}), l AS (SELECT *, avg_diversity * 0.5 + pct_with_recovery * 0.3 + avg_temporal * 0.2 ls FROM s),
-b AS (SELECT arg_max(dataset_id, mean_score) best_overall, arg_max(dataset_id, avg_diversity) best_diversity, arg_max(dataset_id, avg_temporal) best_temporal, arg_max(dataset_id, ls) best_learning FROM l)
-SELECT *, CASE WHEN best_learning = best_overall THEN best_learning || ' is recommended: best overall quality and learning value.' ELSE best_learning || ' is recommended for learning value (high diversity and recovery behaviors). ' || best_overall || ' has highest overall score.' END AS recommendation FROM b""")
+@query("compare_rollup", compare_sql(ROLL_CTE, STAT_SQL))
 def _(spark, sf):
     return stats.compare_datasets(stats.dataset_quality_stats(rolled(spark, sf)))
 

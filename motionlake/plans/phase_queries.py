@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from motionlake.operators import clusters, enrichment, outliers, phases
 from motionlake.operators.chunks import materialise
+from motionlake.operators.series import gaussian_weights
 from motionlake.plans import reports
 from motionlake.plans.frame_queries import SQL_EP, frames, gauss_sql
 from motionlake.plans.registry import EPC, FRAMES, W, I, R, query
@@ -192,13 +193,36 @@ def _(spark, sf):
     return phases.phase_envelope_flags(frames(spark, sf), segmented(spark, sf))
 
 
-@query("envelope_scores")
+def _gauss50(col):
+    w = gaussian_weights(2.0)
+    at = lambda k: f"(CASE WHEN i + {k} < 0 THEN -(i + {k}) - 1 WHEN i + {k} > 49 THEN 99 - (i + {k}) ELSE i + {k} END)"
+    return " + ".join(f"{col}[CAST({at(k - 8)} AS BIGINT) + 1] * {w[k]!r}" for k in range(17))
+
+
+ENVELOPE_CTE = PHASE_CTE + f""",
+mg AS MATERIALIZED (SELECT *, lead(p0) OVER {W} p1, lead(r0) OVER {W} r1 FROM (SELECT episode_index, frame_index, sqrt(a0*a0+a1*a1+a2*a2) p0, sqrt(a3*a3+a4*a4+a5*a5) r0 FROM fr)),
+pb AS (SELECT ph.*, b, x + least(y - x - 1, CAST(floor(b * (y - x - 1) / 49e0 + 1e-9) AS BIGINT)) f FROM ph, range(50) r(b) WHERE p NOT IN ('Grasp', 'Release') AND y - x >= 2),
+pv AS (SELECT {", ".join("pb." + c for c in EP)}, p, c, nc, b, p0 + coalesce(p1 - p0, 0) * (b * (y - x - 1) / 49e0 - (f - x)) pp, r0 + coalesce(r1 - r0, 0) * (b * (y - x - 1) / 49e0 - (f - x)) rr FROM pb JOIN mg ON mg.episode_index = pb.episode_index AND mg.frame_index = f),
+pl AS (SELECT {EPC}, p, c, nc, list(pp ORDER BY b) lp, list(rr ORDER BY b) lr FROM pv GROUP BY ALL),
+es AS MATERIALIZED (SELECT {EPC}, p, c, nc, 'position' ch, i, {_gauss50('lp')} v FROM (SELECT *, unnest(range(50)) i FROM pl) UNION ALL SELECT {EPC}, p, c, nc, 'rotation', i, {_gauss50('lr')} FROM (SELECT *, unnest(range(50)) i FROM pl)),
+em AS (SELECT task_index, p, c, nc, ch, i, avg(v) m, stddev_pop(v) s, count(*) k FROM es GROUP BY ALL HAVING count(*) >= 6),
+ez AS MATERIALIZED (SELECT es.*, abs(v - m) / greatest(s, 1e-6) z FROM es JOIN em USING (task_index, p, c, nc, ch, i) JOIN (SELECT task_index, p, c, nc FROM dm WHERE floor(md) >= 15) USING (task_index, p, c, nc))"""
+
+
+@query("envelope_scores", f"WITH {ENVELOPE_CTE} SELECT {SQL_EP}p AS phase, {I('c', 'cycle')}, {I('nc', 'num_cycles')}, ch AS channel, {R('max(z)', 'peak_z')} FROM ez GROUP BY {EPC}, p, c, nc, ch")
 def _(spark, sf):
-    p = segmented(spark, sf)
+    p = gripped(spark, sf)
     z = phases.envelope_scores(materialise(phases.phase_signals(frames(spark, sf), p)), p)
     return z.select(*EP, *phases.PHASE_KEY, "channel", F.array_max("z").alias("peak_z"))
 
 
+@query("envelope_flags_tight", f"""WITH {ENVELOPE_CTE}, er AS (SELECT *, i - row_number() OVER (PARTITION BY episode_index, p, c, ch ORDER BY i) g FROM ez WHERE z > 1.5),
+eg AS (SELECT {EPC}, p, c, ch, g, count(*) n, max(z) mz FROM er GROUP BY ALL), ef AS (SELECT {EPC}, p, c, ch, max(n) n, max(mz) mz FROM eg GROUP BY ALL HAVING max(n) >= 20)
+SELECT {SQL_EP}'envelope' AS signal, p AS phase, {I('c', 'cycle')}, ch AS feature, round(mz, 2) + 0e0 AS magnitude, 'Unusual ' || ch || ' during ' || p || ' (cycle ' || c || '): peak ' || printf('%.1f', mz) || '× typical range, sustained for ' || printf('%.0f', n * 2e0) || '% of the phase' AS explanation, CAST(1 AS BIGINT) AS ordinal FROM ef""")
+def _(spark, sf):
+    return phases.phase_envelope_flags(frames(spark, sf), gripped(spark, sf), sigma=1.5)
+
+
 @query("variance_clusters")
 def _(spark, sf):
     return members(spark, sf)
@@ -237,9 +261,17 @@ def _(spark, sf):
     return enrichment.enrichment_plan(reasons(spark, sf), clusters.cluster_table(members(spark, sf)))
 
 
-@query("flagged_caps")
+FLAG_CTE = CYCLE_CTE + """, fl AS (SELECT cc.dataset_id, cc.task_index, cc.episode_index FROM cc JOIN cm ON cc.task_index = cm.task_index WHERE abs(nc - mo) >= CASE WHEN mo <= 1 OR cm.n < 15 THEN 1 ELSE 2 END)"""
+
+
+@query("flagged_caps", f"WITH {FLAG_CTE} SELECT dataset_id, task_index, {I('least(count(*), 4)', 'flagged_shown')}, {I('count(*)', 'flagged_total')}, count(*) > 4 AS flagged_capped FROM fl GROUP BY ALL")
+def _(spark, sf):
+    return enrichment.cap_summary(phases.cycle_count_flags(cycles(spark, sf)), cap=4)
+
+
+@query("flagged_shown", f"WITH {FLAG_CTE} SELECT {SQL_EP}{I('r - 1', 'position')} FROM (SELECT *, row_number() OVER (PARTITION BY task_index ORDER BY episode_index) r FROM fl) WHERE r <= 4")
 def _(spark, sf):
-    return enrichment.cap_summary(reasons(spark, sf), cap=4)
+    return enrichment.cap_flagged(phases.cycle_count_flags(cycles(spark, sf)), cap=4)
 
 
 @query("episode_context")

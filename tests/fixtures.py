@@ -34,9 +34,9 @@ def cycle_episode(rng, close=30, hold=40, tail=30, approach=30, noise=0.01, cycl
     return act, state
 
 
-def cohort(n=40, seed=0, **kw):
+def cohort(n=40, seed=0, rest=30, **kw):
     rng = np.random.default_rng(seed)
-    return {i: cycle_episode(rng, approach=30 + int(rng.integers(-2, 3)), tail=30 + int(rng.integers(-2, 3)), **kw) for i in range(n)}
+    return {i: cycle_episode(rng, approach=rest + int(rng.integers(-2, 3)), tail=rest + int(rng.integers(-2, 3)), **kw) for i in range(n)}
 
 
 def rows_of(episodes, dataset="d", task=0, dt=0.1):

@@ -60,12 +60,13 @@ def test_clean_cohort_has_no_flags(spark):
 
 
 def test_planted_anomalies(spark):
-    eps = cohort(40, hold=80)
+    shape = {"hold": 80, "approach": 60, "tail": 60}
+    eps = cohort(40, hold=80, rest=60)
     rng = np.random.default_rng(77)
-    eps[40] = cycle_episode(rng, hold=80, place_stretch=4)
-    eps[41] = cycle_episode(rng, hold=80, cycles=2, tail=45)
-    bump = cycle_episode(rng, hold=80)
-    bump[0][2:28, 0] += 1.5
+    eps[40] = cycle_episode(rng, place_stretch=4, **shape)
+    eps[41] = cycle_episode(rng, cycles=2, **shape)
+    bump = cycle_episode(rng, **shape)
+    bump[0][5:55, 0] += 1.5
     eps[42] = bump
     rep = analyze_tasks(frames_of(spark, eps))
     rows = rep["reasons"].collect()
