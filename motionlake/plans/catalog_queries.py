@@ -422,7 +422,7 @@ m AS (SELECT doc_id, x AS text, {TAG(metadata.ENVIRONMENT).replace('text', 'x')}
 SELECT CAST(s_suppkey AS VARCHAR) AS dataset_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'rgb,depth,actions' WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 1 THEN 'rgb,actions' WHEN s_suppkey % 2 = 0 THEN 'actions' ELSE coalesce(mo, 'rgb') END AS modalities,
 CASE WHEN s_suppkey % 2 = 0 AND m.doc_id IS NOT NULL THEN 'mit-' || s_suppkey ELSE 'apache-2.0' END AS license, s_suppkey % 5 = 0 AS gated, CAST(floor(abs(s_acctbal)) AS BIGINT) AS downloads_last_month, r AS readme_summary, env AS environment, per AS perspective,
 round(CASE WHEN h = '' THEN NULL WHEN contains(ht, 'k') THEN CAST(h AS DOUBLE) * 1000 ELSE CAST(h AS DOUBLE) END, 6) + 0e0 AS estimated_hours, CAST(floor(CASE WHEN c = '' THEN NULL WHEN contains(ct, 'million') OR ends_with(ct, 'm') THEN CAST(c AS DOUBLE) * 1000000 WHEN contains(ct, 'k') THEN CAST(c AS DOUBLE) * 1000 ELSE CAST(c AS DOUBLE) END) AS BIGINT) AS estimated_clips,
-s_suppkey * 1000 AS size_bytes, CASE WHEN s_suppkey % 4 = 0 THEN 'LEROBOT' END AS format_detected, s_suppkey AS total_episodes, s_suppkey * 60 AS total_frames FROM supplier LEFT JOIN m ON m.doc_id = s_suppkey LEFT JOIN g ON g.doc_id = s_suppkey""")
+CASE WHEN s_suppkey > 0 THEN s_suppkey * 1000 END AS size_bytes, CASE WHEN s_suppkey % 4 = 0 THEN 'LEROBOT' END AS format_detected, s_suppkey AS total_episodes, s_suppkey * 60 AS total_frames FROM supplier LEFT JOIN m ON m.doc_id = s_suppkey LEFT JOIN g ON g.doc_id = s_suppkey""")
 def _(spark, sf):
     s = table(spark, sf, "supplier")
     k = F.col("s_suppkey")

@@ -94,7 +94,20 @@ def _(spark, sf):
     return gripped(spark, sf)
 
 
-@query("segment")
+SEG_CTE = PHASE_CTE + f""",
+w1 AS (SELECT {EPC}, n, frame_index - 1 i, sqrt((a0 - lag(a0) OVER w)*(a0 - lag(a0) OVER w) + (a1 - lag(a1) OVER w)*(a1 - lag(a1) OVER w) + (a2 - lag(a2) OVER w)*(a2 - lag(a2) OVER w)) v FROM fr WHERE episode_index NOT IN (SELECT episode_index FROM rg) WINDOW w AS {W}),
+w2 AS (SELECT {EPC}, n, n - 1 m, list(v ORDER BY i) l FROM w1 WHERE i >= 0 GROUP BY ALL),
+w3 AS MATERIALIZED (SELECT {EPC}, n, i, {gauss_sql('v', 3.0, 'm')} v FROM (SELECT *, unnest(range(m)) i FROM w2)),
+w4 AS (SELECT *, sum(CASE WHEN v = pv THEN 0 ELSE 1 END) OVER (PARTITION BY episode_index ORDER BY i) g FROM (SELECT *, lag(v) OVER (PARTITION BY episode_index ORDER BY i) pv FROM w3)),
+w5 AS (SELECT {EPC}, n, g, min(v) v, (min(i) + max(i)) // 2 pos FROM w4 GROUP BY ALL),
+w6 AS (SELECT w.*, lim FROM (SELECT *, lag(v) OVER (PARTITION BY episode_index ORDER BY g) a, lead(v) OVER (PARTITION BY episode_index ORDER BY g) b FROM w5) w JOIN (SELECT episode_index, quantile_cont(v, 0.2) lim FROM w3 GROUP BY 1) USING (episode_index) WHERE a > v AND b > v AND v <= lim),
+w7 AS (SELECT episode_index, greatest(10, n // 20) dist, list([pos] ORDER BY v, pos DESC) l FROM w6 GROUP BY ALL),
+w8 AS (SELECT episode_index, list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(y - x[1]) < dist)) = 0 THEN list_concat(a, x) ELSE a END) k FROM w7),
+w9 AS (SELECT w2.*, list_sort(list_concat([0, n], coalesce(k, []))) e FROM w2 LEFT JOIN w8 USING (episode_index)),
+sg AS MATERIALIZED (SELECT {EPC}, n, 'gripper' mt, p, c, nc, x, y FROM ph UNION ALL SELECT {EPC}, n, 'velocity_minima', CASE WHEN i % 2 = 0 THEN 'Motion' || (i + 1) ELSE 'Pause' || (i // 2 + 1) END, 0, 0, e[i + 1], e[i + 2] FROM (SELECT *, unnest(range(len(e) - 1)) i FROM w9) WHERE e[i + 2] - e[i + 1] >= 3)"""
+
+
+@query("segment", f"WITH {SEG_CTE} SELECT {SQL_EP}{I('n', 'n_frames')}, mt AS method, p AS phase, {I('c', 'cycle')}, {I('nc', 'num_cycles')}, {I('x', 'start')}, {I('y', 'end')} FROM sg")
 def _(spark, sf):
     return segmented(spark, sf)
 
@@ -188,39 +201,44 @@ def _(spark, sf):
     return outliers.shape_outlier_flags(features(spark, sf))
 
 
-@query("phase_envelope_flags")
-def _(spark, sf):
-    return phases.phase_envelope_flags(frames(spark, sf), segmented(spark, sf))
-
-
 def _gauss50(col):
     w = gaussian_weights(2.0)
     at = lambda k: f"(CASE WHEN i + {k} < 0 THEN -(i + {k}) - 1 WHEN i + {k} > 49 THEN 99 - (i + {k}) ELSE i + {k} END)"
     return " + ".join(f"{col}[CAST({at(k - 8)} AS BIGINT) + 1] * {w[k]!r}" for k in range(17))
 
 
-ENVELOPE_CTE = PHASE_CTE + f""",
+ENVELOPE_CTE = SEG_CTE + f""",
+dg AS (SELECT task_index, p, c, nc, median(y - x) md FROM sg GROUP BY ALL),
 mg AS MATERIALIZED (SELECT *, lead(p0) OVER {W} p1, lead(r0) OVER {W} r1 FROM (SELECT episode_index, frame_index, sqrt(a0*a0+a1*a1+a2*a2) p0, sqrt(a3*a3+a4*a4+a5*a5) r0 FROM fr)),
-pb AS (SELECT ph.*, b, x + least(y - x - 1, CAST(floor(b * (y - x - 1) / 49e0 + 1e-9) AS BIGINT)) f FROM ph, range(50) r(b) WHERE p NOT IN ('Grasp', 'Release') AND y - x >= 2),
+pb AS (SELECT sg.*, b, x + least(y - x - 1, CAST(floor(b * (y - x - 1) / 49e0 + 1e-9) AS BIGINT)) f FROM sg, range(50) r(b) WHERE p NOT IN ('Grasp', 'Release') AND y - x >= 2),
 pv AS (SELECT {", ".join("pb." + c for c in EP)}, p, c, nc, b, p0 + coalesce(p1 - p0, 0) * (b * (y - x - 1) / 49e0 - (f - x)) pp, r0 + coalesce(r1 - r0, 0) * (b * (y - x - 1) / 49e0 - (f - x)) rr FROM pb JOIN mg ON mg.episode_index = pb.episode_index AND mg.frame_index = f),
 pl AS (SELECT {EPC}, p, c, nc, list(pp ORDER BY b) lp, list(rr ORDER BY b) lr FROM pv GROUP BY ALL),
 es AS MATERIALIZED (SELECT {EPC}, p, c, nc, 'position' ch, i, {_gauss50('lp')} v FROM (SELECT *, unnest(range(50)) i FROM pl) UNION ALL SELECT {EPC}, p, c, nc, 'rotation', i, {_gauss50('lr')} FROM (SELECT *, unnest(range(50)) i FROM pl)),
 em AS (SELECT task_index, p, c, nc, ch, i, avg(v) m, stddev_pop(v) s, count(*) k FROM es GROUP BY ALL HAVING count(*) >= 6),
-ez AS MATERIALIZED (SELECT es.*, abs(v - m) / greatest(s, 1e-6) z FROM es JOIN em USING (task_index, p, c, nc, ch, i) JOIN (SELECT task_index, p, c, nc FROM dm WHERE floor(md) >= 15) USING (task_index, p, c, nc))"""
+ez AS MATERIALIZED (SELECT es.*, abs(v - m) / greatest(s, 1e-6) z FROM es JOIN em USING (task_index, p, c, nc, ch, i) JOIN (SELECT task_index, p, c, nc FROM dg WHERE floor(md) >= 15) USING (task_index, p, c, nc))"""
 
 
 @query("envelope_scores", f"WITH {ENVELOPE_CTE} SELECT {SQL_EP}p AS phase, {I('c', 'cycle')}, {I('nc', 'num_cycles')}, ch AS channel, {R('max(z)', 'peak_z')} FROM ez GROUP BY {EPC}, p, c, nc, ch")
 def _(spark, sf):
-    p = gripped(spark, sf)
+    p = segmented(spark, sf)
     z = phases.envelope_scores(materialise(phases.phase_signals(frames(spark, sf), p)), p)
     return z.select(*EP, *phases.PHASE_KEY, "channel", F.array_max("z").alias("peak_z"))
 
 
-@query("envelope_flags_tight", f"""WITH {ENVELOPE_CTE}, er AS (SELECT *, i - row_number() OVER (PARTITION BY episode_index, p, c, ch ORDER BY i) g FROM ez WHERE z > 1.5),
+def envelope_sql(sigma):
+    return f"""WITH {ENVELOPE_CTE}, er AS (SELECT *, i - row_number() OVER (PARTITION BY episode_index, p, c, ch ORDER BY i) g FROM ez WHERE z > {sigma}),
 eg AS (SELECT {EPC}, p, c, ch, g, count(*) n, max(z) mz FROM er GROUP BY ALL), ef AS (SELECT {EPC}, p, c, ch, max(n) n, max(mz) mz FROM eg GROUP BY ALL HAVING max(n) >= 20)
-SELECT {SQL_EP}'envelope' AS signal, p AS phase, {I('c', 'cycle')}, ch AS feature, round(mz, 2) + 0e0 AS magnitude, 'Unusual ' || ch || ' during ' || p || ' (cycle ' || c || '): peak ' || printf('%.1f', mz) || '× typical range, sustained for ' || printf('%.0f', n * 2e0) || '% of the phase' AS explanation, CAST(1 AS BIGINT) AS ordinal FROM ef""")
+SELECT {SQL_EP}'envelope' AS signal, p AS phase, {I('c', 'cycle')}, ch AS feature, round(mz, 2) + 0e0 AS magnitude, 'Unusual ' || ch || ' during ' || p || ' (cycle ' || c || '): peak ' || printf('%.1f', mz) || '× typical range, sustained for ' || printf('%.0f', n * 2e0) || '% of the phase' AS explanation, CAST(1 AS BIGINT) AS ordinal FROM ef"""
+
+
+@query("phase_envelope_flags", envelope_sql(3.0))
+def _(spark, sf):
+    return phases.phase_envelope_flags(frames(spark, sf), segmented(spark, sf))
+
+
+@query("envelope_flags_tight", envelope_sql(1.5))
 def _(spark, sf):
-    return phases.phase_envelope_flags(frames(spark, sf), gripped(spark, sf), sigma=1.5)
+    return phases.phase_envelope_flags(frames(spark, sf), segmented(spark, sf), sigma=1.5)
 
 
 @query("variance_clusters")
