@@ -279,7 +279,7 @@ def _(spark, sf):
     return enrichment.enrichment_plan(reasons(spark, sf), clusters.cluster_table(members(spark, sf)))
 
 
-FLAG_CTE = CYCLE_CTE + """, fl AS (SELECT cc.dataset_id, cc.task_index, cc.episode_index FROM cc JOIN cm ON cc.task_index = cm.task_index WHERE abs(nc - mo) >= CASE WHEN mo <= 1 OR cm.n < 15 THEN 1 ELSE 2 END)"""
+FLAG_CTE = CYCLE_CTE + """, fl AS (SELECT cc.dataset_id, cc.task_index, cc.episode_index FROM cc JOIN cm ON cc.task_index = cm.task_index WHERE cm.n >= 4 AND most > 0 AND abs(nc - mo) >= CASE WHEN mo <= 1 OR cm.n < 15 THEN 1 ELSE 2 END)"""
 
 
 @query("flagged_caps", f"WITH {FLAG_CTE} SELECT dataset_id, task_index, {I('least(count(*), 4)', 'flagged_shown')}, {I('count(*)', 'flagged_total')}, count(*) > 4 AS flagged_capped FROM fl GROUP BY ALL")

@@ -69,7 +69,10 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     In complete mode each batch replaces the table, so the last one holds the result.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    base = shared_folder(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = f"{base}/{uuid.uuid4().hex}"
 
     def land(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
