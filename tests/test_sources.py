@@ -66,16 +66,16 @@ def test_names_as_list_or_map(spark):
     assert metadata.modalities(metadata.read_features(df)).collect()[0].modalities == "rgb,depth,actions"
 
 
-@pytest.mark.parametrize("url,repo", [("https://huggingface.co/datasets/MicroAGI-Labs/MicroAGI00", "MicroAGI-Labs/MicroAGI00"), ("huggingface.co/datasets/builddotai/Egocentric-10K", "builddotai/Egocentric-10K"),
+@pytest.mark.parametrize("url,repo", [("https://huggingface.co/datasets/Acme-Labs/Arm00", "Acme-Labs/Arm00"), ("huggingface.co/datasets/acme/Clips-10K", "acme/Clips-10K"),
                                       ("a/b", "a/b"), ("http://x/y", None), ("a/b/c", None)])
 def test_repo_from_url(spark, url, repo):
     assert spark.createDataFrame([(url,)], "u string").select(scalars.repo_from_url("u")).collect()[0][0] == repo
 
 
 def test_slug_and_estimates(spark):
-    one = spark.createDataFrame([("genrobot2025/10Kh-RealOmin-OpenData", 10_000_000, 0)], "r string, s long, z long")
+    one = spark.createDataFrame([("acme2025/10Kh-Real.Open--Data", 10_000_000, 0)], "r string, s long, z long")
     r = one.select(scalars.dataset_slug("r").alias("slug"), scalars.estimate_frames("s", F.lit("webdataset")).alias("tar"), scalars.estimate_frames("s", F.lit("mcap")).alias("mcap"), scalars.estimate_frames("z", F.lit("mcap")).alias("none")).collect()[0]
-    assert r.slug == "10kh_realomin_opendata" and r.tar == int(10_000_000 / (5 * 1024 * 1024 / 8) * 30) and r.mcap == 195 and r.none == 0
+    assert r.slug == "10kh_real_open_data" and r.tar == int(10_000_000 / (5 * 1024 * 1024 / 8) * 30) and r.mcap == 195 and r.none == 0
 
 
 def test_step_sequences(spark):
