@@ -81,7 +81,8 @@ def divergence_events(z: DataFrame, per_bin: DataFrame, threshold: float = 2.0,
     kept = materialise(greedy_min_gap(high, gap))
     value = original_divergence(per_bin).join(kept, [*EP, "frame_index"])
     value = value.withColumn("bin", F.least(F.floor(F.col("frame_index") * bins / F.col("n_frames")), F.lit(bins - 1)).cast("long"))
-    top = z.groupBy(*EP, "bin").agg(F.max(F.struct(F.col("z"), (-F.col("dim")).alias("o"))).alias("_t"), F.first("dims").alias("dims"))
+    # equal up to the last digits counts as a tie, which the first dimension wins
+    top = z.groupBy(*EP, "bin").agg(F.max(F.struct(F.round("z", 9).alias("r"), (-F.col("dim")).alias("o"), F.col("z"))).alias("_t"), F.first("dims").alias("dims"))
     j = value.join(top, [*EP, "bin"])
     dim = -F.col("_t.o")
     generic = F.concat(F.lit("dim_"), dim.cast("string"))

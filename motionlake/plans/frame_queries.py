@@ -729,7 +729,7 @@ def _(spark, sf):
 HF = f"(SELECT {EPC}, CAST(floor(b * n / 100e0) AS BIGINT) frame_index FROM pb WHERE dv > 1.2)"
 
 
-@query("divergence_events", f"""WITH {Z_CTE}, {OD}, k AS (SELECT * FROM {greedy(HF, 3)}), t AS (SELECT *, row_number() OVER (PARTITION BY episode_index, b ORDER BY z DESC, dim) r FROM zs)
+@query("divergence_events", f"""WITH {Z_CTE}, {OD}, k AS (SELECT * FROM {greedy(HF, 3)}), t AS (SELECT *, row_number() OVER (PARTITION BY episode_index, b ORDER BY round(z, 9) DESC, dim) r FROM zs)
 SELECT k.dataset_id, k.task_index, k.episode_index, {I('k.frame_index', 'frame')}, 'high_divergence' AS event_type, CASE WHEN od.dv > 1.2 * 1.5 THEN 'significant' ELSE 'warning' END AS severity, {R('least(1, od.dv / 2.4)', 'score')},
 ['X position', 'Y position', 'Z position', 'Roll', 'Pitch', 'Yaw', 'Gripper'][t.dim + 1] || ' ' || {ONE('t.z')} || ' std from median' AS description, ['pos_x', 'pos_y', 'pos_z', 'rot_x', 'rot_y', 'rot_z', 'gripper'][t.dim + 1] AS dominant
 FROM k JOIN od ON k.episode_index = od.episode_index AND k.frame_index = od.i JOIN t ON t.episode_index = k.episode_index AND t.r = 1 AND t.b = least(99, CAST(floor(k.frame_index * 100 / od.n) AS BIGINT))""")
