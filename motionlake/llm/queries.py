@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import mixing, packing, quality, secrets
+from motionlake.llm import mixing, packing, quality, secrets, substring, suffix
 from motionlake.llm.common import documents
 
 QUERIES: dict = {}
@@ -97,3 +97,22 @@ SELECT *, NOT base_failed AND n_words >= 20 AND word_chars / greatest(n_words, 1
   AND n_stutter <= 0.3 * greatest(n_words, 1) kept FROM b""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(documents(spark, sf_dir))
+
+
+@query("op6_substring", rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{W}') w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') g FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 11 AS BIGINT))) i FROM w WHERE len(w) >= 13)),
+x AS (SELECT doc_id, i FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY g)),
+r AS (SELECT doc_id, list(DISTINCT j) gone FROM (SELECT doc_id, unnest(range(i, i + 13)) j FROM x) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(len(gone), 0) AS BIGINT) n_removed,
+  sha256(coalesce(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE k.kept END, '')) kept_sha256
+FROM w LEFT JOIN r USING (doc_id) LEFT JOIN (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) kept FROM (SELECT w.doc_id, unnest(w) x, generate_subscripts(w, 1) i FROM w JOIN r USING (doc_id)) u
+  WHERE NOT EXISTS (SELECT 1 FROM x v WHERE v.doc_id = u.doc_id AND u.i BETWEEN v.i AND v.i + 12) GROUP BY 1) k USING (doc_id)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir))
+
+
+@query("op9_suffix")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(documents(spark, sf_dir))
