@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from motionlake.llm.textnum import expand, narrow, slices, squeeze, widen
+from motionlake.llm.textnum import expand, mix, narrow, slices, squeeze, widen
 
 PACKED = "part int, ids binary, counts binary, prints binary"
 _ARROW = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
@@ -86,6 +86,54 @@ def meet(packed: DataFrame, n_parts: int, size: int, judge, schema: str) -> Data
     return packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
+ANSWERS = "doc_group int, part int, ids binary, counts binary, prints binary"
+_ANSWERS = pa.schema([("doc_group", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
+
+
+def answer(part: int, ids: np.ndarray, prints: np.ndarray, n_groups: int, size: int) -> pa.RecordBatch | None:
+    """Prints found for documents in one part, packed by group of documents."""
+    if not len(ids):
+        return None
+    group = (mix(ids.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+    order = np.lexsort((prints, ids, group))
+    group, ids, prints = group[order], ids[order], prints[order]
+    cuts = np.searchsorted(group, np.arange(n_groups + 1))
+    rows = []
+    for g in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[g], cuts[g + 1]
+        held, counts = np.unique(ids[a:b], return_counts=True)
+        rows.append((int(g), part, squeeze(held), squeeze(counts.astype(np.int32)), narrow(prints[a:b], size)))
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ANSWERS)], schema=_ANSWERS)
+
+
+FOUND = "doc_id bigint, found binary"
+
+
+def by_document(answers: DataFrame, n_parts: int, size: int) -> DataFrame:
+    """FOUND: the sorted values found for each document, from all parts."""
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            for group, part, ids, counts, prints in zip(*[c.to_pylist() for c in batch.columns]):
+                if group != last and held:
+                    yield gather(held)
+                    held = []
+                last = group
+                held.append((np.repeat(expand(ids, np.int64), expand(counts, np.int32)), widen(prints, size) * np.uint64(n_parts) + np.uint64(part)))
+        if held:
+            yield gather(held)
+
+    def gather(held):
+        ids, values = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        order = np.lexsort((values, ids))
+        ids, values = ids[order], values[order]
+        first, _ = runs(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[first]), pa.array([squeeze(np.unique(values[a:b])) for a, b in zip(first, [*first[1:], len(ids)])], pa.binary())], names=["doc_id", "found"])
+
+    return answers.repartition(n_parts, "doc_group").sortWithinPartitions("doc_group").mapInArrow(run, FOUND)
+
+
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places of the runs of equal values, and the run of each place."""
     new = np.ones(len(values), bool)

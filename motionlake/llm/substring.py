@@ -27,12 +27,10 @@ from pyspark.sql import functions as F
 
 from motionlake.llm import exchange
 from motionlake.llm.common import Scratch, parts
-from motionlake.llm.textnum import Texts, expand, mix, slices, squeeze
+from motionlake.llm.textnum import Texts, expand, mix, narrow, slices, squeeze
 
 WIDTH = 13
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("prints", pa.binary())])
-HITS = "doc_id bigint, part int, prints binary"
 #: Bytes of a block print beside its part; false hits only cost time.
 SIZE = 5
 
@@ -50,20 +48,7 @@ def full_prints(texts: Texts, width: int) -> np.ndarray:
     return texts.windows(texts.word_hashes(0), width, 0)[2] ^ mix(texts.windows(texts.word_hashes(1), width, 1)[2] + np.uint64(1))
 
 
-def by_doc(part: int, ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch | None:
-    """One row per document with the prints found for it."""
-    if not len(ids):
-        return None
-    order = np.argsort(ids, kind="stable")
-    ids, prints = ids[order], prints[order]
-    first, _ = exchange.runs(ids)
-    edges = [*first, len(ids)]
-    return pa.RecordBatch.from_arrays([
-        pa.array(ids[first]), pa.array(np.full(len(first), part, np.int32)),
-        pa.array([squeeze(np.unique(prints[a:b])) for a, b in zip(edges, edges[1:])], pa.binary())], schema=_HITS)
-
-
-def block_hits(part: int, ids: np.ndarray, prints: np.ndarray):
+def block_hits(part: int, ids: np.ndarray, prints: np.ndarray, n_groups: int):
     """Documents and block sequences where a reference block meets a document with a larger id."""
     key, is_block = prints >> np.uint64(1), (prints & np.uint64(1)) == 1
     order = np.lexsort((ids, key))
@@ -72,24 +57,14 @@ def block_hits(part: int, ids: np.ndarray, prints: np.ndarray):
     least = np.minimum.reduceat(np.where(is_block, ids, np.iinfo(np.int64).max), first) if len(first) else ids
     most = np.maximum.reduceat(ids, first) if len(first) else ids
     live = (least < most)[run] & (ids >= least[run])
-    return by_doc(part, ids[live], key[live])
+    return exchange.answer(part, ids[live], key[live], n_groups, SIZE)
 
 
-def later(part: int, ids: np.ndarray, prints: np.ndarray):
+def later(part: int, ids: np.ndarray, prints: np.ndarray, n_groups: int):
     """Documents and windows that also start in a document with a smaller id."""
     first, run = exchange.runs(prints)
     live = ids > ids[first][run] if len(first) else np.zeros(0, bool)
-    return by_doc(part, ids[live], prints[live])
-
-
-def gathered(hits: DataFrame) -> DataFrame:
-    """The packed answers of a document from all parts; at most as many as it has windows."""
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("part", "prints")).alias("hits"))
-
-
-def values(hits, n_parts: int) -> np.ndarray:
-    got = [expand(h["prints"], np.uint64) * np.uint64(n_parts) + np.uint64(h["part"]) for h in hits or []]
-    return np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+    return exchange.answer(part, ids[live], prints[live], n_groups, 8)
 
 
 def among(value: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -106,8 +81,8 @@ def around(at_hits: np.ndarray, n_windows: int, block: int, width: int) -> np.nd
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame, int]:
-    """Documents near a hit (doc_id, text, hits), later windows per document, number of parts. Runs jobs."""
+def repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Documents near a hit (doc_id, text, found), later windows per document. Runs jobs."""
     block, n_parts = (width + 1) // 2, parts(docs.sparkSession)
 
     def anchors(texts):
@@ -117,29 +92,31 @@ def repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[Data
         return doc[keep], value[keep]
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    hits = scratch.keep(exchange.meet(exchange.pack(named, anchors, n_parts, SIZE), n_parts, SIZE, block_hits, HITS))
-    near = scratch.keep(named.join(gathered(hits), "doc_id"))
+    met = exchange.meet(exchange.pack(named, anchors, n_parts, SIZE), n_parts, SIZE, lambda p, i, v: block_hits(p, i, v, n_parts), exchange.ANSWERS)
+    near = scratch.keep(named.join(exchange.by_document(met, n_parts, SIZE), "doc_id"))
 
     def extend(batches):
         for batch in batches:
             ids, found, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             for at, texts in slices(batch.column(1)):
                 doc, place, value = block_prints(texts, block, n_parts)
+                named_ = (value // np.uint64(2 * n_parts)) * np.uint64(n_parts) + value % np.uint64(n_parts)
                 full = full_prints(texts, width)
                 many = np.maximum(np.diff(texts.first) - width + 1, 0)
                 blocks = np.maximum(np.diff(texts.first) - block + 1, 0)
                 a = b = 0
                 for k in range(len(many)):
-                    hit = place[b:b + blocks[k]][among((value[b:b + blocks[k]] // np.uint64(2 * n_parts)) * np.uint64(n_parts) + value[b:b + blocks[k]] % np.uint64(n_parts), values(found[at + k], n_parts))]
+                    hit = place[b:b + blocks[k]][among(named_[b:b + blocks[k]], expand(found[at + k], np.uint64))]
                     rows.append((ids[at + k], np.unique(full[a:a + many[k]][around(hit, many[k], block, width)])))
                     a, b = a + many[k], b + blocks[k]
             yield from dealt(rows, n_parts)
 
-    later_ = scratch.keep(exchange.meet(near.mapInArrow(extend, exchange.PACKED), n_parts, 8, later, HITS))
-    return near, later_, n_parts
+    met = exchange.meet(near.mapInArrow(extend, exchange.PACKED), n_parts, 8, lambda p, i, v: later(p, i, v, n_parts), exchange.ANSWERS)
+    later_ = scratch.keep(exchange.by_document(met, n_parts, 8))
+    return near, later_
 
 
-def dealt(rows, n_parts: int, size: int = 8):
+def dealt(rows, n_parts: int):
     """Packed rows from (document, values): as ``exchange.pack``, for values already chosen."""
     rows = sorted((r for r in rows if len(r[1])), key=lambda r: r[0])
     if not rows:
@@ -154,15 +131,15 @@ def dealt(rows, n_parts: int, size: int = 8):
     for p in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[p], cuts[p + 1]
         held, counts = np.unique(ids[a:b], return_counts=True)
-        out.append((int(p), squeeze(held), squeeze(counts.astype(np.int32)), value[a:b].astype("<u8").tobytes() if size == 8 else None))
+        out.append((int(p), squeeze(held), squeeze(counts.astype(np.int32)), narrow(value[a:b], 8)))
     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), exchange._ARROW)], schema=exchange._ARROW)
 
 
 CUT = "doc_id bigint, n_words bigint, n_removed bigint, whole_sha256 string, kept_sha256 string"
 
 
-def cut(rows: DataFrame, n_parts: int, width: int, with_text: bool) -> DataFrame:
-    """Removes covered words from (doc_id, text, hits)."""
+def cut(rows: DataFrame, width: int, with_text: bool) -> DataFrame:
+    """Removes covered words from (doc_id, text, found)."""
     def run(batches):
         for batch in batches:
             ids, found = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -178,7 +155,7 @@ def cut(rows: DataFrame, n_parts: int, width: int, with_text: bool) -> DataFrame
                     many = max(n - width + 1, 0)
                     kept = words
                     if found[at + k]:
-                        gone = np.flatnonzero(among(full[a:a + many], values(found[at + k], n_parts)))
+                        gone = np.flatnonzero(among(full[a:a + many], expand(found[at + k], np.uint64)))
                         edge = np.zeros(n + 1, np.int64)
                         np.add.at(edge, gone, 1)
                         np.add.at(edge, gone + width, -1)
@@ -206,13 +183,13 @@ def dedup(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataF
     digests of cut documents replace theirs, matched by id and digest of the whole text.
     """
     scratch = Scratch(docs.sparkSession)
-    near, later_, n_parts = repeats(docs, scratch, width)
+    near, later_ = repeats(docs, scratch, width)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if with_text:
-        return scratch.result(cut(named.join(gathered(later_), "doc_id", "left"), n_parts, width, True).drop("whole_sha256"))
-    none = F.lit(None).cast("array<struct<part:int,prints:binary>>").alias("hits")
-    whole = cut(named.select("*", none), n_parts, width, False)
-    changed = cut(near.select("doc_id", "text").join(gathered(later_), "doc_id"), n_parts, width, False).dropDuplicates()
+        return scratch.result(cut(named.join(later_, "doc_id", "left"), width, True).drop("whole_sha256"))
+    none = F.lit(None).cast("binary").alias("found")
+    whole = cut(named.select("*", none), width, False)
+    changed = cut(near.select("doc_id", "text").join(later_, "doc_id"), width, False).dropDuplicates()
     changed = changed.select("doc_id", "whole_sha256", F.col("n_removed").alias("_removed"), F.col("kept_sha256").alias("_kept"))
     return scratch.result(whole.join(changed, ["doc_id", "whole_sha256"], "left").select(
         "doc_id", "n_words", F.coalesce("_removed", "n_removed").alias("n_removed"), F.coalesce("_kept", "kept_sha256").alias("kept_sha256")))

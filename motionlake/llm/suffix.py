@@ -36,7 +36,7 @@ from motionlake.llm.textnum import mix, powers, slices, spans
 
 WIDTH, GRAM, BLOCK = 400, 128, 2048
 
-ANCHORS = "id bigint, key bigint, anchor bigint, snippet bigint, low bigint, high bigint"
+ANCHORS = "id bigint, key bigint, anchor bigint, snippet bigint, low bigint, high bigint, place int"
 
 #: Bits of a place beside its hash; longer texts are looked at in steps of half of that.
 _BITS = 24
@@ -73,7 +73,7 @@ def anchors(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            rows, found, low, high, snippet = [], [], [], [], []
+            rows, found, low, high, snippet, places = [], [], [], [], [], []
             for at, part in slices(batch.column(2)):
                 buf, edges, here = part.buf, part.edges, []
                 n = max(len(buf) - gram + 1, 0)
@@ -91,12 +91,13 @@ def anchors(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame
                 found.append(value)
                 low.append(a)
                 high.append(z)
+                places.append((place - a).astype(np.int32))
             if rows:
                 row = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(found).view(np.int64)),
-                     pa.array(np.concatenate(snippet).view(np.int64)), pa.array(np.concatenate(low)), pa.array(np.concatenate(high))],
-                    names=["id", "key", "anchor", "snippet", "low", "high"])
+                     pa.array(np.concatenate(snippet).view(np.int64)), pa.array(np.concatenate(low)), pa.array(np.concatenate(high)), pa.array(np.concatenate(places))],
+                    names=["id", "key", "anchor", "snippet", "low", "high", "place"])
 
     return texts.mapInArrow(run, ANCHORS)
 
@@ -248,34 +249,33 @@ def repeated_starts(snippets: list[bytes], counts: list[int], width: int) -> lis
 # ---------------------------------------------------------------- the whole table
 
 CUT = "id bigint, key bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-SNIPPETS = "anchor bigint, snippet bigint, n bigint, block int, bytes binary"
+SNIPPETS = "anchor bigint, snippet bigint, n bigint, block int, place int, bytes binary"
 MARKED = "anchor bigint, snippet bigint, marks array<bigint>, open binary"
 #: Bytes of snippets in one suffix array.
-LOAD = 1 << 20
+LOAD = 1 << 19
 
 
 def cut_out(near: DataFrame, width: int) -> DataFrame:
     """SNIPPETS asked for by ``wanted`` of (id, key, text, wanted)."""
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            wanted = batch.column(3).to_pylist()
+            out = [[] for _ in SNIPPET_TYPES]
             for at, part in slices(batch.column(2)):
                 raw = part.buf.tobytes()
-                for k in range(len(part.edges) - 1):
-                    for x in wanted[at + k]:
+                for k, wanted in enumerate(batch.column(3).slice(at, len(part.edges) - 1)):
+                    for x in wanted.as_py():
                         a = part.edges[k]
-                        for c, v in zip(out, (x["anchor"], x["snippet"], x["n"], x["block"], raw[a + x["low"]:a + x["high"] + width])):
+                        for c, v in zip(out, (x["anchor"], x["snippet"], x["n"], x["block"], x["place"], raw[a + x["low"]:a + x["high"] + width])):
                             c.append(v)
                     if len(out[0]) > 5000:
                         yield _batch(out, SNIPPET_TYPES)
-                        out = [[], [], [], [], []]
+                        out = [[] for _ in SNIPPET_TYPES]
             yield _batch(out, SNIPPET_TYPES)
 
     return near.mapInArrow(run, SNIPPETS)
 
 
-SNIPPET_TYPES = {"anchor": pa.int64(), "snippet": pa.int64(), "n": pa.int64(), "block": pa.int32(), "bytes": pa.binary()}
+SNIPPET_TYPES = {"anchor": pa.int64(), "snippet": pa.int64(), "n": pa.int64(), "block": pa.int32(), "place": pa.int32(), "bytes": pa.binary()}
 MARK_TYPES = {"anchor": pa.int64(), "snippet": pa.int64(), "marks": pa.list_(pa.int64()), "open": pa.binary()}
 
 
@@ -283,7 +283,7 @@ def _batch(columns, types) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
 
-def sort_snippets(snippets: DataFrame, width: int) -> DataFrame:
+def sort_snippets(snippets: DataFrame, width: int, gram: int) -> DataFrame:
     """MARKED from SNIPPETS: starts that repeat in a block, as alternating first and last.
 
     Whole blocks are sorted together up to LOAD bytes. ``open`` holds two hashes for every
@@ -293,19 +293,22 @@ def sort_snippets(snippets: DataFrame, width: int) -> DataFrame:
         held, size, last = [], 0, None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if size > LOAD and row[0::3] != last:
+                if size > LOAD and row[0:4:3] != last:
                     yield solve(held)
                     held, size = [], 0
-                last = row[0::3]
+                last = row[0:4:3]
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield solve(held)
 
     def solve(rows):
         rows = list({r[:2]: r for r in rows}.values())
         out, shown = [[], [], [], []], set()
-        for (anchor, snippet, n, block, text), starts in zip(rows, repeated_starts([r[4] for r in rows], [r[2] for r in rows], width)):
+        live = np.flatnonzero(may_repeat(rows, width, gram))
+        starts_of = dict(zip(live, repeated_starts([rows[i][5] for i in live], [rows[i][2] for i in live], width))) if len(live) else {}
+        for k, (anchor, snippet, n, block, _, text) in enumerate(rows):
+            starts = starts_of.get(k, np.arange(len(text) - width + 1) if n > 1 else np.zeros(0, np.int64))
             left = None
             if block >= 0:
                 at, buf = np.arange(len(text) - width + 1), np.frombuffer(text, np.uint8)
@@ -324,6 +327,28 @@ def sort_snippets(snippets: DataFrame, width: int) -> DataFrame:
     return snippets.mapInArrow(run, MARKED)
 
 
+def may_repeat(rows, width: int, gram: int, steps: int = 4) -> np.ndarray:
+    """Which snippets can hold a string of another snippet of their anchor and block.
+
+    The anchor lies 0 to ``width`` - ``gram`` bytes into a string. For each of ``steps`` ranges of
+    that distance all strings hold one stretch around the anchor; only snippets that share
+    such a stretch need sorting. The rest have no string in common with others.
+    """
+    lengths = np.array([len(r[5]) for r in rows])
+    begin = np.cumsum(lengths) - lengths
+    buf = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+    place = np.array([r[4] for r in rows], np.int64)
+    group = mix(np.array([r[0] for r in rows], np.int64).view(np.uint64) + np.array([r[3] for r in rows], np.int64).view(np.uint64))
+    edges = np.linspace(0, width - gram, steps + 1).astype(np.int64)
+    live = np.zeros(len(rows), bool)
+    for near, far in zip(edges, edges[1:]):
+        fits = np.flatnonzero((place >= near) & (place + width - far <= lengths))
+        value = spans(buf, begin[fits] + place[fits] - near, begin[fits] + place[fits] + width - far) ^ group[fits]
+        _, back, counts = np.unique(value, return_inverse=True, return_counts=True)
+        live[fits[counts[back] > 1]] = True
+    return live
+
+
 def _pairs(starts: np.ndarray) -> list[int]:
     """Neighbouring starts as first, last, first, last, ..."""
     if not len(starts):
@@ -336,15 +361,15 @@ def cut(rows: DataFrame, width: int, with_text: bool = False) -> DataFrame:
     """CUT of (id, key, doc_id, text, marks): bytes of the marked strings removed."""
     def run(batches):
         for batch in batches:
-            marks, out = batch.column(4).to_pylist(), [[], [], [], [], []]
+            out = [[], [], [], [], []]
             for at, part in slices(batch.column(3)):
-                raw = part.buf.tobytes()
+                raw, marks = part.buf.tobytes(), batch.column(4).slice(at, len(part.edges) - 1)
                 for k in range(len(part.edges) - 1):
                     text, spans_ = raw[part.edges[k]:part.edges[k + 1]], 0
                     kept = text
-                    if marks[at + k]:
+                    if marks[k].is_valid:
                         edge = np.zeros(len(text) + 1, np.int64)
-                        flat = np.concatenate([np.array(m["marks"], np.int64) + m["low"] for m in marks[at + k]])
+                        flat = np.concatenate([np.array(m["marks"], np.int64) + m["low"] for m in marks[k].as_py()])
                         np.add.at(edge, flat[0::2], 1)
                         np.add.at(edge, flat[1::2] + width, -1)
                         gone = np.cumsum(edge[:-1]) > 0
@@ -374,12 +399,12 @@ def marks(texts: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int = GR
     # of a snippet that several places share, the first place lends its bytes
     lends = (F.col("kinds") > 1) & (F.col("of.id") == F.col("id")) & (F.col("of.key") == F.col("key")) & (F.col("of.low") == F.col("low"))
     number = F.when(F.col("kinds") > block, F.pmod(F.col("snippet"), F.ceil(F.col("kinds") / block)).cast("int")).otherwise(F.lit(-1))
-    want = F.when(lends, F.struct("anchor", "snippet", "n", number.alias("block"), "low", "high"))
+    want = F.when(lends, F.struct("anchor", "snippet", "n", number.alias("block"), "low", "high", "place"))
     asked = seen.groupBy("id", "key").agg(F.collect_list(want).alias("wanted"))
     near = scratch.keep(texts.select("id", "key", "text").join(asked, ["id", "key"]))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut_out(near.filter(F.size("wanted") > 0), width).repartition(n_parts, "anchor", "block").sortWithinPartitions("anchor", "block")
-    marked = scratch.keep(sort_snippets(dealt, width))
+    marked = scratch.keep(sort_snippets(dealt, width, gram))
     # different strings of hot anchors over all their blocks
     pair = F.expr("transform(sequence(0, length(open) div 16 - 1), i -> substring(open, i * 16 + 1, 16))")
     single = marked.filter("open is not null").select("anchor", "snippet", F.explode(pair).alias("string"))

@@ -1,6 +1,6 @@
 """Words, hashes and packed fingerprints of whole columns of text, in numpy.
 
-Texts are handled in slices of about two megabytes (a longer text is a slice of its own), so
+Texts are handled in slices of about one megabyte (a longer text is a slice of its own), so
 memory follows the longest text, not the batch. Hashes are differences of running sums of
 random values times powers of an odd number modulo 2^64, scrambled afterwards.
 """
@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -30,7 +30,7 @@ def powers(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """B^i and B^-i for i < n."""
     held = _POWERS[k]
     if held is None or len(held[0]) < n:
-        size = max(n, SLICE // 2)
+        size = max(n, SLICE + 1)
         up, down = np.full(size, _BASES[k], np.uint64), np.full(size, pow(_BASES[k], -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         held = np.cumprod(up), np.cumprod(down)
