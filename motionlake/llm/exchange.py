@@ -106,6 +106,15 @@ def answer(part: int, ids: np.ndarray, prints: np.ndarray, n_groups: int, size:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ANSWERS)], schema=_ANSWERS)
 
 
+def answer_counts(part: int, ids: np.ndarray, counts: np.ndarray, n_groups: int) -> pa.RecordBatch:
+    """A count for each document in one part, packed by group of documents."""
+    group = (mix(ids.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+    order = np.lexsort((ids, group))
+    cuts = np.searchsorted(group[order], np.arange(n_groups + 1))
+    rows = [(int(g), squeeze(ids[order[a:b]]), squeeze(counts[order[a:b]].astype(np.int32))) for g, a, b in zip(range(n_groups), cuts, cuts[1:]) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["doc_group", "ids", "counts"])
+
+
 FOUND = "doc_id bigint, found binary"
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import mixing, packing, quality, secrets, substring, suffix
+from motionlake.llm import mixing, packing, quality, secrets, setjoin, substring, suffix
 from motionlake.llm.common import documents
 
 QUERIES: dict = {}
@@ -116,3 +116,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(documents(spark, sf_dir))
+
+
+@query("op10_setjoin", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}') w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(CAST(len(w) - 3 AS BIGINT), 2))) i FROM w WHERE len(w) >= 1))),
+n AS MATERIALIZED (SELECT doc_id, CAST(count(*) AS BIGINT) n FROM s GROUP BY 1),
+l AS MATERIALIZED (SELECT x.doc_id x, y.doc_id y FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n a ON a.doc_id = x.doc_id JOIN n b ON b.doc_id = y.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c AS (SELECT doc_id id, doc_id c FROM documents UNION SELECT l.y, c.c FROM c JOIN l ON l.x = c.id WHERE c.c < l.y)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, CAST((SELECT min(c) FROM c WHERE c.id = w.doc_id) AS BIGINT) component_id FROM w LEFT JOIN n USING (doc_id)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(documents(spark, sf_dir))
