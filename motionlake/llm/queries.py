@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import mixing, packing, quality, secrets, setjoin, substring, suffix
+from motionlake.llm import mixing, packing, quality, secrets, setjoin, substring, suffix, topk, toxicity
 from motionlake.llm.common import documents
 
 QUERIES: dict = {}
@@ -128,3 +128,17 @@ c AS (SELECT doc_id id, doc_id c FROM documents UNION SELECT l.y, c.c FROM c JOI
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, CAST((SELECT min(c) FROM c WHERE c.id = w.doc_id) AS BIGINT) component_id FROM w LEFT JOIN n USING (doc_id)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(documents(spark, sf_dir))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op3_topk", """
+WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT q.vec_id query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS INT) distance
+  FROM q, embeddings e WHERE q.vec_id <> e.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, distance FROM d WINDOW w AS (PARTITION BY query_id ORDER BY distance, vec_id) QUALIFY row_number() OVER w <= 10""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
