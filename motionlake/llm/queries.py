@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import mixing, packing, quality, secrets, setjoin, substring, suffix, topk, toxicity
+from motionlake.llm import mixing, packing, pii, quality, secrets, setjoin, substring, suffix, topk, toxicity
 from motionlake.llm.common import documents
 
 QUERIES: dict = {}
@@ -142,3 +142,8 @@ d AS (SELECT q.vec_id query_id, e.vec_id, CAST(list_sum(list_transform(list_zip(
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, distance FROM d WINDOW w AS (PARTITION BY query_id ORDER BY distance, vec_id) QUALIFY row_number() OVER w <= 10""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir))
