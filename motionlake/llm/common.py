@@ -62,6 +62,25 @@ def parts(spark: SparkSession, per: int = 2) -> int:
     return per * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of the map of ``likely``: at most BITS / 64 rows are broadcast, whatever the data.
+BITS = 1 << 23
+
+
+def likely(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose column may be among the keys, by a broadcast bit map of fixed size.
+
+    Goes before a join that would shuffle long rows. It never loses a row; with more keys than
+    bits it only lets more through.
+    """
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITS))
+
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(_at % 64 as int))")
+    words = keys.select(place(key).alias("_at")).select(F.floor(F.col("_at") / 64).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_at", place(column)).withColumn("_word", F.floor(F.col("_at") / 64))
+    return marked.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def ranked(df: DataFrame, order, scratch: Scratch, name: str = "rank") -> DataFrame:
     """0-based rank over all rows, without one task that sees them all.
 

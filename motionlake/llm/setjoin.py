@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.llm import exchange
-from motionlake.llm.common import Scratch, parts
+from motionlake.llm.common import Scratch, likely, parts
 from motionlake.llm.textnum import Texts, mix, slices
 
 WIDTH, SHARE = 5, 80
@@ -249,7 +249,8 @@ def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
 
     held = shared_counts(exchange.pack(named, prints, n_parts, SIZE, lower=True), n_parts)
     able = stands.join(held.withColumnRenamed("doc_id", "rep"), "rep").filter(F.col("held") * 100 >= F.col("n_shingles") * share)
-    near = named.join(scratch.keep(able.select(F.col("rep").alias("doc_id"), "a", "held")), "doc_id")
+    able = scratch.keep(able.select(F.col("rep").alias("doc_id"), "a", "held"))
+    near = likely(named, "doc_id", able, "doc_id").join(able, "doc_id")
     found = scratch.keep(links(scratch.keep(set_rows(near, width)), scratch, share))
     label = found.select(F.col("x").alias("a"), F.col("y").alias("component"))
     label = label if found.isEmpty() else components(found, scratch).withColumnRenamed("id", "a")

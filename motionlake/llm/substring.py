@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.llm import exchange
-from motionlake.llm.common import Scratch, parts
+from motionlake.llm.common import Scratch, likely, parts
 from motionlake.llm.textnum import Texts, expand, mix, narrow, slices, squeeze
 
 WIDTH = 13
@@ -93,7 +93,8 @@ def repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[Data
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     met = exchange.meet(exchange.pack(named, anchors, n_parts, SIZE), n_parts, SIZE, lambda p, i, v: block_hits(p, i, v, n_parts), exchange.ANSWERS)
-    near = scratch.keep(named.join(exchange.by_document(met, n_parts, SIZE), "doc_id"))
+    hits = scratch.keep(exchange.by_document(met, n_parts, SIZE))
+    near = scratch.keep(likely(named, "doc_id", hits, "doc_id").join(hits, "doc_id"))
 
     def extend(batches):
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.llm.common import Scratch
+from motionlake.llm.common import Scratch, likely
 from motionlake.llm.exchange import runs
 from motionlake.llm.textnum import mix, powers, slices, spans
 
@@ -252,7 +252,7 @@ CUT = "id bigint, key bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n
 SNIPPETS = "anchor bigint, snippet bigint, n bigint, block int, place int, bytes binary"
 MARKED = "anchor bigint, snippet bigint, marks array<bigint>, open binary"
 #: Bytes of snippets in one suffix array.
-LOAD = 1 << 19
+LOAD = 1 << 18
 
 
 def cut_out(near: DataFrame, width: int) -> DataFrame:
@@ -400,8 +400,8 @@ def marks(texts: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int = GR
     lends = (F.col("kinds") > 1) & (F.col("of.id") == F.col("id")) & (F.col("of.key") == F.col("key")) & (F.col("of.low") == F.col("low"))
     number = F.when(F.col("kinds") > block, F.pmod(F.col("snippet"), F.ceil(F.col("kinds") / block)).cast("int")).otherwise(F.lit(-1))
     want = F.when(lends, F.struct("anchor", "snippet", "n", number.alias("block"), "low", "high", "place"))
-    asked = seen.groupBy("id", "key").agg(F.collect_list(want).alias("wanted"))
-    near = scratch.keep(texts.select("id", "key", "text").join(asked, ["id", "key"]))
+    asked = scratch.keep(seen.groupBy("id", "key").agg(F.collect_list(want).alias("wanted")))
+    near = scratch.keep(likely(texts.select("id", "key", "text"), "key", asked, "key").join(asked, ["id", "key"]))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut_out(near.filter(F.size("wanted") > 0), width).repartition(n_parts, "anchor", "block").sortWithinPartitions("anchor", "block")
     marked = scratch.keep(sort_snippets(dealt, width, gram))

@@ -1,6 +1,6 @@
 """Words, hashes and packed fingerprints of whole columns of text, in numpy.
 
-Texts are handled in slices of about one megabyte (a longer text is a slice of its own), so
+Texts are handled in slices of about 400 kilobytes (a longer text is a slice of its own), so
 memory follows the longest text, not the batch. Hashes are differences of running sums of
 random values times powers of an odd number modulo 2^64, scrambled afterwards.
 """
@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1_000_000
+SLICE = 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -34,7 +34,7 @@ def powers(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, _BASES[k], np.uint64), np.full(size, pow(_BASES[k], -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         held = np.cumprod(up), np.cumprod(down)
-        if size <= 4 * SLICE:
+        if size <= 8 * SLICE:
             _POWERS[k] = held
     return held
 
@@ -96,14 +96,15 @@ class Texts:
 
 def slices(column: pa.Array, lower: bool = False):
     """(first row, Texts) over a column; null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
-        yield at, Texts(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], lower)
-        at = to
+    for start in range(0, len(column), 512):
+        some = pc.fill_null(column.slice(start, 512).cast(pa.large_string()), "")
+        offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset:some.offset + len(some) + 1]
+        data = np.frombuffer(some.buffers()[2], np.uint8) if some.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+            yield start + at, Texts(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at], lower)
+            at = to
 
 
 _CODEC = pa.Codec("zstd", compression_level=1)
