@@ -159,13 +159,14 @@ def rendered(surface: str, kind: str, new: str) -> str:
 ENTITY = "kind string, norm string, attempt int, new string"
 
 
-def settle(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
+def settle(found: DataFrame, key: bytes, scratch: Scratch, maker=None) -> DataFrame:
     """ENTITY rows whose surrogates are distinct per kind and no entity themselves, from (kind, norm). Runs jobs."""
     def make(frames):
         for f in frames:
             f["new"] = [surrogate(k, n, a, key) for k, n, a in zip(f["kind"], f["norm"], f["attempt"])]
             yield f
 
+    make = maker or make
     real = scratch.keep(found.distinct())
     made = scratch.keep(real.withColumn("attempt", F.lit(0)).mapInPandas(make, ENTITY))
     while True:

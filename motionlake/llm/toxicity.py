@@ -27,8 +27,12 @@ from motionlake.llm.textnum import Texts, mix, slices
 MOST, SEGMENT, BUCKETS, SIZES, DIM = 2000, 24, 1 << 17, (3, 4, 5, 6), 8
 #: A segment with fewer words is averaged over so many.
 FEWEST = 8
-#: Batches that halve the shrinkage of a bucket's margin.
-RARE = 100
+#: A margin met in this part of the batches is halved.
+RARE = 0.1
+#: A small sample is gone through again until so many batches were seen.
+STEPS = 300
+#: Every so many documents of the sample set the scale of the scores and train nothing else.
+CALIBRATE = 5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -145,12 +149,14 @@ def train(texts: list[str], labels: np.ndarray, weight: float, epochs: int = 2,
 
     def margins():
         # a bucket met in few batches says little: its margin shrinks
-        one = (table @ (head[:, 1] - head[:, 0])).astype(np.float64) * touched / (touched + RARE)
+        one = (table @ (head[:, 1] - head[:, 0])).astype(np.float64) * touched / (touched + RARE * touched.max())
         word = np.bincount(gram_owner, one[gram_bucket], n_words) / np.maximum(np.diff(gram_at), 1)
         return np.bincount(seg_rows, word[word_rows], at_seg) / np.maximum(np.diff(word_at), FEWEST) + bias[1] - bias[0], one
 
+    learned = np.flatnonzero(seg_doc % CALIBRATE != 0)
+    epochs = max(epochs, min(10, -(-STEPS * batch // max(len(learned), 1))))
     for _ in range(epochs):
-        order = rng.permutation(at_seg)
+        order = rng.permutation(learned)
         for k in range(0, len(order), batch):
             chosen = order[k:k + batch]
             seg, bucket, share = pieces(chosen)
@@ -172,7 +178,9 @@ def train(texts: list[str], labels: np.ndarray, weight: float, epochs: int = 2,
     value, one = margins()
     best = np.full(len(labels), bias[1] - bias[0])
     np.maximum.at(best, seg_doc, value)
-    scale, shift = calibrated(best, labels, weight)
+    apart = np.arange(len(labels)) % CALIBRATE == 0
+    apart = apart if len(set(labels[apart].tolist())) == 2 else ~apart
+    scale, shift = calibrated(best[apart], labels[apart], weight)
     return Model(one, float(bias[1] - bias[0]), scale, shift)
 
 
