@@ -17,7 +17,7 @@ from motionlake.schema import CHUNK, EP, HALO, SALTS
 
 # ---------------------------------------------------------------- lineage
 
-def shared_folder(spark) -> str | None:
+def shared_folder(spark) -> str:
     """The folder the session names for cut lineage; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -26,7 +26,7 @@ def shared_folder(spark) -> str | None:
     if not held.isEmpty():
         return held.get()
     if not spark.sparkContext.master.startswith("local"):
-        return None
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     named = tempfile.mkdtemp(prefix="spark-lineage-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -36,11 +36,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: write the rows as parquet in the shared folder and read them back.
 
     Runs a job. Later branches read only the columns they need, and a lost executor costs no
-    recomputation. Without a shared folder on a cluster the plan is returned as it is.
+    recomputation. On a cluster ``spark.checkpoint.dir`` must be set.
     """
     folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ CLIPS_PER_CALL, NORMALS, FLAGGED_CAP = 10, 3, 20  # fixed values
 def cap_flagged(flagged: DataFrame, cap: int = FLAGGED_CAP) -> DataFrame:
     """First ``cap`` flagged episodes of a task by index, with their position."""
     w = Window.partitionBy(*TASK).orderBy("episode_index")
-    return flagged.select(*EP).distinct().withColumn("position", F.row_number().over(w) - 1).filter(F.col("position") < cap)
+    return flagged.select(*EP).distinct().withColumn("position", F.row_number().over(w)).filter(F.col("position") <= cap).withColumn("position", F.col("position") - 1)
 
 
 def cap_summary(flagged: DataFrame, cap: int = FLAGGED_CAP) -> DataFrame:

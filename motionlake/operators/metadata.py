@@ -181,12 +181,12 @@ def classify_dims(df: DataFrame, style: str = "server", labels: str = "labels",
 
 # ---------------------------------------------------------------- datasets
 
-def capabilities(datasets: DataFrame, size_limit_mb: float = 500) -> DataFrame:
+def capabilities(datasets: DataFrame, size_limit_mb: float | None = None) -> DataFrame:
     """What can be analysed per dataset, with the note shown when signals cannot."""
     f = F.coalesce("format", F.lit("unknown"))
     has = F.coalesce("has_actions", f.isin("mcap", "lerobot"))
     video = f.isin("webdataset", "video")
-    big = F.coalesce(F.col("max_episode_size_mb") > size_limit_mb, F.lit(False))
+    big = F.coalesce(F.col("max_episode_size_mb") > F.lit(size_limit_mb), F.lit(False))
     blocked = ~has & (f != "unknown")
     note = (F.when(blocked & video, "Video-only dataset — no robot action or IMU signals available").when(blocked, "This dataset does not contain action signals")
             .when(big, F.concat(F.lit("Episode files are too large for signal extraction (~"), F.format_number(F.bround("max_episode_size_mb"), 0),

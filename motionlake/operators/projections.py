@@ -127,7 +127,7 @@ def position_series(frames: DataFrame) -> DataFrame:
     cell = lambda name, v: F.struct(F.lit(name).alias("entity"), v.alias("value"))
     fixed = F.array(cell("position_mag", part(1, 3)), *[cell(k, F.get(a, F.lit(i))) for i, k in enumerate("xyz")],
                     cell("rotation_mag", F.when(F.size(a) > 3, part(4, 3))))
-    grips = F.transform(F.slice(a, 7, 1 << 20), lambda g: F.struct(F.lit("gripper").alias("entity"), g.alias("value")))
+    grips = F.transform(F.slice(a, F.lit(7), F.greatest(F.size(a), F.lit(1))), lambda g: F.struct(F.lit("gripper").alias("entity"), g.alias("value")))
     rows = F.filter(F.concat(fixed, grips), lambda x: x["value"].isNotNull())
     return frames.filter("action is not null").select(*EP, "frame_index", "ts", F.inline(rows))
 

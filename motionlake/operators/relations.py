@@ -7,16 +7,12 @@ from motionlake.operators.chunks import attach, chunk_of
 from motionlake.schema import EP, TASK
 
 
-def tasks_with_counts(tasks: DataFrame, episodes: DataFrame, skip_above: int = None) -> DataFrame:
-    """Tasks with episode counts (null where none); counts may be skipped above a task total."""
+def tasks_with_counts(tasks: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Tasks with episode counts (null where none)."""
     c = episodes.groupBy(*TASK).agg(F.count(F.lit(1)).alias("episode_count"))
     name = F.trim(F.coalesce("task_description", F.lit("")))
     name = F.when(name == "", F.concat(F.lit("Untitled (task "), F.col("task_index").cast("string"), F.lit(")"))).otherwise(name)
-    j = tasks.join(c, TASK, "left").select(*TASK, name.alias("task_name"), "episode_count")
-    if skip_above is not None:
-        total = tasks.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
-        j = j.join(total, "dataset_id").withColumn("episode_count", F.when(F.col("_n") <= skip_above, F.col("episode_count"))).drop("_n")
-    return j
+    return tasks.join(c, TASK, "left").select(*TASK, name.alias("task_name"), "episode_count")
 
 
 def episode_task_map(meta: DataFrame, rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from motionlake.operators.chunks import (
     attach, by_frame, chunk_of, chunked, episode_lengths, materialise, numbered, own, scan, spread_join,
 )
 from motionlake.operators.spectrum import low_power
-from motionlake.schema import EP, TASK
+from motionlake.schema import EP, HALO, TASK
 
 
 def derivatives(frames: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def gaussian_array(arr, sigma: float, size: int) -> Column:
 
 def smooth(frames: DataFrame, value: Column, sigma: float, name: str = "smoothed") -> DataFrame:
     """Gaussian smoothing of one per-frame value: (episode, frame_index, name)."""
-    ch = chunked(frames.select(*EP, "frame_index", value.alias("_x")))
+    ch = chunked(frames.select(*EP, "frame_index", value.alias("_x")), halo=max(HALO, int(4 * sigma + 0.5) + 1))
     ch = attach(ch, episode_lengths(frames), ["n_frames"])
     return own(ch.select(*EP, "frame_index", "_own", "_chunk",
                          gaussian_window("_x", sigma, "n_frames").alias(name))).drop("_chunk")

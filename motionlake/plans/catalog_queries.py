@@ -237,7 +237,7 @@ def _(spark, sf):
     fmt = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ["mcap", "lerobot", "webdataset", "video", "hdf5"])), k % 6 + 1)
     d = table(spark, sf, "nation").select(F.col("n_name").alias("dataset_id"), fmt.alias("format"), F.when(k % 5 == 0, True).alias("has_actions"),
                                           F.lit(None).cast("boolean").alias("has_imu"), F.when(k % 4 == 0, k * 100.0 + 37).alias("max_episode_size_mb"))
-    return metadata.capabilities(d)
+    return metadata.capabilities(d, size_limit_mb=500)
 
 
 # ---------------------------------------------------------------- features

@@ -849,7 +849,7 @@ def _(spark, sf):
 
 @query("meta_summary", f"WITH {EPISODES} SELECT dataset_id, task_index, 'task ' || task_index AS task_name, {I('count(*)', 'episode_count')} FROM ep GROUP BY ALL ORDER BY 1, 2")
 def _(spark, sf):
-    return relations.tasks_with_counts(task_table(frames(spark, sf)), lengths(spark, sf), skip_above=100).orderBy(*TASK)
+    return relations.tasks_with_counts(task_table(frames(spark, sf)), lengths(spark, sf)).orderBy(*TASK)
 
 
 @query("task_counts", f"WITH {EPISODES} SELECT coalesce(CASE WHEN task_index <> 4 THEN 'task ' || task_index END, 'Unknown') AS task_name, {I('count(*)', 'episode_count')} FROM ep GROUP BY 1")

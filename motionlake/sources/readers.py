@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionlake.functions.scalars import extension
+from motionlake.operators.chunks import numbered
 from motionlake.operators.projections import append_gripper, pick_action
+from motionlake.schema import CHUNK
 
 SIGNAL_COLUMNS = ["dataset_id", "episode_index", "episode_id", "frame_index", "index", "timestamp", "task_index",
                   "action", "observation.state", "end_pose", "start_pos", "gripper_width"]
@@ -23,9 +25,13 @@ def read_frames(spark: SparkSession, path: str, wanted=None) -> DataFrame:
 
 def canonical_frames(df: DataFrame, dataset_id: str = "dataset", rate: float = 10.0) -> DataFrame:
     """Signal columns to (dataset_id, task_index, episode_index, frame_index, ts, action, state)."""
+    if "frame_index" not in df.columns:
+        # ``index`` runs on over the dataset: frames are its places in each episode
+        places = numbered(df.select("episode_index", "index"), ["episode_index"], "index", F.floor(F.col("index") / CHUNK), "frame_index")
+        df = df.join(places, ["episode_index", "index"])
     picked = append_gripper(pick_action(df, "_signal"), "_signal")
     has = set(df.columns)
-    frame = F.col("frame_index") if "frame_index" in has else F.col("index")
+    frame = F.col("frame_index")
     state = _q("observation.state") if "observation.state" in has else F.array().cast("array<double>")
     made = frame / F.lit(float(rate))
     return picked.select(
@@ -64,15 +70,15 @@ def read_tasks_meta(df: DataFrame) -> DataFrame:
     return df.select(*keep, number.cast("long").alias("task_index"), _q(text).cast("string").alias("task_description"))
 
 
-def file_manifest(spark: SparkSession, root: str, max_depth: int = 3) -> DataFrame:
-    """Episode files below a folder with sizes; file content is not read."""
+def file_manifest(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
+    """Episode files below a folder with sizes, ``max_depth`` folders deep if given; content is not read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.{" + ",".join(EPISODE_FILES) + "}").load(root).select("path", F.col("length").alias("size_bytes")))
     base = root.rstrip("/")
     base = base[len("file:"):] if base.startswith("file:") else base
     rel = F.regexp_replace(F.col("path"), "^[a-z0-9]*:/*" + base.rstrip("/").replace(".", r"\.") + "/", "")
     out = files.select(rel.alias("path"), "size_bytes").withColumn("ext", extension("path"))
-    return out.filter(F.size(F.split("path", "/")) - 1 <= max_depth)
+    return out if max_depth is None else out.filter(F.size(F.split("path", "/")) - 1 <= max_depth)
 
 
 MESSAGE_XYZ = "struct<x:double,y:double,z:double>"
