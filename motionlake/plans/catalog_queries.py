@@ -318,7 +318,7 @@ def _(spark, sf):
     return readers.video_ranges(meta).select("episode_index", "length", "video_key", "chunk_index", "file_index", "from_timestamp")
 
 
-@query("read_signal_columns", "SELECT user_id AS episode_index, event_id AS \"index\", round(value, 6) + 0e0 AS ts, CAST(1 AS BIGINT) AS dims FROM events")
+@query("read_signal_columns", "SELECT user_id AS episode_index, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS \"index\", round(value, 6) + 0e0 AS ts, CAST(1 AS BIGINT) AS dims FROM events")
 def _(spark, sf):
     raw = readers.read_frames(spark, f"{sf}/events.parquet", ["event_id", "user_id", "value"])
     named = raw.select(F.col("user_id").alias("episode_index"), F.col("event_id").alias("index"), F.col("value").alias("timestamp"), F.col("value").alias("action"))
