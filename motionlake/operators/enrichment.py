@@ -26,9 +26,9 @@ def cap_summary(flagged: DataFrame, cap: int = FLAGGED_CAP) -> DataFrame:
 def cluster_calls(clusters: DataFrame) -> DataFrame:
     """Clips per cluster call: the cluster's medoid and one contrast medoid per other cluster.
 
-    A cohort has at most five clusters, so its pairs are bounded.
+    A task has at most five clusters, so its pairs are bounded.
     """
-    key = [*TASK, "cohort"]
+    key = TASK
     t = clusters.select(*key, F.col("cluster").alias("target_cluster"), "size")
     o = clusters.select(*key, "cluster", F.col("medoid").alias("episode_index"))
     j = t.join(o, key)
@@ -38,7 +38,7 @@ def cluster_calls(clusters: DataFrame) -> DataFrame:
 def flag_batches(flagged: DataFrame, clusters: DataFrame, cap: int = FLAGGED_CAP) -> DataFrame:
     """Batches of flagged episodes with up to three normal references, ten clips in all."""
     w = Window.partitionBy(*TASK).orderBy("cluster")
-    normals = clusters.filter("cohort = 0").select(*TASK, "cluster", "medoid").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= NORMALS)
+    normals = clusters.select(*TASK, "cluster", "medoid").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= NORMALS)
     n = normals.groupBy(*TASK).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list("medoid")).alias("normal_ids"))
     j = cap_flagged(flagged, cap).join(n, TASK, "left")
     per = F.greatest(F.lit(1), F.lit(CLIPS_PER_CALL) - F.coalesce("_n", F.lit(0)))
@@ -47,7 +47,7 @@ def flag_batches(flagged: DataFrame, clusters: DataFrame, cap: int = FLAGGED_CAP
 
 def enrichment_plan(flagged: DataFrame, clusters: DataFrame, cap: int = FLAGGED_CAP) -> DataFrame:
     """Every clip to send: (task, call, role, episode_index)."""
-    a = cluster_calls(clusters).select(*TASK, F.concat(F.lit("cohort "), F.col("cohort").cast("string"), F.lit(" cluster "), F.col("target_cluster")).alias("call"), "role", "episode_index")
+    a = cluster_calls(clusters).select(*TASK, F.concat(F.lit("cluster "), F.col("target_cluster")).alias("call"), "role", "episode_index")
     b = flag_batches(flagged, clusters, cap)
     shown = b.select(*TASK, F.concat(F.lit("flags "), F.col("batch").cast("string")).alias("call"), F.lit("flagged").alias("role"), "episode_index")
     refs = b.select(*TASK, "batch", "normal_ids").distinct().select(
@@ -57,11 +57,11 @@ def enrichment_plan(flagged: DataFrame, clusters: DataFrame, cap: int = FLAGGED_
 
 
 def merge_cluster_answers(clusters: DataFrame, answers: DataFrame) -> DataFrame:
-    """answers: (task, cohort, cluster, proposed_label, description, confidence)."""
-    return clusters.join(answers, [*TASK, "cohort", "cluster"], "left")
+    """answers: (task, cluster, proposed_label, description, confidence)."""
+    return clusters.join(answers, [*TASK, "cluster"], "left")
 
 
-def merge_episode_answers(reasons: DataFrame, answers: DataFrame, signal: str = "gemini") -> DataFrame:
+def merge_episode_answers(reasons: DataFrame, answers: DataFrame, signal: str = "review") -> DataFrame:
     """Append new observations as reasons.
 
     answers: (episode, severity, confirmation, observations array<struct<timestamp, observation, phase, cycle>>).

@@ -309,11 +309,11 @@ def _(spark, sf):
 
 @query("episode_clusters")
 def _(spark, sf):
-    return cycles(spark, sf).select(*EP, "num_cycles").join(members(spark, sf).select(*EP, "cohort", "cluster"), EP, "left")
+    return cycles(spark, sf).select(*EP, "num_cycles").join(members(spark, sf).select(*EP, "cluster"), EP, "left")
 
 
 @query("cluster_answers")
 def _(spark, sf):
     c = clusters.cluster_table(members(spark, sf))
-    answers = c.filter("size > 5").select(*TASK, "cohort", "cluster", F.upper("label").alias("proposed_label"))
+    answers = c.select(*TASK, "cluster", F.upper("label").alias("proposed_label"))
     return enrichment.merge_cluster_answers(c, answers)

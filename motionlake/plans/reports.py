@@ -10,7 +10,7 @@ from motionlake.operators.series import hot_zones
 from motionlake.schema import EP
 
 
-def analyze_tasks(frames: DataFrame, cohort_size: int = None, cluster_cohort: int = clusters.MAX_COHORT) -> dict:
+def analyze_tasks(frames: DataFrame, cohort_size: int = None) -> dict:
     """Phases, features, reasons and clusters of every task.
 
     ``cohort_size`` keeps the first n episodes of a task; without it every episode counts.
@@ -27,14 +27,14 @@ def analyze_tasks(frames: DataFrame, cohort_size: int = None, cluster_cohort: in
                .unionByName(phases.cycle_count_flags(cycles)).unionByName(outliers.shape_outlier_flags(features)))
     return {
         "raw_ranges": raw, "ranges": ranges, "phases": found, "cycles": cycles, "features": features,
-        "reasons": materialise(reasons), "members": materialise(clusters.variance_clusters(features, cluster_cohort)),
+        "reasons": materialise(reasons), "members": materialise(clusters.variance_clusters(features)),
     }
 
 
 def episode_overview(report: dict) -> DataFrame:
     """Flat report: cycles, frames, number of reasons, cluster per episode."""
     r = report["reasons"].groupBy(*EP).agg(F.count(F.lit(1)).alias("reasons"))
-    j = report["cycles"].select(*EP, "n_frames", "num_cycles").join(r, EP, "left").join(report["members"].select(*EP, "cohort", "cluster"), EP, "left")
+    j = report["cycles"].select(*EP, "n_frames", "num_cycles").join(r, EP, "left").join(report["members"].select(*EP, "cluster"), EP, "left")
     return j.withColumn("reasons", F.coalesce("reasons", F.lit(0)).cast("long")).withColumn("is_anomaly", F.col("reasons") > 0)
 
 

@@ -26,7 +26,7 @@ def episode_reports(cycles: DataFrame, members: DataFrame, phases: DataFrame, fe
     nested = p.join(r, [*EP, "page"], "full")
     flagged = reasons.select(*EP).distinct().withColumn("is_anomaly", F.lit(True))
     f = features.select(*EP, F.struct(*[c for c in features.columns if c not in EP]).alias("shape_features"))
-    one = (cycles.select(*EP, "n_frames", "num_cycles").join(f, EP).join(members.select(*EP, "cohort", "cluster"), EP, "left")
+    one = (cycles.select(*EP, "n_frames", "num_cycles").join(f, EP).join(members.select(*EP, "cluster"), EP, "left")
            .join(flagged, EP, "left").withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False))))
     return one.join(nested, EP, "left").withColumn("page", F.coalesce("page", F.lit(0)))
 

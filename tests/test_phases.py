@@ -125,13 +125,6 @@ def test_small_cohort_cannot_flag_shape(spark):
     assert outliers.shape_outlier_flags(feature_frame(spark, x)).count() == 0
 
 
-@pytest.mark.parametrize("k", [2, 3, 5])
-def test_ward_equals_brute_force(k):
-    x = np.random.default_rng(k).normal(size=(24, 4))
-    labels = clusters.ward_labels(x, [2, 3, 4, 5])[k]
-    assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(k)} == twins.ward(x, k)
-
-
 def test_three_modes_are_recovered(spark):
     rng = np.random.default_rng(8)
     centre = np.array([[0] * 10, [20] * 5 + [0] * 5, [0] * 5 + [20] * 5], float)
@@ -144,14 +137,32 @@ def test_three_modes_are_recovered(spark):
     assert all(r.medoid in groups[r.cluster] for r in rows)
 
 
-def test_four_episodes_and_several_cohorts(spark):
-    x = np.random.default_rng(1).normal(size=(11, 10))
-    four = clusters.variance_clusters(feature_frame(spark, x[:4])).collect()
-    assert {r.episode_index for r in four} == {0, 1, 2, 3}
-    many = clusters.variance_clusters(feature_frame(spark, x), cohort_size=5).collect()
-    assert {r.episode_index for r in many} == set(range(10))  # the last cohort of one is too small
-    with pytest.raises(ValueError):
-        clusters.variance_clusters(feature_frame(spark, x), cohort_size=500)
+def test_clusters_hold_every_episode(spark):
+    x = np.random.default_rng(1).normal(size=(203, 10))
+    for n in (4, 203):
+        rows = clusters.variance_clusters(feature_frame(spark, x[:n])).collect()
+        assert sorted(r.episode_index for r in rows) == list(range(n))
+    assert clusters.variance_clusters(feature_frame(spark, x[:3])).count() == 0
+
+
+def test_rounds_equal_numpy(spark):
+    z = np.random.default_rng(4).normal(size=(40, 10)).round(9)
+    points = spark.createDataFrame([("d", 0, 0, i, [float(v) for v in row]) for i, row in enumerate(z)], "dataset_id string, task_index long, set int, episode_index long, z array<double>")
+    got = clusters.assigned(points, clusters.centroids_of(points, (2, 4), 3), (2, 4)).collect()
+    for k in (2, 4):
+        want = twins.rounds(z, k, 3)
+        assert [r.at for r in sorted(got, key=lambda r: r.episode_index) if r.k == k] == want.tolist()
+
+
+def test_medoid_is_the_most_central_member(spark):
+    x = np.random.default_rng(6).normal(size=(30, 10)).round(4)
+    z = (x - x.mean(0)) / x.std(0)
+    rows = clusters.variance_clusters(feature_frame(spark, x)).collect()
+    for c in {r.cluster for r in rows}:
+        ids = sorted((r.episode_index for r in rows if r.cluster == c), key=str)
+        cost = ((z[ids][:, None] - z[ids][None]) ** 2).sum((1, 2))
+        assert {r.medoid for r in rows if r.cluster == c} == {ids[int(cost.argmin())]}
+        assert {r.size for r in rows if r.cluster == c} == {len(ids)}
 
 
 def test_cohort_keeps_the_first(spark):

@@ -114,7 +114,7 @@ def test_report_pages_keep_every_phase(spark, tmp_path):
     ph = key.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(24)))).select("dataset_id", "task_index", "episode_index", F.concat(F.lit("P"), F.col("i").cast("string")).alias("phase"),
                                                                                 F.lit(0).cast("long").alias("cycle"), (F.col("i") * 10).cast("long").alias("start"), (F.col("i") * 10 + 10).cast("long").alias("end"))
     c = key.select("*", F.lit(250).alias("n_frames"), F.lit(0).alias("num_cycles"))
-    m = key.select("*", F.lit(0).alias("cohort"), F.lit("C1").alias("cluster"))
+    m = key.select("*", F.lit("C1").alias("cluster"))
     ft = key.withColumn("z_range", F.lit(0.5))
     why = key.select("*", F.lit("shape").alias("signal"), F.lit(None).cast("string").alias("phase"), F.lit(None).cast("long").alias("cycle"), F.lit("x").alias("feature"), F.lit(1.0).alias("magnitude"), F.lit("t").alias("explanation"), F.lit(4).alias("ordinal"))
     r = sinks.episode_reports(c, m, ph, ft, why, page=10)
@@ -127,7 +127,7 @@ def test_report_pages_keep_every_phase(spark, tmp_path):
 def test_review_plan_and_merge(spark):
     key = "dataset_id string, task_index long, episode_index long"
     flagged = spark.createDataFrame([("d", 0, i) for i in range(30)], key)
-    cl = spark.createDataFrame([("d", 0, 0, f"C{i}", 5, i) for i in range(1, 5)], "dataset_id string, task_index long, cohort long, cluster string, size long, medoid long")
+    cl = spark.createDataFrame([("d", 0, f"C{i}", 5, i) for i in range(1, 5)], "dataset_id string, task_index long, cluster string, size long, medoid long")
     b = enrichment.flag_batches(flagged, cl).collect()
     assert len(b) == 20 and max(r.batch for r in b) == 2 and b[0].normal_ids == "1,2,3"
     assert sum(r.batch == 0 for r in b) == 7

@@ -157,16 +157,17 @@ def mahalanobis(x):
     return np.einsum("ij,jk,ik->i", z, inv, z)
 
 
-def ward(x, k):
-    """Merge the pair with the smallest rise of the within sum of squares until k groups remain."""
-    groups = [[i] for i in range(len(x))]
-    while len(groups) > k:
-        best = min(((len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum(), i, j)
-                    for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j))
-        _, i, j = best
-        groups[i] = groups[i] + groups[j]
-        del groups[j]
-    return {frozenset(g) for g in groups}
+def rounds(z, k, n):
+    """Labels after n rounds of centroids from far seeds."""
+    dist = lambda c: ((z[:, None] - c[None]) ** 2).sum(-1)
+    seeds = [z[(z ** 2).sum(1).argmax()]]
+    while len(seeds) < k:
+        seeds.append(z[dist(np.array(seeds)).min(1).argmax()])
+    c = np.array(seeds)
+    for _ in range(n):
+        at = dist(c).argmin(1)
+        c = np.array([z[at == j].mean(0) for j in range(k)])
+    return dist(c).argmin(1)
 
 
 def smoothness(a):
