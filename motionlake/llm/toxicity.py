@@ -13,7 +13,7 @@ trained model is folded into one number per n-gram bucket: a table of fixed size
 
 Defined cases: null or empty text has no words and scores as the bare bias; a document without
 id counts as held out; several labels of one id count as toxic if one is; without both
-classes among the labels every score is 0; repeated rows score alike; an empty table gives no
+classes among the labels, or without a word in the sample, every score is 0; repeated rows score alike; an empty table gives no
 rows; other columns are never read.
 """
 
@@ -115,23 +115,35 @@ def train(texts: list[str], labels: np.ndarray, weight: float, epochs: int = 2,
     n_words = 0
     word_rows, seg_rows, seg_doc = [], [], []
     at_seg = 0
-    gram_owner, gram_bucket = [], []
+    gram_count, gram_bucket = [], []
+    vocabulary, place_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for at, part in slices(pa.array(texts, pa.large_string()), lower=True):
         part.words()
         if not len(part.starts):
             continue
         hashes = part.word_hashes()
         known, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        owner, bucket = grams(part, one)
-        gram_owner.append(owner + n_words)
-        gram_bucket.append(bucket)
+        # a word of earlier slices keeps its place: its n-grams are held once
+        near = np.minimum(np.searchsorted(vocabulary, known), max(len(vocabulary) - 1, 0))
+        old = vocabulary[near] == known if len(vocabulary) else np.zeros(len(known), bool)
+        place = np.empty(len(known), np.int64)
+        place[old] = place_of[near[old]]
+        place[~old] = n_words + np.arange((~old).sum())
+        owner, bucket = grams(part, one[~old])
+        gram_count.append(np.bincount(owner, minlength=(~old).sum()))
+        gram_bucket.append(bucket.astype(np.int32))
         of_word, word_of, doc = segments(part.first, SEGMENT, back)
-        word_rows.append(word_of + n_words)
+        word_rows.append(place[word_of])
         seg_rows.append(of_word + at_seg)
         seg_doc.append(doc + at)
-        n_words, at_seg = n_words + len(one), at_seg + len(doc)
-    gram_owner, gram_bucket, word_rows, seg_rows, seg_doc = map(np.concatenate, (gram_owner, gram_bucket, word_rows, seg_rows, seg_doc))
-    gram_at = np.searchsorted(gram_owner, np.arange(n_words + 1))
+        n_words, at_seg = n_words + int((~old).sum()), at_seg + len(doc)
+        vocabulary, place_of = np.concatenate([vocabulary, known[~old]]), np.concatenate([place_of, place[~old]])
+        order = np.argsort(vocabulary)
+        vocabulary, place_of = vocabulary[order], place_of[order]
+    if not n_words:
+        return Model(None)
+    gram_count, gram_bucket, word_rows, seg_rows, seg_doc = map(np.concatenate, (gram_count, gram_bucket, word_rows, seg_rows, seg_doc))
+    gram_at = np.concatenate([[0], np.cumsum(gram_count)])
     word_at = np.searchsorted(seg_rows, np.arange(at_seg + 1))
     label = labels[seg_doc]
     rng = np.random.default_rng(13)
@@ -150,7 +162,7 @@ def train(texts: list[str], labels: np.ndarray, weight: float, epochs: int = 2,
     def margins():
         # a bucket met in few batches says little: its margin shrinks
         one = (table @ (head[:, 1] - head[:, 0])).astype(np.float64) * touched / (touched + RARE * touched.max())
-        word = np.bincount(gram_owner, one[gram_bucket], n_words) / np.maximum(np.diff(gram_at), 1)
+        word = np.bincount(np.repeat(np.arange(n_words), gram_count), one[gram_bucket], n_words) / np.maximum(gram_count, 1)
         return np.bincount(seg_rows, word[word_rows], at_seg) / np.maximum(np.diff(word_at), FEWEST) + bias[1] - bias[0], one
 
     learned = np.flatnonzero(seg_doc % CALIBRATE != 0)
