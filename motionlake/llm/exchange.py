@@ -7,9 +7,12 @@ at most once, so even one that a third of all documents share adds few entries t
 next to all their others; the number of parts follows ``spark.sql.shuffle.partitions``.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from motionlake.llm.textnum import expand, mix, narrow, slices, squeeze, widen
 
@@ -86,29 +89,44 @@ def meet(packed: DataFrame, n_parts: int, size: int, judge, schema: str) -> Data
     return packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-ANSWERS = "doc_group int, part int, ids binary, counts binary, prints binary"
-_ANSWERS = pa.schema([("doc_group", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
+ANSWERS = "wide_group int, part int, ids binary, counts binary, prints binary"
+
+
+def side(n: int) -> int:
+    """Least whole number whose square is ``n`` or more."""
+    return math.isqrt(max(n - 1, 0)) + 1
+
+
+def group_of(ids: np.ndarray, n_groups: int) -> np.ndarray:
+    """Group of each document."""
+    return (mix(ids.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+
+
+def split(key: np.ndarray, ids: np.ndarray, values: np.ndarray, size: int):
+    """(key, ids, counts, values) packed for each key."""
+    order = np.lexsort((values, ids, key))
+    key, ids, values = key[order], ids[order], values[order]
+    first, _ = runs(key)
+    for a, b in zip(first, [*first[1:], len(key)]):
+        held, counts = np.unique(ids[a:b], return_counts=True)
+        yield int(key[a]), squeeze(held), squeeze(counts.astype(np.int32)), narrow(values[a:b], size)
 
 
 def answer(part: int, ids: np.ndarray, prints: np.ndarray, n_groups: int, size: int) -> pa.RecordBatch | None:
-    """Prints found for documents in one part, packed by group of documents."""
+    """Prints found for documents in one part, packed by wide group of documents.
+
+    A wide group is ``side(n_groups)`` neighbouring groups. ``by_document`` splits it later, so that
+    parts and groups never meet each with each.
+    """
     if not len(ids):
         return None
-    group = (mix(ids.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
-    order = np.lexsort((prints, ids, group))
-    group, ids, prints = group[order], ids[order], prints[order]
-    cuts = np.searchsorted(group, np.arange(n_groups + 1))
-    rows = []
-    for g in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[g], cuts[g + 1]
-        held, counts = np.unique(ids[a:b], return_counts=True)
-        rows.append((int(g), part, squeeze(held), squeeze(counts.astype(np.int32)), narrow(prints[a:b], size)))
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ANSWERS)], schema=_ANSWERS)
+    rows = [(key, part, *rest) for key, *rest in split(group_of(ids, n_groups) // side(n_groups), ids, prints, size)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=["wide_group", "part", "ids", "counts", "prints"])
 
 
 def answer_counts(part: int, ids: np.ndarray, counts: np.ndarray, n_groups: int) -> pa.RecordBatch:
     """A count for each document in one part, packed by group of documents."""
-    group = (mix(ids.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+    group = group_of(ids, n_groups)
     order = np.lexsort((ids, group))
     cuts = np.searchsorted(group[order], np.arange(n_groups + 1))
     rows = [(int(g), squeeze(ids[order[a:b]]), squeeze(counts[order[a:b]].astype(np.int32))) for g, a, b in zip(range(n_groups), cuts, cuts[1:]) if b > a]
@@ -119,28 +137,48 @@ FOUND = "doc_id bigint, found binary"
 
 
 def by_document(answers: DataFrame, n_parts: int, size: int) -> DataFrame:
-    """FOUND: the sorted values found for each document, from all parts."""
-    def run(batches):
+    """FOUND: the sorted values found for each document, from all parts.
+
+    Answers go in two steps: a lane takes those of one wide group from about the root of all parts
+    and splits them into groups; then the lanes of each group meet. With P parts this makes rows
+    in the order of P * sqrt(P), not P * P.
+    """
+    lanes = side(n_parts)
+
+    def gathered(batches, keys, unpack, done):
         last, held = None, []
         for batch in batches:
-            for group, part, ids, counts, prints in zip(*[c.to_pylist() for c in batch.columns]):
-                if group != last and held:
-                    yield gather(held)
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:keys] != last and held:
+                    yield done(held)
                     held = []
-                last = group
-                held.append((np.repeat(expand(ids, np.int64), expand(counts, np.int32)), widen(prints, size) * np.uint64(n_parts) + np.uint64(part)))
+                last = row[:keys]
+                held.append(unpack(*row[keys:]))
         if held:
-            yield gather(held)
+            yield done(held)
+
+    def whole(part, ids, counts, prints):
+        return np.repeat(expand(ids, np.int64), expand(counts, np.int32)), widen(prints, size) * np.uint64(n_parts) + np.uint64(part)
+
+    def joined(ids, counts, values):
+        return np.repeat(expand(ids, np.int64), expand(counts, np.int32)), widen(values, 8)
+
+    def regroup(held):
+        ids, values = (np.concatenate(x) for x in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*split(group_of(ids, n_parts), ids, values, 8)), (pa.int32(), *[pa.binary()] * 3))], names=["doc_group", "ids", "counts", "found"])
 
     def gather(held):
-        ids, values = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        ids, values = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((values, ids))
         ids, values = ids[order], values[order]
         first, _ = runs(ids)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[first]), pa.array([squeeze(np.unique(values[a:b])) for a, b in zip(first, [*first[1:], len(ids)])], pa.binary())], names=["doc_id", "found"])
 
-    return answers.repartition(n_parts, "doc_group").sortWithinPartitions("doc_group").mapInArrow(run, FOUND)
+    dealt = answers.select("wide_group", F.pmod("part", F.lit(lanes)).alias("lane"), "part", "ids", "counts", "prints")
+    dealt = dealt.repartition(n_parts, "wide_group", "lane").sortWithinPartitions("wide_group", "lane")
+    groups = dealt.mapInArrow(lambda b: gathered(b, 2, whole, regroup), "doc_group int, ids binary, counts binary, found binary")
+    return groups.repartition(n_parts, "doc_group").sortWithinPartitions("doc_group").mapInArrow(lambda b: gathered(b, 1, joined, gather), FOUND)
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
