@@ -97,9 +97,12 @@ def dataset_quality_stats(scores: DataFrame, keys=("dataset_id",)) -> DataFrame:
 
 
 def compare_datasets(stats: DataFrame) -> DataFrame:
-    """Best dataset by three scores and by learning value, with the recommendation text: one row."""
+    """Best dataset by three scores and by learning value, with the recommendation text: one row.
+
+    Of equal scores the least id wins.
+    """
     learn = F.col("avg_diversity") * 0.5 + F.col("pct_with_recovery") * 0.3 + F.col("avg_temporal") * 0.2
-    best = lambda c, n: F.max_by("dataset_id", F.col(c)).alias(n)
+    best = lambda c, n: F.min_by("dataset_id", F.when(F.col(c).isNotNull(), F.struct(-F.col(c), "dataset_id"))).alias(n)
     b = stats.withColumn("learning_score", learn).groupBy().agg(
         best("mean_score", "best_overall"), best("avg_diversity", "best_diversity"), best("avg_temporal", "best_temporal"), best("learning_score", "best_learning"))
     same = F.concat(F.col("best_learning"), F.lit(" is recommended: best overall quality and learning value."))

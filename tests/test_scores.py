@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionlake.operators import divergence, events, scores, series
+from motionlake.operators import divergence, events, scores, series, stats
 from motionlake.operators.chunks import episode_lengths
 from tests import twins
 from tests.fixtures import FRAME_SCHEMA, cohort, frames_of, random_episodes
@@ -147,3 +147,10 @@ def test_row_order_does_not_matter(frames):
 def test_null_action_is_not_an_event(spark):
     df = spark.createDataFrame([("d", 0, 0, i, 0.0, None, None) for i in range(12)], FRAME_SCHEMA)
     assert events.gripper_events(df).count() == 0
+
+
+def test_equal_scores_have_one_winner(spark):
+    rows = [("c", 0.5, 0.5, 0.1, 0.5), ("a", 0.5, 0.5, 0.1, 0.5), ("b", None, 0.4, 0.1, 0.5)]
+    df = spark.createDataFrame(rows, "dataset_id string, mean_score double, avg_diversity double, avg_temporal double, pct_with_recovery double")
+    r = stats.compare_datasets(df).first()
+    assert (r["best_overall"], r["best_diversity"], r["best_temporal"], r["best_learning"]) == ("a",) * 4
