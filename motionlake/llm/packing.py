@@ -1,7 +1,8 @@
 """Operator 2: best-fit packing of tokenised documents by large-item matching.
 
-A document is its token ids and an end id; one longer than a sequence is cut into full pieces
-behind a shorter first one. Packing looks at lengths only, of which there are at most
+A document is its token ids and an end id; the marker <|endoftext|> in a text is one id, as in the
+named tokenizer. A document longer than a sequence is cut into full pieces behind a shorter first
+one. Packing looks at lengths only, of which there are at most
 ``capacity``: the counts per length go to the driver, never the documents.
 
 * Pieces above a third of the capacity are matched greedily, longest first, each with the
@@ -17,6 +18,7 @@ equal documents and ids are packed each on its own; an empty table gives no rows
 columns of the documents are not read.
 """
 
+import os
 import zlib
 
 import numpy as np
@@ -40,6 +42,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Added tokens by rank file, which does not hold them itself.
+SPECIAL = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
+
 _ENCODERS: dict = {}
 
 
@@ -53,7 +58,7 @@ def encoder(path: str):
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL.get(os.path.basename(path), {}))
     return _ENCODERS[path]
 
 
@@ -67,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         for frame in frames:
             out = []
             for doc, text in zip(frame["doc_id"], frame["text"]):
-                ids = np.append(enc.encode_to_numpy(text or "", disallowed_special=()).astype("<u4"), np.uint32(end)).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all").astype("<u4"), np.uint32(end)).astype("<u4")
                 n = len(ids)
                 first = n % capacity or capacity
                 edges = [0, *range(first, n + 1, capacity)]

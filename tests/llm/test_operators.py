@@ -114,6 +114,16 @@ def test_pack_gives_all_ids(spark):
         assert [r["length"] for r in pieces[1:]] == [1024] * (len(pieces) - 1)
 
 
+def test_pack_takes_the_marker_as_one_id(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", " <|endoftext|", "<|EndOfText|> naïve"]
+    got = {r["doc_id"]: r["ids"] for r in packing.pack(table(spark, [(i, t, "a") for i, t in enumerate(texts)]), with_ids=True).collect()}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)} and 50256 in got[0]
+
+
 def test_topk_is_exact(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 40))
