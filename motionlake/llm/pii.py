@@ -4,15 +4,20 @@ An entity is a kind and a normal form (lower case, digits only), so all its spel
 documents have one surrogate, made from a keyed hash of it: letters stay letters, digits
 digits, separators and case stay, a card number keeps its first digit and a check digit that
 holds, an address keeps its octet lengths, a telephone number its country code, a mail
-address its last domain label, a name after a title its script, gender and length class.
+address its last domain label, a name its script and length class.
+
+A name is found after a title, and in the rest of that document also without one. It is one entity
+in all documents whatever the title; its surrogate has the gender that its titles tell, if all
+that tell one agree, and a neutral ending otherwise.
 
 A card is 13 to 19 digits whose check digit holds, ungrouped or grouped as cards are; one in ten
 ordinary numbers of that form passes by chance.
 
 Collisions are checked over the corpus: if two entities of a kind get one surrogate, or a
 surrogate is an entity of the corpus itself, all but the first by hash move to the next
-attempt, until none is left. Entities that moved travel to their documents by a join; all
-others are computed where the text is read, so no text is shuffled unless some moved.
+attempt, until none is left. Entities that moved and names with a gender travel to their documents
+by a join; all others are computed where the text is read, so no text is shuffled unless there are
+such.
 
 Defined cases: null text stays null, empty text empty; rows that share an id are told apart by
 their text; repeated rows are replaced alike; an empty table gives no rows; other columns are
@@ -22,9 +27,10 @@ not read.
 import hashlib
 import hmac
 import re
+from bisect import bisect
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.llm.common import Scratch
@@ -55,11 +61,14 @@ _CARDS = [r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}", r"\d{4}([ -])\d{4}\2\d{4}\
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d|\w)")),
-    ("phone", re.compile(r"(?<![\w.])\+\d{1,3}(?=[ .(-])(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)|(?<![\w.+-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w.])\+\d{1,3}(?=[ .(-])(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)|(?<![\w.+-])\+[1-9]\d{7,14}(?!\w)|(?<![\w.+-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])")),
     *(("card", re.compile(r"(?<![\w.+-])(?=(" + shape + r")(?![\w-]))")) for shape in _CARDS),
     ("ssn", re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("name", re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?[ ](" + _WORD + r"(?:[ ]" + _WORD + r")?)")),
 ]
+_MENTION = re.compile(r"\b[^\W\d_]{2,}\b")
+#: Country codes of one and two digits; all others have three.
+_CODE = re.compile(r"\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 KINDS = list(dict.fromkeys(kind for kind, _ in PATTERNS))
 _MAYBE = re.compile(r"[@\d]|\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b")
 
@@ -74,10 +83,21 @@ def script_of(word: str) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form), in order and apart; earlier kinds win."""
+    """(start, end, kind, normal form), in order and apart; earlier kinds win.
+
+    The form of a name begins with the gender its title tells. Names found after a title are then
+    also found without one, in the rest of the text.
+    """
     if not text or not _MAYBE.search(text):
         return []
     taken, out = [], []
+
+    def take(x: tuple[int, int, str, str]) -> None:
+        at = bisect(taken, x[:2])
+        if (at == len(taken) or x[1] <= taken[at][0]) and (not at or taken[at - 1][1] <= x[0]):
+            taken.insert(at, x[:2])
+            out.append(x)
+
     for kind, pattern in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
@@ -101,15 +121,21 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 found = [(start, end, kind, surface)]
             else:
                 digits = re.sub(r"\D", "", surface)
-                code = re.match(r"\+(\d{1,3})(?=\D)", surface)
+                code = re.match(r"\+(\d{1,3})(?=\D)", surface) or _CODE.match(surface)
                 found = [(start, end, kind, f"{code.group(1) if code else ''}:{digits[len(code.group(1)) if code else 0:]}")]
             for x in found:
-                if all(x[1] <= a or x[0] >= b for a, b in taken):
-                    taken.append(x[:2])
-                    out.append(x)
+                take(x)
+    named = {text[a:b].casefold() for a, b, kind, _ in out if kind == "name"}
+    for m in _MENTION.finditer(text) if named else ():
+        if m.group()[0].isupper() and m.group().casefold() in named:
+            take((*m.span(), "name", f"n:{script_of(m.group())}:{m.group().casefold()}"))
     return sorted(out)
 
 
+def ungendered(kind: str, norm: str) -> str:
+    return norm.split(":", 1)[1] if kind == "name" else norm
+
+
 class Stream:
     """Numbers from a keyed hash of an entity and an attempt."""
 
@@ -130,7 +156,7 @@ def alike(text: str, stream: Stream) -> str:
 
 
 def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
-    """The normal form of the surrogate of an entity."""
+    """The normal form of the surrogate of an entity, for a name without its gender."""
     s = Stream(key, kind, norm, attempt)
     if kind == "email":
         local, domain = norm.rsplit("@", 1)
@@ -143,7 +169,7 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         gender, script, word = norm.split(":", 2)
         syllables = [SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(max(2, min(4, len(word) // 2)) + (attempt > 3))]
         ends = ENDINGS[script, gender]
-        return f"{gender}:{script}:{''.join(syllables)}{ends[s.below(len(ends))]}"
+        return f"{script}:{''.join(syllables)}{ends[s.below(len(ends))]}"
     code, digits = norm.split(":", 1)
     out = str(1 + s.below(9)) if kind != "card" else digits[0]
     out += "".join(str(s.below(10)) for _ in digits[1:])
@@ -155,7 +181,7 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
 def rendered(surface: str, kind: str, new: str) -> str:
     """The surrogate in the spelling of the place it goes to."""
     if kind == "name":
-        word = new.split(":", 2)[2]
+        word = new.split(":", 1)[1]
         return word.upper() if surface.isupper() else word.capitalize()
     if kind in ("email", "ip"):
         return "".join(n.upper() if c.isupper() else n for c, n in zip(surface, new)) if len(surface) == len(new) else new
@@ -166,6 +192,11 @@ def rendered(surface: str, kind: str, new: str) -> str:
 ENTITY = "kind string, norm string, attempt int, new string"
 
 
+def bare(norm: str) -> Column:
+    """``ungendered`` as a column."""
+    return F.when(F.col("kind") == "name", F.expr(f"substring({norm}, 3)")).otherwise(F.col(norm))
+
+
 def settle(found: DataFrame, key: bytes, scratch: Scratch, maker=None) -> DataFrame:
     """ENTITY rows whose surrogates are distinct per kind and no entity themselves, from (kind, norm). Runs jobs."""
     def make(frames):
@@ -178,7 +209,7 @@ def settle(found: DataFrame, key: bytes, scratch: Scratch, maker=None) -> DataFr
     made = scratch.keep(real.withColumn("attempt", F.lit(0)).mapInPandas(make, ENTITY))
     while True:
         owner = made.groupBy("kind", F.col("new").alias("_new")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("attempt") * -1, F.xxhash64("norm"), "norm")).alias("_first"))
-        owner = owner.join(real.select(F.col("kind").alias("_k"), F.col("norm").alias("_real")), (F.col("kind") == F.col("_k")) & (F.col("_new") == F.col("_real")), "left")
+        owner = owner.join(real.select(F.col("kind").alias("_k"), bare("norm").alias("_real")), (F.col("kind") == F.col("_k")) & (F.col("_new") == F.col("_real")), "left")
         clash = owner.filter("_n > 1 or _real is not null").select("kind", F.col("_new").alias("new"), F.when(F.col("_real").isNull(), F.col("_first.norm")).alias("_stays"))
         moved = scratch.keep(made.join(clash, ["kind", "new"]).filter(~F.col("norm").eqNullSafe(F.col("_stays"))).select("kind", "norm", F.col("attempt") + 1))
         if moved.isEmpty():
@@ -196,10 +227,12 @@ def replace(rows: DataFrame, key: bytes) -> DataFrame:
         for f in frames:
             texts, counts = [], []
             for text, moved in zip(f["text"], f["moved"]):
-                attempts = {(m["kind"], m["norm"]): m["attempt"] for m in moved} if moved is not None else {}
+                told = {(m["kind"], m["norm"]): (m["entity"], m["attempt"]) for m in moved} if moved is not None else {}
                 out, at, n = [], 0, dict.fromkeys(KINDS, 0)
                 for start, end, kind, norm in entities(text):
-                    out += [text[at:start], rendered(text[start:end], kind, surrogate(kind, norm, attempts.get((kind, norm), 0), key))]
+                    norm = ungendered(kind, norm)
+                    entity, attempt = told.get((kind, norm), (f"n:{norm}" if kind == "name" else norm, 0))
+                    out += [text[at:start], rendered(text[start:end], kind, surrogate(kind, entity, attempt, key))]
                     at, n[kind] = end, n[kind] + 1
                 texts.append("".join([*out, text[at:]]) if out else text)
                 counts.append([n[k] for k in KINDS])
@@ -223,9 +256,14 @@ def pseudonymise(docs: DataFrame, key: bytes = b"surrogates") -> DataFrame:
 
     keys = [F.coalesce("doc_id", F.lit(-2**63)).alias("_id"), F.xxhash64("text").alias("_h")]
     found = scratch.keep(named.filter("text is not null").select(*keys, "text").mapInPandas(detect, "_id bigint, _h bigint, kind string, norm string"))
-    moved = scratch.keep(settle(found.select("kind", "norm"), key, scratch).filter("attempt > 0").select("kind", "norm", "attempt"))
-    none = "array<struct<kind:string,norm:string,attempt:int>>"
+    found = found.withColumn("gender", F.when(F.col("kind") == "name", F.substring("norm", 1, 1))).withColumn("norm", bare("norm"))
+    genders = F.collect_set(F.when(F.col("gender") != "n", F.col("gender")))
+    real = found.groupBy("kind", "norm").agg(F.when(F.size(genders) == 1, genders[0]).otherwise("n").alias("gender"))
+    real = real.select("kind", F.when(F.col("kind") == "name", F.concat_ws(":", "gender", "norm")).otherwise(F.col("norm")).alias("norm"))
+    settled = settle(real, key, scratch).filter("attempt > 0 or kind = 'name' and norm not like 'n:%'")
+    moved = scratch.keep(settled.select("kind", bare("norm").alias("norm"), F.col("norm").alias("entity"), "attempt"))
+    none = "array<struct<kind:string,norm:string,entity:string,attempt:int>>"
     if moved.isEmpty():
         return replace(named.withColumn("moved", F.lit(None).cast(none)), key)
-    per = found.join(moved, ["kind", "norm"]).groupBy("_id", "_h").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("moved"))
+    per = found.join(moved, ["kind", "norm"]).groupBy("_id", "_h").agg(F.collect_set(F.struct("kind", "norm", "entity", "attempt")).alias("moved"))
     return replace(named.select("doc_id", "text", *keys).join(per, ["_id", "_h"], "left"), key)

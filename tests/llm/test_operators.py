@@ -161,6 +161,22 @@ def test_numbers_that_are_no_cards_stay():
             assert [(text[a:b], k) for a, b, k, _ in pii.entities(text)] == [(card, "card")], text
 
 
+def test_names_without_title_and_phones_without_separator(spark):
+    texts = ["Mrs. Maria Lopez came. Lopez said so, LOPEZ did, Maria's too; a lopez, Lopezia", "Dr Lopez", "Mr Lopez", "Lopez alone", "Mrs Weber and Prof. Weber", "Dr. Weber",
+             "call +14155552671 or +1 (415) 555-2671", "ring +493012345678 or +49 30 12345678", "sum +1234567 and x+14155552671"]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    w = got[0]["text"].replace(".", "").replace(",", "").replace("'s", "").split()
+    assert w[2] == w[4] == w[7].capitalize() and w[7].isupper() and w[1] == w[9] and w[11:] == ["a", "lopez", "Lopezia"] and got[0]["n_name"] == 5
+    assert got[1]["text"] == f"Dr {w[2]}" and got[2]["text"] == f"Mr {w[2]}" and got[3]["text"] == texts[3]
+    a, b = got[4]["text"].split()[1::3]
+    assert a == b == got[5]["text"].split()[1] != "Weber" and a.endswith(tuple(pii.ENDINGS["latin", "f"]))
+    assert w[1].endswith(tuple(pii.ENDINGS["latin", "f"])) and w[2].endswith(tuple(pii.ENDINGS["latin", "n"]))
+    for i, code in ((6, "1"), (7, "49")):
+        one, two = ("".join(filter(str.isdigit, x)) for x in got[i]["text"].split(" or "))
+        assert one == two != "".join(filter(str.isdigit, texts[i].split(" or ")[0])) and one.startswith(code) and got[i]["n_phone"] == 2
+    assert got[8]["text"] == texts[8]
+
+
 def test_colliding_surrogates_move(spark):
     found = spark.createDataFrame([("ip", "x" * i) for i in range(1, 8)], "kind string, norm string")
     assert len({r["new"] for r in _settled(pii, found, spark)}) == 7
