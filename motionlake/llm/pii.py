@@ -15,7 +15,9 @@ ordinary numbers of that form passes by chance.
 
 Collisions are checked over the corpus: if two entities of a kind get one surrogate, or a
 surrogate is an entity of the corpus itself, all but the first by hash move to the next
-attempt, until none is left. Entities that moved and names with a gender travel to their documents
+attempt, until none is left. Later attempts leave the form of the entity, so that this ends also
+where a form has fewer free surrogates than entities: octets of any length, a letter, digit or
+syllable more each time. Addresses have 254^4 surrogates, enough for 2 * 10^9 different ones. Entities that moved and names with a gender travel to their documents
 by a join; all others are computed where the text is read, so no text is shuffled unless there are
 such.
 
@@ -136,6 +138,10 @@ def ungendered(kind: str, norm: str) -> str:
     return norm.split(":", 1)[1] if kind == "name" else norm
 
 
+#: Attempts within the form of an entity; later ones may be longer, so that no class is ever full.
+WIDER = 3
+
+
 class Stream:
     """Numbers from a keyed hash of an entity and an attempt."""
 
@@ -161,18 +167,20 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
     if kind == "email":
         local, domain = norm.rsplit("@", 1)
         host, last = domain.rsplit(".", 1)
-        return f"{alike(local, s)}@{alike(host, Stream(key, 'domain', domain))}.{last}"
+        return f"{alike(local + 'x' * max(0, attempt - WIDER), s)}@{alike(host, Stream(key, 'domain', domain))}.{last}"
     if kind == "ip":
+        if attempt > WIDER:
+            return ".".join(str(1 + s.below(254)) for _ in range(4))
         low = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         return ".".join(str(low[len(o)][0] + s.below(low[len(o)][1] - low[len(o)][0] + 1)) for o in norm.split("."))
     if kind == "name":
         gender, script, word = norm.split(":", 2)
-        syllables = [SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(max(2, min(4, len(word) // 2)) + (attempt > 3))]
+        syllables = [SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(max(2, min(4, len(word) // 2)) + max(0, attempt - WIDER))]
         ends = ENDINGS[script, gender]
         return f"{script}:{''.join(syllables)}{ends[s.below(len(ends))]}"
     code, digits = norm.split(":", 1)
     out = str(1 + s.below(9)) if kind != "card" else digits[0]
-    out += "".join(str(s.below(10)) for _ in digits[1:])
+    out += "".join(str(s.below(10)) for _ in range(len(digits) - 1 + max(0, attempt - 2 * WIDER)))
     if kind == "card":
         out = next(out[:-1] + str(k) for k in range(10) if luhn(out[:-1] + str(k)))
     return f"{code}:{out}"
@@ -186,7 +194,7 @@ def rendered(surface: str, kind: str, new: str) -> str:
     if kind in ("email", "ip"):
         return "".join(n.upper() if c.isupper() else n for c, n in zip(surface, new)) if len(surface) == len(new) else new
     digits = iter(new.replace(":", ""))
-    return "".join(next(digits) if c.isdigit() else c for c in surface)
+    return "".join([*(next(digits) if c.isdigit() else c for c in surface), *digits])
 
 
 ENTITY = "kind string, norm string, attempt int, new string"

@@ -182,6 +182,24 @@ def test_colliding_surrogates_move(spark):
     assert len({r["new"] for r in _settled(pii, found, spark)}) == 7
 
 
+def test_full_classes_are_left(spark):
+    nine = range(1, 10)
+    real = [("ip", f"{a}.{b}.{c}.{d}") for a in nine for b in nine for c in nine for d in nine]
+    real += [("email", f"{c}@{host}.com") for c in "abcdefghijklmnopqrstuvwxyz" for host in "abcdefghijklmnopqrstuvwxyz"]
+    real += [("phone", f"12:{n}") for n in range(1000, 10000)]
+
+    def make(frames):
+        for f in frames:
+            assert (f["attempt"] < 20).all(), "no free surrogates"
+            f["new"] = [pii.surrogate(k, n, a, b"") for k, n, a in zip(f["kind"], f["norm"], f["attempt"])]
+            yield f
+
+    got = pii.settle(spark.createDataFrame(real, "kind string, norm string"), b"", common.Scratch(spark), make).collect()
+    assert {(r["kind"], r["norm"]) for r in got} == {*real} and len({(r["kind"], r["new"]) for r in got}) == len(real) == len(got)
+    assert not {(r["kind"], r["new"]) for r in got} & {*real}
+    assert pii.rendered("+12 34 56", "phone", "12:98765") == "+12 98 765"
+
+
 def _settled(module, found, spark):
     surrogate = lambda kind, norm, attempt, key: f"{attempt}:{len(norm) % 2}"
 
