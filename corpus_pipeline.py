@@ -17,9 +17,19 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose shingle sets link, the one with the least id; rows without id stay."""
-    copies = setjoin.join(docs).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows whose shingle sets link, the one with the least id; rows without id stay.
+
+    Each row counts by its own text, also among rows that share an id: of equal ids in one
+    component one row stays, and a row stays if only another text of its id is a copy. Empty
+    texts link with nothing and all stay.
+    """
+    rows = Scratch(spark).keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    known = rows.filter("doc_id is not null")
+    component = setjoin.join(known.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = known.select("_row", F.struct("doc_id", F.xxhash64(*docs.columns), "_row").alias("_o")).join(component, "_row")
+    stays = order.groupBy("component_id").agg(F.min("_o")["_row"].alias("_stays"))
+    copies = order.join(stays, "component_id").filter("_row <> _stays").select("_row")
+    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import corpus_pipeline
 from motionlake.llm.common import documents
 from tests.conftest import SF_SMALL
+from tests.llm.test_operators import brute_join
 
 
 def test_stages(spark):
@@ -29,3 +30,18 @@ def test_stages(spark):
             at += length
         assert at <= 1024
     assert len(room) <= 1.05 * -(-sum(r["length"] for r in packed) // 1024) + 1
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    one, two, other = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [(5, one), (5, one), (5, two), (7, one), (7, other), (9, two), (None, one), (None, one), (11, ""), (12, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], documents(spark, SF_SMALL).schema).repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.single(spark, docs, SF_SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(5, one), (5, two), (7, other), (None, one), (None, one), (11, ""), (12, "")], key=str)
+
+
+def test_near_duplicates_match_brute_force(spark):
+    docs = corpus_pipeline.good(spark, documents(spark, SF_SMALL), SF_SMALL)
+    want = {i: c for i, (_, c) in brute_join([(r["doc_id"], r["text"]) for r in docs.collect()]).items()}
+    got = sorted(r["doc_id"] for r in corpus_pipeline.single(spark, docs, SF_SMALL).collect())
+    assert got == sorted(i for i, c in want.items() if c == i) and len(got) < len(want)
