@@ -7,8 +7,8 @@ r - 1, every code within m * r + s - 1 bits has been met, since one farther off
 m segments is at least m * r + s bits away. A query is done once its k-th distance is within
 that bound. Queries reach the shards in packed blocks, and the best of all shards are merged.
 
-Defined cases: rows without id or vector, or with another number of dimensions than ``dims``,
-are left out, as are null coordinates (bit 0); a query never finds its own id; equal distances
+Defined cases: rows without id or vector, or with another number of dimensions than ``dims`` (if
+not given, the most frequent number, of equals the least), are left out, as are null coordinates (bit 0); a query never finds its own id; equal distances
 rank by id; repeated rows of one id count once; an empty table gives no rows; other columns
 are not read.
 """
@@ -143,8 +143,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, dims: int | None = No
     """(query_id, rank, vec_id, distance): the k rows nearest to each query, of all rows. Runs jobs."""
     named = rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("_q"))
     if dims is None:
-        one = named.select(F.size("embedding")).head(1)
-        dims = one[0][0] if one else 1
+        # vectors of no dimensions have no code
+        sizes = named.groupBy(F.size("embedding").alias("dims")).count().filter("dims > 0")
+        one = sizes.agg(F.max_by("dims", F.struct("count", -F.col("dims")))).first()[0]
+        dims = one or 1
     total = named.count()
     n_shards = max(1, -(-total // per_shard))
     named = named.filter(F.size("embedding") == dims).select(

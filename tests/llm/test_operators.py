@@ -139,6 +139,14 @@ def test_topk_is_exact(spark):
     assert topk.search(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("lengths, dims", [([1, 0, 0, 0, 20, 20, 30], 20), ([30, 20, 20, 30], 20)])
+def test_topk_takes_the_most_frequent_size(spark, lengths, dims):
+    df = spark.createDataFrame([(i, [1.0] * n) for i, n in enumerate(lengths)], "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.search(df, F.lit(True)).collect()
+    a, b = (i for i, n in enumerate(lengths) if n == dims)
+    assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(a, b), (b, a)]
+
+
 def test_surrogates_are_distinct_and_coreferent(spark):
     texts = ["mail Ann.Lee42@Mail.example.org or ann.lee42@mail.example.org", "ann.lee42@mail.example.org, call +1 (988) 555-2485", "call +1 988 555 2485 from 10.2.255.7.",
              "Mrs. Maria Lopez met Mr. Lopez", "card 4041894974608795 and 4041-8949-7460-8795", "Г-жа Иванова", "nothing here", "hex 7602ad27cf5550de1c 12345678901234567890abc"]
