@@ -54,7 +54,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", good), ("near_duplicates", single), ("secrets", safe), ("mixing", mixed), ("packing", packed)]
 
-#: Tokens and best-fit packing have no SQL; tests/llm holds brute-force versions.
+#: Tokens and best-fit packing have no SQL. Of the stages of this file, tests/llm compares near
+#: duplicates with brute force; the others are compared as operators, not in turn.
 ORACLE_SQL = None
 
 
