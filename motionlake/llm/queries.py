@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import mixing, packing, pii, quality, secrets, setjoin, substring, suffix, topk, toxicity
+from motionlake.llm import decontam, mixing, packing, periodic, pii, quality, secrets, setjoin, substring, suffix, topk, toxicity, whitening
 from motionlake.llm.common import documents
 
 QUERIES: dict = {}
@@ -147,3 +147,56 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_by_row(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: CAST(0 AS BIGINT))), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+@query("op12_periodic", rf"""
+WITH t AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(coalesce(text, ''), '{W}') w, {_CRC} h FROM documents),
+u AS (SELECT *, CAST(len(w) AS BIGINT) n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END a FROM t),
+v AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) p FROM u),
+d AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END w FROM v),
+x AS MATERIALIZED (SELECT r, unnest(w) x, generate_subscripts(w, 1) - 1 i FROM d),
+g AS (SELECT r, q, unnest(range(0, n - q, q)) i FROM (SELECT r, n, unnest(range(1, n // 4 + 1)) q FROM d WHERE n >= 6)),
+m AS MATERIALIZED (SELECT g.r, q, g.i FROM g JOIN x a ON a.r = g.r AND a.i = g.i JOIN x b ON b.r = g.r AND b.i = g.i + q WHERE a.x = b.x),
+c AS (SELECT DISTINCT r, q FROM (SELECT r, q, i, lead(i, 2) OVER (PARTITION BY r, q ORDER BY i) z FROM m) WHERE z = i + 2 * q),
+e AS (SELECT c.r, c.q, a.i, a.i - row_number() OVER (PARTITION BY c.r, c.q ORDER BY a.i) island FROM c JOIN x a ON a.r = c.r JOIN x b ON b.r = c.r AND b.i = a.i + c.q WHERE a.x = b.x),
+f AS (SELECT r, q, min(i) s, count(*) + q len FROM e GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT r, s, len, min(q) q FROM f GROUP BY 1, 2, 3),
+k AS (SELECT r, count(*) n, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) j FROM runs GROUP BY 1),
+b AS (SELECT * FROM runs WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.r = runs.r AND (o.len * runs.q > runs.len * o.q OR (o.len * runs.q = runs.len * o.q AND (o.s < runs.s OR (o.s = runs.s AND o.q < runs.q)))))),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) t FROM x SEMI JOIN k USING (r) ANTI JOIN gone USING (r, i) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(k.n, 0) AS BIGINT) n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.len AS BIGINT) AS length, CAST(b.q AS BIGINT) period, CAST(1000 * b.len // b.q AS BIGINT) exponent_milli,
+  sha256(coalesce(k.j, '')) runs_sha256, sha256(CASE WHEN k.r IS NULL THEN array_to_string(w, ' ') ELSE kept.t END) collapsed_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN b USING (r) LEFT JOIN kept USING (r)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return periodic.digest(periodic.find(docs.select("doc_id", periodic.looped(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query("op13_decontam", rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, regexp_extract_all({_LOW}, '{_TOKEN}') w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) k FROM (SELECT item_id, regexp_extract_all({_LOW}, '{_TOKEN}') w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+y AS MATERIALIZED (SELECT DISTINCT item_id, CAST(k AS BIGINT) k, array_to_string(w[i:i + k - 1], ' ') g FROM (SELECT *, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) i FROM b)),
+x AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') g FROM (SELECT r, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) i FROM d, (SELECT DISTINCT k FROM y) WHERE len(w) >= k)),
+h AS MATERIALIZED (SELECT r, i, k, item_id FROM x JOIN y USING (k, g)),
+n AS (SELECT r, count(DISTINCT j) n FROM (SELECT r, unnest(range(i, i + k)) j FROM h) GROUP BY 1),
+s AS (SELECT r, count(*) n, string_agg(v, ',' ORDER BY v) j FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) v FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n.n, 0) AS BIGINT) n_hit, CAST(coalesce(s.n, 0) AS BIGINT) n_items, sha256(coalesce(s.j, '')) items_sha256, coalesce(n.n, 0) > 0 contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
