@@ -14,9 +14,13 @@ removed in all of them.
    and adjacent common prefixes of ``width`` bytes or more mark the starts that repeat.
 4. Marked starts are joined into runs per document, and their bytes removed.
 
-A hot anchor is cut into blocks of ``BLOCK`` snippets. Starts that repeat in their block are
-settled there; every different string of a block meets the other blocks by two 64-bit hashes. Anchors,
-snippet digests and those strings are compared by hash, suffixes by their bytes.
+An anchor with more than ``BLOCK`` snippets is split by how far into a string it lies: the strings of
+a range of such distances all hold the stretch from the range's last start to its first end, so
+snippets are cut to the range and grouped by a second anchor, that stretch. Snippets that are equal
+once cut are one entry. Groups that are still too large are split again; a range of one distance is a single
+string, so this ends, and every group but those of one entry goes through a suffix array. Only ranges
+at the edge of a common passage stay large for a few rounds. Anchors, stretches and snippet digests are
+compared by hash (a stretch that collides only joins two groups), suffixes by their bytes.
 
 Defined cases: null text is empty; texts below ``width`` bytes stay; copies of a row count as
 other places, also with the same id; rows without an id take part like others; an empty table
@@ -33,8 +37,10 @@ from pyspark.sql import functions as F
 from motionlake.llm.common import Scratch, likely
 from motionlake.llm.exchange import runs
 from motionlake.llm.textnum import mix, powers, slices, spans
+from motionlake.operators.chunks import spread_join
 
-WIDTH, GRAM, BLOCK = 400, 128, 2048
+#: BLOCK snippets are about one suffix array (LOAD); a large range of distances is split FAN-fold.
+WIDTH, GRAM, BLOCK, FAN = 400, 128, 512, 8
 
 ANCHORS = "id bigint, key bigint, anchor bigint, snippet bigint, low bigint, high bigint, place int"
 
@@ -249,8 +255,8 @@ def repeated_starts(snippets: list[bytes], counts: list[int], width: int) -> lis
 # ---------------------------------------------------------------- the whole table
 
 CUT = "id bigint, key bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-SNIPPETS = "anchor bigint, snippet bigint, n bigint, block int, place int, bytes binary"
-MARKED = "anchor bigint, snippet bigint, marks array<bigint>, open binary"
+SNIPPETS = "anchor bigint, snippet bigint, n bigint, place int, bytes binary"
+MARKED = "group bigint, piece bigint, marks array<bigint>"
 #: Bytes of snippets in one suffix array.
 LOAD = 1 << 18
 
@@ -265,7 +271,7 @@ def cut_out(near: DataFrame, width: int) -> DataFrame:
                 for k, wanted in enumerate(batch.column(3).slice(at, len(part.edges) - 1)):
                     for x in wanted.as_py():
                         a = part.edges[k]
-                        for c, v in zip(out, (x["anchor"], x["snippet"], x["n"], x["block"], x["place"], raw[a + x["low"]:a + x["high"] + width])):
+                        for c, v in zip(out, (x["anchor"], x["snippet"], x["n"], x["place"], raw[a + x["low"]:a + x["high"] + width])):
                             c.append(v)
                     if len(out[0]) > 5000:
                         yield _batch(out, SNIPPET_TYPES)
@@ -275,70 +281,107 @@ def cut_out(near: DataFrame, width: int) -> DataFrame:
     return near.mapInArrow(run, SNIPPETS)
 
 
-SNIPPET_TYPES = {"anchor": pa.int64(), "snippet": pa.int64(), "n": pa.int64(), "block": pa.int32(), "place": pa.int32(), "bytes": pa.binary()}
-MARK_TYPES = {"anchor": pa.int64(), "snippet": pa.int64(), "marks": pa.list_(pa.int64()), "open": pa.binary()}
+SNIPPET_TYPES = {"anchor": pa.int64(), "snippet": pa.int64(), "n": pa.int64(), "place": pa.int32(), "bytes": pa.binary()}
+MARK_TYPES = {"group": pa.int64(), "piece": pa.int64(), "marks": pa.list_(pa.int64())}
 
 
 def _batch(columns, types) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
 
 
-def sort_snippets(snippets: DataFrame, width: int, gram: int) -> DataFrame:
-    """MARKED from SNIPPETS: starts that repeat in a block, as alternating first and last.
+def sort_snippets(pieces: DataFrame, width: int, gram: int) -> DataFrame:
+    """MARKED from (group, piece, n, place, bytes) in order of groups: starts that repeat, as alternating first and last.
 
-    Whole blocks are sorted together up to LOAD bytes. ``open`` holds two hashes for every
-    different string of a block of a hot anchor, at one of its starts.
+    Whole groups are sorted together up to LOAD bytes.
     """
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if size > LOAD and row[0:4:3] != last:
+                if size > LOAD and row[0] != last:
                     yield solve(held)
                     held, size = [], 0
-                last = row[0:4:3]
+                last = row[0]
                 held.append(row)
-                size += len(row[5])
+                size += len(row[4])
         if held:
             yield solve(held)
 
     def solve(rows):
-        rows = list({r[:2]: r for r in rows}.values())
-        out, shown = [[], [], [], []], set()
+        out = [[], [], []]
         live = np.flatnonzero(may_repeat(rows, width, gram))
-        starts_of = dict(zip(live, repeated_starts([rows[i][5] for i in live], [rows[i][2] for i in live], width))) if len(live) else {}
-        for k, (anchor, snippet, n, block, _, text) in enumerate(rows):
+        starts_of = dict(zip(live, repeated_starts([rows[i][4] for i in live], [rows[i][2] for i in live], width))) if len(live) else {}
+        for k, (group, piece, n, _, text) in enumerate(rows):
             starts = starts_of.get(k, np.arange(len(text) - width + 1) if n > 1 else np.zeros(0, np.int64))
-            left = None
-            if block >= 0:
-                at, buf = np.arange(len(text) - width + 1), np.frombuffer(text, np.uint8)
-                both = [x.tobytes() for x in np.stack([spans(buf, at, at + width, k) for k in (0, 1)], 1)]
-                settled, fresh = np.isin(at, starts), []
-                for x, done in zip(both, settled):
-                    if not done or (anchor, block, x) not in shown:
-                        fresh.append(x)
-                        if done:
-                            shown.add((anchor, block, x))
-                left = b"".join(fresh) or None
-            for c, v in zip(out, (anchor, snippet, _pairs(starts), left)):
-                c.append(v)
+            if len(starts):
+                for c, v in zip(out, (group, piece, _pairs(starts))):
+                    c.append(v)
         return _batch(out, MARK_TYPES)
 
-    return snippets.mapInArrow(run, MARKED)
+    return pieces.select("group", "piece", "n", "place", "bytes").mapInArrow(run, MARKED)
+
+
+def split(pieces: DataFrame, width: int, fan: int = FAN) -> DataFrame:
+    """Pieces cut to parts of their range of distances: the old (group, piece), the start of the part in it, and the new row."""
+    step = F.ceil((F.col("high") - F.col("low") + 1) / fan).cast("int")
+    parts = pieces.withColumn("a", F.explode(F.sequence("low", "high", step))).withColumn("b", F.least(F.col("a") + step - 1, "high"))
+    # distances of the part that the piece holds
+    parts = parts.withColumn("near", F.greatest("a", F.col("place") + width - F.length("bytes"))).withColumn("far", F.least("b", "place")).filter("near <= far")
+    stretch = F.substring("bytes", F.col("place") - F.col("a") + 1, F.col("a") - F.col("b") + width)
+    text = F.substring("bytes", F.col("place") - F.col("far") + 1, F.col("far") - F.col("near") + width)
+    parts = parts.select(
+        F.col("group").alias("was"), F.col("piece").alias("of"), (F.col("place") - F.col("far")).alias("from"), F.xxhash64("group", "a", "b", stretch).alias("group"),
+        F.col("a").alias("low"), F.col("b").alias("high"), "n", F.col("far").alias("place"), text.alias("bytes"))
+    return parts.withColumn("piece", F.xxhash64("place", "bytes"))
+
+
+def group_marks(snippets: DataFrame, scratch: Scratch, width: int, gram: int, block: int) -> DataFrame:
+    """(anchor, snippet, marks) of SNIPPETS. Runs jobs; as many rounds as a range of distances can be split."""
+    n_parts = int(snippets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = snippets.select(F.col("anchor").alias("group"), F.col("snippet").alias("piece"), "n", "place", "bytes", F.lit(0).alias("low"), F.lit(width - gram).alias("high"))
+    members, out = None, []
+    while True:
+        hot = pieces.groupBy("group").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > block).select("group", F.lit(True).alias("hot"))
+        told = scratch.keep(spread_join(pieces, hot, ["group"], "piece", how="left"))
+        dealt = told.filter("hot is null").repartition(n_parts, "group").sortWithinPartitions("group")
+        marks_ = scratch.keep(sort_snippets(dealt, width, gram))
+        if members is None:
+            out.append(marks_.select(F.col("group").alias("anchor"), F.col("piece").alias("snippet"), "marks"))
+        else:
+            # a piece may stand for many snippets
+            owned = spread_join(members, marks_, ["group", "piece"], "snippet")
+            out.append(owned.select("anchor", "snippet", F.transform("marks", lambda m: m + F.col("base")).alias("marks")))
+        large = told.filter("hot").drop("hot")
+        if large.isEmpty():
+            break
+        parts = scratch.keep(split(large, width))
+        step = parts.select("was", "of", "from", "group", "piece")
+        if members is None:
+            members = step.select(F.col("was").alias("anchor"), F.col("of").alias("snippet"), F.col("from").cast("long").alias("base"), "group", "piece")
+        else:
+            old = members.withColumnsRenamed({"group": "was", "piece": "of"})
+            members = spread_join(old, step, ["was", "of"], "snippet").select("anchor", "snippet", (F.col("base") + F.col("from")).alias("base"), "group", "piece")
+        members = scratch.keep(members)
+        same = parts.groupBy("group", "piece").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("place", "bytes", "low", "high")])
+        pieces = scratch.keep(same)
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every if len(out) == 1 else every.groupBy("anchor", "snippet").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
 
 def may_repeat(rows, width: int, gram: int, steps: int = 4) -> np.ndarray:
-    """Which snippets can hold a string of another snippet of their anchor and block.
+    """Which snippets can hold a string of another snippet of their group.
 
     The anchor lies 0 to ``width`` - ``gram`` bytes into a string. For each of ``steps`` ranges of
     that distance all strings hold one stretch around the anchor; only snippets that share
     such a stretch need sorting. The rest have no string in common with others.
     """
-    lengths = np.array([len(r[5]) for r in rows])
+    lengths = np.array([len(r[4]) for r in rows])
     begin = np.cumsum(lengths) - lengths
-    buf = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-    place = np.array([r[4] for r in rows], np.int64)
-    group = mix(np.array([r[0] for r in rows], np.int64).view(np.uint64) + np.array([r[3] for r in rows], np.int64).view(np.uint64))
+    buf = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+    place = np.array([r[3] for r in rows], np.int64)
+    group = mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))
     edges = np.linspace(0, width - gram, steps + 1).astype(np.int64)
     live = np.zeros(len(rows), bool)
     for near, far in zip(edges, edges[1:]):
@@ -389,52 +432,27 @@ def cut(rows: DataFrame, width: int, with_text: bool = False) -> DataFrame:
 
 def marks(texts: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(id, key, text) of texts with anchors that repeat, and (id, key, marks) of marked ones. Runs jobs."""
-    spark = texts.sparkSession
     every = scratch.keep(anchors(texts.select("id", "key", "text"), width, gram))
     entry = every.groupBy("anchor", "snippet").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "low")).alias("of"))
     entry = scratch.keep(entry)
     shared = entry.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("all > 1").select("anchor", "kinds")
     entry = scratch.keep(entry.join(shared, "anchor"))
-    seen = scratch.keep(every.join(entry, ["anchor", "snippet"]))
+    # copies of a row count in n, and are looked at once
+    seen = scratch.keep(every.join(entry, ["anchor", "snippet"]).groupBy("id", "key", "low").agg(*[F.first(c).alias(c) for c in ("anchor", "snippet", "high", "place", "n", "of", "kinds")]))
     # of a snippet that several places share, the first place lends its bytes
     lends = (F.col("kinds") > 1) & (F.col("of.id") == F.col("id")) & (F.col("of.key") == F.col("key")) & (F.col("of.low") == F.col("low"))
-    number = F.when(F.col("kinds") > block, F.pmod(F.col("snippet"), F.ceil(F.col("kinds") / block)).cast("int")).otherwise(F.lit(-1))
-    want = F.when(lends, F.struct("anchor", "snippet", "n", number.alias("block"), "low", "high", "place"))
+    want = F.when(lends, F.struct("anchor", "snippet", "n", "low", "high", "place"))
     asked = scratch.keep(seen.groupBy("id", "key").agg(F.collect_list(want).alias("wanted")))
-    near = scratch.keep(likely(texts.select("id", "key", "text"), "key", asked, "key").join(asked, ["id", "key"]))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut_out(near.filter(F.size("wanted") > 0), width).repartition(n_parts, "anchor", "block").sortWithinPartitions("anchor", "block")
-    marked = scratch.keep(sort_snippets(dealt, width, gram))
-    # different strings of hot anchors over all their blocks
-    pair = F.expr("transform(sequence(0, length(open) div 16 - 1), i -> substring(open, i * 16 + 1, 16))")
-    single = marked.filter("open is not null").select("anchor", "snippet", F.explode(pair).alias("string"))
-    twice = single.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    later = scratch.keep(single.join(twice, ["anchor", "string"]).groupBy("anchor", "snippet").agg(F.collect_set("string").alias("strings")))
-    more = resolve(later.join(cut_out(near.filter(F.size("wanted") > 0), width), ["anchor", "snippet"]), width)
-    sorted_ = marked.select("anchor", "snippet", "marks").unionByName(more) if not later.isEmpty() else marked.select("anchor", "snippet", "marks")
+    near = likely(texts.select("id", "key", "text"), "key", asked, "key").join(asked, ["id", "key"])
+    near = scratch.keep(near.groupBy("id", "key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")))
+    snippets = scratch.keep(cut_out(near.filter(F.size("wanted") > 0), width))
+    sorted_ = group_marks(snippets, scratch, width, gram, block)
     plain = entry.filter("kinds = 1 and n > 1").select("anchor", "snippet").withColumn("marks", F.lit(None).cast("array<bigint>"))
-    found = seen.select("id", "key", "anchor", "snippet", "low", "high").join(sorted_.filter(F.size("marks") > 0).unionByName(plain), ["anchor", "snippet"])
+    found = seen.select("id", "key", "anchor", "snippet", "low", "high").join(sorted_.unionByName(plain), ["anchor", "snippet"])
     whole = F.array(F.lit(0).cast("long"), F.col("high") - F.col("low"))
     return near, scratch.keep(found.groupBy("id", "key").agg(F.collect_list(F.struct("low", F.coalesce("marks", whole).alias("marks"))).alias("marks")))
 
 
-def resolve(rows: DataFrame, width: int) -> DataFrame:
-    """Starts of snippets whose string is among ``strings``, as marks."""
-    def run(batches):
-        for batch in batches:
-            d = batch.to_pydict()
-            out = [[], [], []]
-            for anchor, snippet, strings, text in zip(d["anchor"], d["snippet"], d["strings"], d["bytes"]):
-                buf, at = np.frombuffer(text, np.uint8), np.arange(len(text) - width + 1)
-                both = np.stack([spans(buf, at, at + width, k) for k in (0, 1)], 1)
-                held = set(map(bytes, strings))
-                for c, v in zip(out, (anchor, snippet, _pairs(np.array([i for i in at if both[i].tobytes() in held], np.int64)))):
-                    c.append(v)
-            yield _batch(out, {"anchor": pa.int64(), "snippet": pa.int64(), "marks": pa.list_(pa.int64())})
-
-    return rows.select("anchor", "snippet", "strings", "bytes").mapInArrow(run, "anchor bigint, snippet bigint, marks array<bigint>")
-
-
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept text). Runs jobs.
 
@@ -450,7 +468,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BL
         return scratch.result(cut(texts.join(found, ["id", "key"], "left").select("id", "key", "doc_id", "text", "marks"), width, True).drop("id", "key"))
     none = F.lit(None).cast("array<struct<low:bigint,marks:array<bigint>>>").alias("marks")
     whole = cut(texts.select("id", "key", "doc_id", "text", none), width)
-    changed = cut(near.join(found, ["id", "key"]).select("id", "key", F.lit(None).cast("long").alias("doc_id"), "text", "marks"), width).dropDuplicates(["id", "key"])
+    changed = cut(near.join(found, ["id", "key"]).select("id", "key", F.lit(None).cast("long").alias("doc_id"), "text", "marks"), width)
     changed = changed.select("id", "key", *[F.col(c).alias(f"_{c}") for c in ("n_removed", "n_spans", "kept_sha256")])
     return scratch.result(whole.join(changed, ["id", "key"], "left").select(
         "doc_id", "n_bytes", *[F.coalesce(f"_{c}", c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256")]))

@@ -100,7 +100,6 @@ def test_pack_gives_all_ids(spark):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rng = random.Random(4)
     texts = ["", "<|endoftext|> naïve £ 日本", *(lines(rng, rng.randint(1, 900)) for _ in range(40))]
     got = packing.pack(table(spark, [(i, t, "a") for i, t in enumerate(texts)]), with_ids=True).collect()
@@ -283,7 +282,7 @@ def brute_bytes(texts, width=400):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 8])
+@pytest.mark.parametrize("block", [2048, 8, 2])
 def test_suffix_matches_brute_force(spark, block):
     rng = random.Random(8)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(460))
@@ -294,6 +293,30 @@ def test_suffix_matches_brute_force(spark, block):
     assert [g[1:] for g in got] == brute_bytes([t.encode() for t in texts])
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_suffix_of_repeated_rows_and_null_ids(spark, block):
+    rng = random.Random(18)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    texts = [(None, passage), (None, passage), (None, None), (1, passage), (1, passage), (1, passage[:450] + "!"), (2, ""), (3, "x" * 399 + passage[:401])]
+    texts += [(10 + k, "".join(rng.choice("ijk ") for _ in range(rng.randint(0, 200))) + passage[rng.randint(0, 250):rng.randint(420, 700)] + str(k)) for k in range(30)]
+    docs = table(spark, [(i, t, "a") for i, t in texts for _ in range(3)], extra=True)
+    got = sorted((tuple(r) for r in suffix.dedup(docs, block=block).collect()), key=str)
+    want = brute_bytes([(t or "").encode() for _, t in texts for _ in range(3)])
+    assert got == sorted(((i, *w) for (i, _), w in zip([x for x in texts for _ in range(3)], want)), key=str)
+
+
+def test_suffix_cuts_copies_once(spark):
+    text = "".join(random.Random(28).choice("abcdefgh ") for _ in range(900))
+    made = []
+    for n in (5, 40):
+        docs = table(spark, [(None, text, "a")] * n + [(k, text[:k] + "?" * 50, "a") for k in range(420, 800, 40)])
+        scratch = common.Scratch(spark)
+        texts = docs.selectExpr("coalesce(doc_id, -1) id", "xxhash64(text) key", "text")
+        near, _ = suffix.marks(texts, scratch)
+        made.append(suffix.cut_out(near.filter("size(wanted) > 0"), suffix.WIDTH).count())
+    assert made[0] == made[1] > 0
+
+
 def brute_join(texts):
     sets = {}
     for i, t in texts:
