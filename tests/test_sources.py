@@ -53,7 +53,7 @@ def test_manifest(spark, tmp_path):
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_bytes(b"0" * n)
     rows = {r.path: r.size_bytes for r in readers.file_manifest(spark, str(tmp_path)).collect()}
-    assert rows == {"t/a.mcap": 10, "t/x/b.tar": 20}
+    assert rows == {"t/a.mcap": 10, "t/x/b.tar": 20, "t/x/y/z/w/deep.mp4": 5}
 
 
 def test_names_as_list_or_map(spark):
