@@ -306,8 +306,8 @@ def test_suffix_of_repeated_rows_and_null_ids(spark, block):
 
 
 def test_suffix_cuts_copies_once(spark):
-    text = "".join(random.Random(28).choice("abcdefgh ") for _ in range(900))
-    made = []
+    rng, made = random.Random(28), []
+    text = "".join(rng.choice("abcdefgh ") for _ in range(900))
     for n in (5, 40):
         docs = table(spark, [(None, text, "a")] * n + [(k, text[:k] + "?" * 50, "a") for k in range(420, 800, 40)])
         scratch = common.Scratch(spark)
