@@ -31,25 +31,63 @@ def shape_covariance(scored: DataFrame, keys=TASK) -> DataFrame:
     return a.select(*keys, F.inline(cells))
 
 
-def inverse_covariance(cov: DataFrame, keys=TASK) -> DataFrame:
-    """Pseudo-inverse of each task's 10 x 10 matrix: (task, inv array of rows)."""
-    import numpy as np
-    import pandas as pd
+def _matrix(cell) -> Column:
+    """A square array of rows of the features' size, from cell(i, j)."""
+    k = F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))
+    return F.transform(k, lambda i: F.transform(k, lambda j: cell(i, j)))
 
-    k = len(FEATURES)
 
-    @F.pandas_udf("array<array<double>>")
-    def pinv(cells: pd.Series) -> pd.Series:
-        out = []
-        for row in cells:
-            m = np.zeros((k, k))
-            for x in row:
-                m[x["i"], x["j"]] = m[x["j"], x["i"]] = x["cov"]
-            out.append(np.linalg.pinv(m).tolist())
-        return pd.Series(out)
-
-    c = cov.filter("cov is not null").groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "cov")).alias("cells"))
-    return c.select(*keys, pinv("cells").alias("inv"))
+def _dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def _let(value, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def factor(m: Column, tolerance: float = 1e-12) -> Column:
+    """Columns of L with m = L L', as many as the rank: elimination by the largest pivot that is left."""
+    size = len(FEATURES)
+    top = _let(m, lambda a: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: a[i][i])))
+
+    def step(acc, _):
+        a = acc["a"]
+        pivot = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(a[i][i].alias("v"), (-i).alias("i"))))
+        column = _let(pivot, lambda p: F.when(p["v"] > acc["top"] * tolerance, F.transform(a, lambda row: row[-p["i"]] / F.sqrt(p["v"]))))
+        return _let(column, lambda c: F.when(c.isNull(), acc).otherwise(F.struct(
+            F.transform(a, lambda row, i: F.zip_with(row, c, lambda x, y: x - c[i] * y)).alias("a"), F.concat(acc["l"], F.array(c)).alias("l"), acc["top"].alias("top"))))
+
+    start = F.struct(m.alias("a"), F.array().cast("array<array<double>>").alias("l"), top.alias("top"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, step, lambda acc: acc["l"])
+
+
+def inverse(m: Column) -> Column:
+    """Inverse of a positive definite array of rows, by elimination in place."""
+    def step(a, p):
+        return _let(a[p][p], lambda d: F.transform(a, lambda row, i: F.transform(row, lambda x, j: F.when((i == p) & (j == p), 1 / d).when(i == p, x / d).when(j == p, -x / d)
+                                                                                 .otherwise(x - row[p] * a[p][j] / d))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), m, step)
+
+
+def inverse_covariance(cov: DataFrame, keys=TASK) -> DataFrame:
+    """Pseudo-inverse of each task's matrix: (task, inv array of rows), in column expressions.
+
+    With m = L L' of full column rank, the pseudo-inverse is L S S L' for S = inverse of L'L.
+    """
+    cells = cov.filter("cov is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * len(FEATURES) + F.col("j")).alias("k"), F.col("cov").alias("v")))).alias("_c"))
+    rows = cells.select(*keys, _matrix(lambda i, j: F.element_at("_c", F.least(i, j) * len(FEATURES) + F.greatest(i, j))).alias("_m"))
+    rows = rows.select(*keys, factor(F.col("_m")).alias("_l"))
+    # nothing varies: the pseudo-inverse is zero
+    gram = F.transform("_l", lambda a: F.transform("_l", lambda b: _dot(a, b)))
+    rows = rows.select(*keys, "_l", F.when(F.size("_l") > 0, inverse(gram)).alias("_s"))
+    rows = rows.select(*keys, "_l", F.transform("_s", lambda a: F.transform("_s", lambda b: _dot(a, b))).alias("_t"))
+    place = F.sequence(F.lit(0), F.lit(len(FEATURES) - 1))
+    across = F.transform(place, lambda i: F.transform("_l", lambda c: c[i]))
+    rows = rows.select(*keys, "_t", across.alias("_r"))
+    cell = lambda a, b: _dot(F.transform(F.col("_t"), lambda t: _dot(t, a)), b)
+    return rows.select(*keys, F.when(F.col("_t").isNull(), _matrix(lambda i, j: F.lit(0.0))).otherwise(F.transform("_r", lambda a: F.transform("_r", lambda b: cell(a, b)))).alias("inv"))
 
 
 def mahalanobis(scored: DataFrame, inverse: DataFrame, keys=TASK) -> DataFrame:

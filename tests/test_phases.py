@@ -145,13 +145,41 @@ def test_clusters_hold_every_episode(spark):
     assert clusters.variance_clusters(feature_frame(spark, x[:3])).count() == 0
 
 
-def test_rounds_equal_numpy(spark):
-    z = np.random.default_rng(4).normal(size=(40, 10)).round(9)
-    points = spark.createDataFrame([("d", 0, 0, i, [float(v) for v in row]) for i, row in enumerate(z)], "dataset_id string, task_index long, set int, episode_index long, z array<double>")
-    got = clusters.assigned(points, clusters.centroids_of(points, (2, 4), 3), (2, 4)).collect()
-    for k in (2, 4):
-        want = twins.rounds(z, k, 3)
-        assert [r.at for r in sorted(got, key=lambda r: r.episode_index) if r.k == k] == want.tolist()
+def cut_sets(points, k, **options):
+    cuts, members = clusters.ward_cuts(points, (2, 3, 4, 5), **options)
+    label = {r.id: r.label[k - 2] for r in cuts.filter("set = 0").collect()}
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(label[r.id], set()).add(r.episode_index)
+    return sorted(map(sorted, groups.values())), {r.set: r.within[k - 2] for r in cuts.collect()}
+
+
+@pytest.mark.parametrize("n, bound", [(24, 2048), (300, 2048), (300, 40)])
+def test_linkage_equals_plain_ward(spark, n, bound):
+    z = np.random.default_rng(4).normal(size=(n, 10)).round(9)
+    z[3] = z[9]
+    points = spark.createDataFrame([("d", 0, s, i, [float(v) for v in row * (1 + s)]) for s in (0, 1) for i, row in enumerate(z)],
+                                   "dataset_id string, task_index long, set int, episode_index long, z array<double>")
+    for k in (2, 5):
+        groups, within = cut_sets(points, k, bound=bound, per_cell=20)
+        want, total = twins.ward(z, k)
+        assert groups == want and within[0] == pytest.approx(total, rel=1e-6) and within[1] == pytest.approx(4 * total, rel=1e-6)
+
+
+def test_few_different_vectors_are_one_cluster(spark):
+    rows = clusters.variance_clusters(feature_frame(spark, np.ones((6, 10)))).collect()
+    assert {(r.cluster, r.size, r.episode_index) for r in rows} == {("C1", 6, i) for i in range(6)}
+
+
+@pytest.mark.parametrize("rank", [0, 2, 9, 10])
+def test_pseudo_inverse_in_columns(spark, rank):
+    rng = np.random.default_rng(rank)
+    b = rng.normal(size=(10, rank))
+    m = b @ b.T
+    cov = spark.createDataFrame([("d", 0, i, j, float(m[i, j])) for i in range(10) for j in range(i, 10)], "dataset_id string, task_index long, i int, j int, cov double")
+    got = np.array(outliers.inverse_covariance(cov).first().inv)
+    want = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
+    assert np.abs(got - want).max() <= 1e-6 * max(1, np.abs(want).max())
 
 
 def test_medoid_is_the_most_central_member(spark):

@@ -157,17 +157,16 @@ def mahalanobis(x):
     return np.einsum("ij,jk,ik->i", z, inv, z)
 
 
-def rounds(z, k, n):
-    """Labels after n rounds of centroids from far seeds."""
-    dist = lambda c: ((z[:, None] - c[None]) ** 2).sum(-1)
-    seeds = [z[(z ** 2).sum(1).argmax()]]
-    while len(seeds) < k:
-        seeds.append(z[dist(np.array(seeds)).min(1).argmax()])
-    c = np.array(seeds)
-    for _ in range(n):
-        at = dist(c).argmin(1)
-        c = np.array([z[at == j].mean(0) for j in range(k)])
-    return dist(c).argmin(1)
+def ward(z, k):
+    """Members of k clusters by plain Ward linkage, one merge at a time, and their summed squared distances."""
+    groups = [[i] for i in range(len(z))]
+    while len(groups) > k:
+        c, n = np.array([z[g].mean(0) for g in groups]), np.array([len(g) for g in groups])
+        gap = n[:, None] * n[None] / (n[:, None] + n[None]) * ((c[:, None] - c[None]) ** 2).sum(-1)
+        gap[np.tril_indices(len(groups))] = np.inf
+        a, b = divmod(int(gap.argmin()), len(groups))
+        groups[a] = groups[a] + groups.pop(b)
+    return sorted(map(sorted, groups)), sum(((z[g] - z[g].mean(0)) ** 2).sum() for g in groups)
 
 
 def smoothness(a):
