@@ -11,7 +11,9 @@ positions stay.
 
 Defined cases: null content counts as empty and has a blob of its own like any other; equal
 contents share a blob; an empty table adds nothing; a path that occurs twice gets its
-findings twice; other columns of the versions are carried through whatever their names.
+findings twice; other columns of the versions are carried through whatever their names (columns
+named ``_blob`` or ``_spans`` give way to the results of those names in ``findings``; ``paths``
+keeps them, in a struct).
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,8 +91,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def findings(versions: DataFrame, ledger: str, content: str = "text", rules=RULES) -> DataFrame:
-    """The versions with ``_blob`` and ``_spans``: array of (start, place of the kind, kind, end), in order.
+def paths(versions: DataFrame, ledger: str, content: str = "text", rules=RULES) -> DataFrame:
+    """``row`` (the version as a struct), ``_blob`` and ``_spans``: array of (start, place of the kind, kind, end), in order.
 
     Only blobs with findings meet the paths; a blob that many paths share is one row here,
     and the rows of its paths can be split by adaptive execution.
@@ -104,8 +106,14 @@ def findings(versions: DataFrame, ledger: str, content: str = "text", rules=RULE
                  x["start"].alias("start"), place[F.col("rule")].alias("place"),
                  kind[F.col("rule")].alias("kind"), x["end"].alias("end"))).alias("s"))
              .groupBy("_blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("_spans")))
-    keyed = versions.withColumn("_blob", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
-    return keyed.join(spans, "_blob", "left")
+    keyed = versions.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("_blob"))
+    return keyed.join(spans, "_blob", "left").select("row", "_blob", "_spans")
+
+
+def findings(versions: DataFrame, ledger: str, content: str = "text", rules=RULES) -> DataFrame:
+    """The versions with ``_blob`` and ``_spans``: array of (start, place of the kind, kind, end), in order."""
+    own = [F.col(f"row.`{c}`").alias(c) for c in versions.columns if c not in ("_blob", "_spans")]
+    return paths(versions, ledger, content, rules).select(*own, "_blob", "_spans")
 
 
 def scan(versions: DataFrame, ledger: str, content: str = "text", rules=RULES) -> DataFrame:

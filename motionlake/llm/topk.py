@@ -9,7 +9,8 @@ that bound. Queries reach the shards in packed blocks, and the best of all shard
 
 Defined cases: rows without id or vector, or with another number of dimensions than ``dims`` (if
 not given, the most frequent number, of equals the least), are left out, as are null coordinates (bit 0); a query never finds its own id; equal distances
-rank by id; repeated rows of one id count once; an empty table gives no rows; other columns
+rank by id; rows of one id count once, at the least distance of their vectors; a query id with several
+vectors asks with each of them; an empty table gives no rows; other columns
 are not read.
 """
 
@@ -38,6 +39,10 @@ def packed(rows: DataFrame, dims: int, n_shards: int) -> DataFrame:
             codes = np.zeros((len(ids), wide), np.uint8)
             codes[:, :bits.shape[1]] = bits
             shard, asked = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            # repeated rows of a batch are packed once
+            rows = np.concatenate([ids.view(np.uint8).reshape(-1, 8), codes, asked.astype(np.uint8)[:, None]], 1)
+            once = np.sort(np.unique(rows, axis=0, return_index=True)[1]) if len(rows) else np.zeros(0, np.int64)
+            ids, codes, shard, asked = ids[once], codes[once], shard[once], asked[once]
             out = [(int(s), 0, ids[shard == s].tobytes(), codes[shard == s].tobytes()) for s in np.unique(shard)]
             for a in range(0, int(asked.sum()), 4096):
                 block = ids[asked][a:a + 4096].tobytes(), codes[asked][a:a + 4096].tobytes()
@@ -54,10 +59,18 @@ class Index:
     def __init__(self, ids: np.ndarray, codes: np.ndarray, k: int):
         order = np.lexsort((ids, *codes.T[::-1]))
         ids, codes = ids[order], codes[order]
+        # a row that repeats id and code counts once
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (codes[1:] != codes[:-1]).any(axis=1)
+        ids, codes = ids[fresh], codes[fresh]
         new = np.ones(len(ids), bool)
         new[1:] = (codes[1:] != codes[:-1]).any(axis=1)
         self.first = np.append(np.flatnonzero(new), len(ids))
-        self.ids, self.codes, self.k = ids, codes[new], k + 1
+        self.ids, self.codes = ids, codes[new]
+        #: codes of one id only; an id may stand in several others, which then need more places
+        self.alone = np.diff(self.first) == 1
+        shared = ids[~np.repeat(self.alone, np.diff(self.first))]
+        self.k = (k + 1) * (int(np.unique(shared, return_counts=True)[1].max()) if len(shared) else 1)
         self.segments = self.codes.view("<u2")
         self.tables = []
         for s in range(self.segments.shape[1]):
@@ -65,9 +78,10 @@ class Index:
             self.tables.append((order, np.searchsorted(self.segments[order, s], np.arange((1 << BITS) + 1))))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, code, distance): at least the k + 1 nearest codes of each query."""
+        """(query, code, distance): codes that hold at least the k + 1 nearest ids of each query."""
         n, m = len(queries), self.segments.shape[1]
-        asked, k = queries.view("<u2"), min(self.k, len(self.codes))
+        # no more than all ids can be found
+        asked, k = queries.view("<u2"), min(self.k, int(len(np.unique(self.ids[self.first[:-1]][self.alone]))) + int((~self.alone).sum()))
         held = [np.zeros(0, np.int64) for _ in range(3)]
         live = np.arange(n)
         for radius in range(BITS + 1):
@@ -94,14 +108,21 @@ class Index:
         return tuple(held)
 
     def best(self, rows):
-        """The k + 1 least (distance, least id) of each query, each code once."""
+        """The least (distance, least id) of each query, enough for k + 1 ids; each code once."""
         query, code, far = rows
         order = np.lexsort((code, query))
         query, code, far = query[order], code[order], far[order]
         new = np.ones(len(query), bool)
         new[1:] = (query[1:] != query[:-1]) | (code[1:] != code[:-1])
         query, code, far = query[new], code[new], far[new]
-        order = np.lexsort((self.ids[self.first[code]], far, query))
+        # of the codes that stand for one id alone the nearest counts
+        who = self.ids[self.first[code]]
+        order = np.lexsort((far, who, ~self.alone[code], query))
+        query, code, far, who = query[order], code[order], far[order], who[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (who[1:] != who[:-1]) | ~self.alone[code[1:]]
+        query, code, far, who = query[new], code[new], far[new], who[new]
+        order = np.lexsort((who, far, query))
         query, code, far = query[order], code[order], far[order]
         start = np.searchsorted(query, query, "left")
         keep = np.arange(len(query)) - start < self.k
@@ -133,6 +154,10 @@ def nearest(packed_rows: DataFrame, n_shards: int, k: int, wide: int) -> DataFra
                 query, far, ident = query[other], far[other], ident[other]
                 order = np.lexsort((ident, far, query))
                 query, far, ident = query[order], far[order], ident[order]
+                # an id takes one place, at its least distance
+                once = np.zeros(len(query), bool)
+                once[np.unique(np.stack([query, ident]), axis=1, return_index=True)[1]] = True
+                query, far, ident = query[once], far[once], ident[once]
                 keep = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
                 yield pa.RecordBatch.from_arrays([pa.array(some[query[keep]]), pa.array(ident[keep]), pa.array(far[keep].astype(np.int32))], names=["query_id", "vec_id", "distance"])
 
@@ -151,7 +176,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, dims: int | None = No
     n_shards = max(1, -(-total // per_shard))
     named = named.filter(F.size("embedding") == dims).select(
         "vec_id", F.transform("embedding", lambda x: F.coalesce(x.cast("float"), F.lit(0).cast("float"))).alias("embedding"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int").alias("_s"), F.coalesce("_q", F.lit(False)).alias("_q"))
+        F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_shards)).cast("int").alias("_s"), F.coalesce("_q", F.lit(False)).alias("_q"))
     found = nearest(packed(named, dims, n_shards), n_shards, k, -(-dims // BITS) * (BITS // 8))
     once = found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))

@@ -138,6 +138,28 @@ def test_topk_is_exact(spark):
     assert topk.search(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_repeated_ids(spark):
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(12, 20))
+    rows = [(int(rng.integers(0, 60)), [float(x) for x in base[rng.integers(0, 12)] + rng.normal(size=20) * rng.choice([0, 0.4])]) for _ in range(400)]
+    rows += [(7, [float(x) for x in rng.normal(size=20)]) for _ in range(150)] + [rows[0]] * 60 + [(61, [None] * 20), (62, rows[3][1][:19] + [None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as distance", "2 as shard", "3 as _s").repartition(5)
+    bits = lambda v: np.array([x is not None and np.float32(x) > 0 for x in v])
+    far, codes = {}, [(i, bits(v)) for i, v in rows]
+    for q, a in codes:
+        for i, b in codes:
+            if q % 5 == 0 and i != q:
+                far[q, i] = min(far.get((q, i), 99), int((a != b).sum()))
+    want = []
+    for q in {q for q, _ in far}:
+        want += [(q, r + 1, i, d) for r, (d, i) in enumerate(sorted((d, i) for (p, i), d in far.items() if p == q)[:7])]
+    for per_shard in (100, 1 << 14):
+        got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 5 == 0, k=7, dims=20, per_shard=per_shard).collect()))
+        assert got == sorted(want)
+    few = spark.createDataFrame([(i // 2, [float(x) for x in base[i]]) for i in range(6)], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["vec_id"]) for r in topk.search(few, F.col("vec_id") < 2, k=2).collect()) == [(0, 1), (0, 2), (1, 0), (1, 2)]
+
+
 @pytest.mark.parametrize("lengths, dims", [([1, 0, 0, 0, 20, 20, 30], 20), ([30, 20, 20, 30], 20)])
 def test_topk_takes_the_most_frequent_size(spark, lengths, dims):
     df = spark.createDataFrame([(i, [1.0] * n) for i, n in enumerate(lengths)], "vec_id long, embedding array<double>").coalesce(1)
@@ -236,6 +258,15 @@ def test_ledger_is_incremental(spark):
     assert {r["doc_id"]: r["t"] for r in clean}[1] == "[secret]"
 
 
+def test_findings_beside_columns_of_their_names(spark):
+    docs = table(spark, [(1, "password = hunter22xx", "a"), (2, None, "a")]).selectExpr("*", "5 as _blob", "6 as _spans", "7 as row", "8 as s")
+    found = secrets.scan(docs, secrets.fresh_ledger(spark)).collect()
+    assert sorted((r["doc_id"], r["row"], len(r["_spans"] or [])) for r in found) == [(1, 7, 1), (2, 7, 0)]
+    ledger = secrets.fresh_ledger(spark)
+    secrets.update(docs, ledger)
+    assert sorted((r["row"]["doc_id"], r["row"]["_blob"], r["row"]["_spans"]) for r in secrets.paths(docs, ledger).collect()) == [(1, 5, 6), (2, 5, 6)]
+
+
 def brute_words(texts, width=13):
     least = {}
     for i, t in texts:
