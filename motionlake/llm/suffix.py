@@ -349,7 +349,7 @@ def group_marks(snippets: DataFrame, scratch: Scratch, width: int, gram: int, bl
             out.append(marks_.select(F.col("group").alias("anchor"), F.col("piece").alias("snippet"), "marks"))
         else:
             # a piece may stand for many snippets
-            owned = spread_join(members, marks_, ["group", "piece"], "snippet")
+            owned = spread_join(members, marks_.hint("merge"), ["group", "piece"], "snippet")
             out.append(owned.select("anchor", "snippet", F.transform("marks", lambda m: m + F.col("base")).alias("marks")))
         large = told.filter("hot").drop("hot")
         if large.isEmpty():
@@ -360,7 +360,7 @@ def group_marks(snippets: DataFrame, scratch: Scratch, width: int, gram: int, bl
             members = step.select(F.col("was").alias("anchor"), F.col("of").alias("snippet"), F.col("from").cast("long").alias("base"), "group", "piece")
         else:
             old = members.withColumnsRenamed({"group": "was", "piece": "of"})
-            members = spread_join(old, step, ["was", "of"], "snippet").select("anchor", "snippet", (F.col("base") + F.col("from")).alias("base"), "group", "piece")
+            members = spread_join(old, step.hint("merge"), ["was", "of"], "snippet").select("anchor", "snippet", (F.col("base") + F.col("from")).alias("base"), "group", "piece")
         members = scratch.keep(members)
         same = parts.groupBy("group", "piece").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("place", "bytes", "low", "high")])
         pieces = scratch.keep(same)
