@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from motionlake.llm import mixing, packing, quality, secrets, setjoin
 from motionlake.llm.common import Scratch, documents
+from motionlake.operators.chunks import spread_join
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; null, empty and short texts go, repeated rows are judged one by one."""
     return quality.keep(docs)
 
 
@@ -21,34 +22,38 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Each row counts by its own text, also among rows that share an id: of equal ids in one
     component one row stays, and a row stays if only another text of its id is a copy. Empty
-    texts link with nothing and all stay.
+    and null texts link with nothing and all stay; extra columns are kept whatever their names.
     """
-    rows = Scratch(spark).keep(docs.withColumn("_row", F.monotonically_increasing_id()))
-    known = rows.filter("doc_id is not null")
-    component = setjoin.join(known.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = known.select("_row", F.struct("doc_id", F.xxhash64(*docs.columns), "_row").alias("_o")).join(component, "_row")
-    stays = order.groupBy("component_id").agg(F.min("_o")["_row"].alias("_stays"))
-    copies = order.join(stays, "component_id").filter("_row <> _stays").select("_row")
-    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
+    rows = Scratch(spark).keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    known = rows.filter("doc.doc_id is not null")
+    component = setjoin.join(known.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+    order = known.select("row", F.struct("doc.doc_id", F.xxhash64("doc"), "row").alias("place")).join(component, "row")
+    stays = order.groupBy("component_id").agg(F.min("place")["row"].alias("stays"))
+    # a large component is one key; its one row meets the members over salts
+    copies = spread_join(order, stays, ["component_id"], "row").filter("row <> stays").select("row")
+    return rows.join(copies, "row", "left_anti").select("doc.*")
 
 
 def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret replaced by a mark."""
+    """Texts with every secret replaced by a mark, and ``n_chars`` of what is left.
+
+    A null text stays null; equal texts are scanned once; extra columns are kept whatever their names.
+    """
     ledger = secrets.fresh_ledger(spark)
     secrets.update(docs.select("text"), ledger)
-    found = secrets.findings(docs, ledger)
-    text = secrets.redact(F.col("text"), F.col("_spans"))
+    found = secrets.paths(docs, ledger)
+    text = secrets.redact(F.col("row.text"), F.col("_spans"))
     own = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
-    return found.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
+    return found.select(*[own[c].alias(c) if c in own else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them."""
+    """Documents as often as the target weights of their sources take them; null or empty texts at the rate of their source."""
     return mixing.emit(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their sequence and offset; a null or empty text is one piece of its end mark."""
     return packing.pack(docs)
 
 
