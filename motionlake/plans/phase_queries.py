@@ -7,7 +7,7 @@ from motionlake.operators.chunks import materialise
 from motionlake.operators.series import gaussian_weights
 from motionlake.plans import reports
 from motionlake.plans.frame_queries import SQL_EP, frames, gauss_sql
-from motionlake.plans.registry import EPC, FRAMES, W, I, R, query
+from motionlake.plans.registry import EPC, FRAMES, ORACLES, W, I, R, query
 from motionlake.schema import EP, TASK
 from motionlake.sources import sinks
 from motionlake.sources.driver_tables import ingested
@@ -189,18 +189,56 @@ def _(spark, sf):
     return outliers.shape_covariance(outliers.standardised(features(spark, sf)))
 
 
-@query("mahalanobis")
+def _lst(make, n=10):
+    return "[" + ", ".join(make(i) for i in range(n)) + "]"
+
+
+#: z-scores, the inverse of the covariance by elimination in place (features that do not vary are left out), contributions.
+SHAPE_CTE = FEAT_CTE + f""",
+zz AS MATERIALIZED (SELECT *, count(*) OVER t tn, {_lst(lambda i: f"({COLS[i]} - avg({COLS[i]}) OVER t) / greatest(stddev_pop({COLS[i]}) OVER t, 1e-9)")} z FROM sf_ WINDOW t AS (PARTITION BY dataset_id, task_index)),
+iv AS (SELECT dataset_id, task_index, 0 k, {_lst(lambda t: f"covar_samp(z[{t // 10 + 1}], z[{t % 10 + 1}])", 100)} m FROM zz GROUP BY ALL
+  UNION ALL SELECT dataset_id, task_index, k + 1, list_transform(range(100), lambda t: CASE WHEN m[k * 11 + 1] <= 1e-9 THEN m[t + 1] WHEN t = k * 11 THEN 1 / m[k * 11 + 1] WHEN t // 10 = k THEN m[t + 1] / m[k * 11 + 1]
+    WHEN t % 10 = k THEN -m[t + 1] / m[k * 11 + 1] ELSE m[t + 1] - m[t // 10 * 10 + k + 1] * m[k * 10 + t % 10 + 1] / m[k * 11 + 1] END) FROM iv WHERE k < 10),
+co AS MATERIALIZED (SELECT *, list_sum(cb) d2 FROM (SELECT zz.*, list_transform(range(10), lambda j: z[j + 1] * list_sum(list_transform(range(10), lambda i: m[j * 10 + i + 1] * z[i + 1]))) cb FROM zz JOIN iv USING (dataset_id, task_index) WHERE k = 10))"""
+
+
+@query("mahalanobis", f"WITH RECURSIVE {SHAPE_CTE} SELECT {SQL_EP}{R('d2', 'd2')} FROM co")
 def _(spark, sf):
     z = outliers.standardised(features(spark, sf))
     m = outliers.mahalanobis(z, outliers.inverse_covariance(outliers.shape_covariance(z)))
     return m.select(*EP, "d2")
 
 
-@query("shape_outlier_flags")
+def shape_flags_sql(limit):
+    v = "CAST(CAST(v AS BIGINT) AS VARCHAR)"
+    up = lambda a, b: f"CASE WHEN c > 0 THEN '{a}' ELSE '{b}' END"
+    wording = f"""CASE f WHEN 'num_gripper_events' THEN {v} || ' gripper open/close events (more than typical)'
+WHEN 'num_pauses' THEN {v} || ' velocity ' || CASE WHEN v <> 1 THEN 'pauses' ELSE 'pause' END || ' mid-trajectory (' || {up('many', 'few')} || ')'
+WHEN 'path_directness' THEN {up('path is unusually straight', 'path wanders noticeably (not direct start-to-end)')}
+WHEN 'arc_length_xyz' THEN {up('much more total translation than typical', 'much less total translation than typical')}
+WHEN 'arc_length_rot' THEN {up('much more wrist rotation than typical', 'much less wrist rotation than typical')}
+WHEN 'num_direction_changes' THEN {up('jerky motion (', 'unusually smooth motion (')} || {v} || ' velocity sign flips)'
+WHEN 'episode_duration' THEN {up('much longer than typical', 'much shorter than typical')}
+WHEN 'z_range' THEN {up('wider vertical range than typical', 'lower ceiling than typical')}
+WHEN 'xy_bbox_area' THEN {up('wider workspace than typical', 'compact workspace')}
+ELSE {up('gripper held closed longer than typical', 'gripper held closed less than typical')} END"""
+    return f"""sh AS (SELECT *, [{", ".join(f"'{c}'" for c in COLS)}][i + 1] f, {_lst(lambda i: f"CAST({COLS[i]} AS DOUBLE)")}[i + 1] v, row_number() OVER (PARTITION BY dataset_id, task_index, episode_index ORDER BY abs(c) DESC, i) r
+  FROM (SELECT co.*, unnest(range(10)) i, unnest(cb) c FROM co WHERE d2 > {limit})),
+st AS (SELECT {EPC}, any_value(d2) d2, string_agg(f, ',' ORDER BY r) FILTER (r <= 2 AND abs(c) / d2 > 0.1) fs, string_agg({wording}, '; ' ORDER BY r) FILTER (r <= 2 AND abs(c) / d2 > 0.1) ws FROM sh GROUP BY ALL),
+sg2 AS (SELECT {SQL_EP}'shape' AS signal, CAST(NULL AS VARCHAR) AS phase, CAST(NULL AS BIGINT) AS cycle, coalesce(fs, 'combined') AS feature, round(d2, 2) + 0e0 AS magnitude,
+  'Unusual trajectory shape: ' || coalesce(ws, 'multi-axis deviation without one dominant cause') AS explanation, CAST(4 AS BIGINT) AS ordinal FROM st)"""
+
+
+@query("shape_outlier_flags", f"WITH RECURSIVE {SHAPE_CTE}, {shape_flags_sql(outliers.CHI2_99_10)} SELECT * FROM sg2")
 def _(spark, sf):
     return outliers.shape_outlier_flags(features(spark, sf))
 
 
+@query("shape_outlier_flags_tight", f"WITH RECURSIVE {SHAPE_CTE}, {shape_flags_sql(10.0)} SELECT * FROM sg2")
+def _(spark, sf):
+    return outliers.shape_outlier_flags(features(spark, sf), limit=10.0)
+
+
 def _gauss50(col):
     w = gaussian_weights(2.0)
     at = lambda k: f"(CASE WHEN i + {k} < 0 THEN -(i + {k}) - 1 WHEN i + {k} > 49 THEN 99 - (i + {k}) ELSE i + {k} END)"
@@ -241,12 +279,44 @@ def _(spark, sf):
     return phases.phase_envelope_flags(frames(spark, sf), segmented(spark, sf), sigma=1.5)
 
 
-@query("variance_clusters")
+def _sql_list(values):
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: Plain Ward linkage, one merge a step, of every task and reference set; cut by the gap.
+WARD_CTE = SHAPE_CTE + f""",
+bx AS (SELECT dataset_id, task_index, {_lst(lambda i: f"min(z[{i + 1}])")} lo, {_lst(lambda i: f"max(z[{i + 1}])")} hi FROM zz GROUP BY ALL),
+pt AS MATERIALIZED (SELECT zz.dataset_id, zz.task_index, CAST(s.st AS BIGINT) st, episode_index, list_transform(range(10), lambda i: round(CASE WHEN s.st = 0 THEN z[i + 1]
+  ELSE lo[i + 1] + (hi[i + 1] - lo[i + 1]) * (CAST(('0x' || substr(md5('gap|' || s.st || '|' || i || '|' || episode_index), 1, 13)) AS BIGINT) / 4503599627370496e0) END, 9)) z
+  FROM zz JOIN bx ON bx.dataset_id = zz.dataset_id AND bx.task_index = zz.task_index, range({clusters.REFERENCES + 1}) s(st) WHERE tn >= 4),
+wd AS (SELECT dataset_id, task_index, st, episode_index id, 1 n, z c, [episode_index] m, 0e0 acc, count(*) OVER (PARTITION BY dataset_id, task_index, st) cnt FROM pt
+  UNION ALL SELECT w.dataset_id, w.task_index, w.st, w.id, CASE WHEN y.id IS NULL THEN w.n ELSE w.n + y.n END,
+    CASE WHEN y.id IS NULL THEN w.c ELSE list_transform(range(10), lambda i: (w.n * w.c[i + 1] + y.n * y.c[i + 1]) / (w.n + y.n)) END, CASE WHEN y.id IS NULL THEN w.m ELSE list_concat(w.m, y.m) END, w.acc + q.g, w.cnt - 1
+  FROM wd w JOIN (SELECT x.dataset_id, x.task_index, x.st, min({{'g': round(x.n * y.n / (x.n + y.n) * list_sum(list_transform(range(10), lambda i: (x.c[i + 1] - y.c[i + 1]) * (x.c[i + 1] - y.c[i + 1]))), 9), 'a': x.id, 'b': y.id}}) q
+    FROM wd x JOIN wd y ON x.dataset_id = y.dataset_id AND x.task_index = y.task_index AND x.st = y.st AND x.id < y.id GROUP BY 1, 2, 3) p ON p.dataset_id = w.dataset_id AND p.task_index = w.task_index AND p.st = w.st
+  LEFT JOIN wd y ON y.dataset_id = w.dataset_id AND y.task_index = w.task_index AND y.st = w.st AND w.id = p.q.a AND y.id = p.q.b WHERE w.id <> p.q.b),
+sp AS (SELECT DISTINCT dataset_id, task_index, st, cnt k, ln(acc + 1e-12) l FROM wd WHERE cnt BETWEEN 2 AND 5),
+gp AS (SELECT dataset_id, task_index, k, avg(l) FILTER (st > 0) - max(l) FILTER (st = 0) gap, stddev_pop(l) FILTER (st > 0) * sqrt(1 + 1e0 / {clusters.REFERENCES}) err FROM sp GROUP BY ALL),
+bk AS (SELECT dataset_id, task_index, coalesce(min(k) FILTER (gap >= ng - ne), max(k)) k FROM (SELECT *, lead(gap) OVER t ng, lead(err) OVER t ne FROM gp WINDOW t AS (PARTITION BY dataset_id, task_index ORDER BY k)) GROUP BY ALL),
+lb AS MATERIALIZED (SELECT dataset_id, task_index, id grp, unnest(m) episode_index FROM wd JOIN bk USING (dataset_id, task_index) WHERE st = 0 AND cnt = k),
+lz AS MATERIALIZED (SELECT lb.*, z FROM lb JOIN pt USING (dataset_id, task_index, episode_index) WHERE st = 0),
+cl0 AS (SELECT dataset_id, task_index, grp, count(*) size, min('episode_' || episode_index) f, {_lst(lambda i: f"round(avg(z[{i + 1}]), 9)")} mean FROM lz GROUP BY ALL),
+cl1 AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, task_index ORDER BY f) c, list_sort(list_transform(range(10), lambda i: {{'a': -abs(mean[i + 1]), 'i': i, 'm': mean[i + 1]}})) o FROM cl0),
+cl2 AS (SELECT *, list_filter(o[1:3], lambda x: x.a < -0.5) dm FROM cl1),
+cl3 AS (SELECT *, CASE WHEN len(dm) = 0 THEN 'Mode ' || c WHEN o[1].m > 0 THEN {_sql_list(clusters.TITLES[f][1] for f in COLS)}[o[1].i + 1] ELSE {_sql_list(clusters.TITLES[f][0] for f in COLS)}[o[1].i + 1] END label,
+  coalesce(array_to_string(list_transform(dm, lambda x: {_sql_list(COLS)}[x.i + 1]), ','), '') dominant, coalesce(array_to_string(list_transform(dm, lambda x: {_sql_list(clusters.HUMAN[f] for f in COLS)}[x.i + 1]), ','), '') human FROM cl2),
+md AS (SELECT dataset_id, task_index, grp, min({{'d': round(list_sum(list_transform(range(10), lambda i: (z[i + 1] - mean[i + 1]) * (z[i + 1] - mean[i + 1]))), 9), 'f': 'episode_' || episode_index, 'e': episode_index}}).e medoid FROM lz JOIN cl0 USING (dataset_id, task_index, grp) GROUP BY ALL),
+ct AS MATERIALIZED (SELECT dataset_id, task_index, grp, 'C' || c AS cluster, label, size, medoid, dominant, human FROM cl3 JOIN md USING (dataset_id, task_index, grp))"""
+
+CLUSTER_COLS = f"cluster, label, {I('size', 'size')}, {I('medoid', 'medoid')}, dominant"
+
+
+@query("variance_clusters", f"WITH RECURSIVE {WARD_CTE} SELECT dataset_id, task_index, {CLUSTER_COLS}, {I('episode_index', 'episode_index')} FROM lb JOIN ct USING (dataset_id, task_index, grp)")
 def _(spark, sf):
     return members(spark, sf)
 
 
-@query("cluster_table")
+@query("cluster_table", f"WITH RECURSIVE {WARD_CTE} SELECT dataset_id, task_index, {CLUSTER_COLS}, human AS dominant_human FROM ct")
 def _(spark, sf):
     return clusters.cluster_table(members(spark, sf))
 
@@ -256,12 +326,21 @@ def _(spark, sf):
     return phases.cohort(frames(spark, sf), 8).groupBy(*EP).agg(F.count(F.lit(1)).alias("n_frames"))
 
 
-@query("anomaly_reasons")
+#: All reasons, as the union of the four detectors' own SQL.
+REASON_SQL = " UNION ALL BY NAME ".join(f"SELECT * FROM ({ORACLES[q]})" for q in ("phase_envelope_flags", "phase_duration_flags", "cycle_count_flags", "shape_outlier_flags"))
+PLAN_CTE = WARD_CTE + f""", rs AS MATERIALIZED ({REASON_SQL}),
+fe AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dataset_id, task_index ORDER BY episode_index) - 1 pos FROM (SELECT DISTINCT {EPC} FROM rs) QUALIFY pos < {enrichment.FLAGGED_CAP}),
+nm AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, task_index ORDER BY cluster) r FROM ct QUALIFY r <= {enrichment.NORMALS}),
+fb AS (SELECT fe.*, pos // greatest(1, {enrichment.CLIPS_PER_CALL} - coalesce(k, 0)) batch FROM fe LEFT JOIN (SELECT dataset_id, task_index, count(*) k FROM nm GROUP BY ALL) USING (dataset_id, task_index))"""
+
+
+@query("anomaly_reasons", REASON_SQL)
 def _(spark, sf):
     return reasons(spark, sf)
 
 
-@query("phase_report")
+@query("phase_report", f"""WITH RECURSIVE {WARD_CTE}, rs AS ({REASON_SQL}) SELECT {', '.join('cc.' + x for x in EP)}, {I('cc.n', 'n_frames')}, {I('nc', 'num_cycles')}, {I('coalesce(k, 0)', 'reasons')}, cluster, coalesce(k, 0) > 0 AS is_anomaly
+FROM cc LEFT JOIN (SELECT {EPC}, count(*) k FROM rs GROUP BY ALL) USING ({EPC}) LEFT JOIN (SELECT {EPC}, cluster FROM lb JOIN ct USING (dataset_id, task_index, grp)) USING ({EPC})""")
 def _(spark, sf):
     """Whole analysis: one row per episode."""
     r = {"reasons": reasons(spark, sf), "cycles": cycles(spark, sf), "members": members(spark, sf)}
@@ -274,7 +353,10 @@ def _(spark, sf):
     return r.select(*EP, "page", F.to_json(F.struct("phases", "reasons", "shape_features")).alias("report"))
 
 
-@query("enrichment_plan")
+@query("enrichment_plan", f"""WITH RECURSIVE {PLAN_CTE}
+SELECT t.dataset_id, t.task_index, 'cluster ' || t.cluster AS call, CASE WHEN t.cluster = o.cluster THEN 'target' ELSE 'contrast' END AS role, {I('o.medoid', 'episode_index')} FROM ct t JOIN ct o ON o.dataset_id = t.dataset_id AND o.task_index = t.task_index
+UNION ALL SELECT dataset_id, task_index, 'flags ' || batch, 'flagged', CAST(episode_index AS BIGINT) FROM fb
+UNION ALL SELECT dataset_id, task_index, 'flags ' || batch, 'normal', CAST(medoid AS BIGINT) FROM (SELECT DISTINCT dataset_id, task_index, batch FROM fb) JOIN nm USING (dataset_id, task_index)""")
 def _(spark, sf):
     return enrichment.enrichment_plan(reasons(spark, sf), clusters.cluster_table(members(spark, sf)))
 
@@ -299,7 +381,7 @@ def _(spark, sf):
     return enrichment.episode_context_text(few, summary, phases.raw_gripper_events(raw(spark, sf)))
 
 
-@query("merged_reasons")
+@query("merged_reasons", f"WITH rs AS ({REASON_SQL}) SELECT signal, count(*) AS reasons FROM (SELECT signal FROM rs UNION ALL SELECT 'review' FROM (SELECT DISTINCT {EPC} FROM rs)) GROUP BY 1")
 def _(spark, sf):
     r = reasons(spark, sf)
     answers = r.select(*EP).distinct().withColumn("observations", F.array(F.struct(
@@ -307,12 +389,12 @@ def _(spark, sf):
     return enrichment.merge_episode_answers(r, answers).groupBy("signal").agg(F.count(F.lit(1)).alias("reasons"))
 
 
-@query("episode_clusters")
+@query("episode_clusters", f"WITH RECURSIVE {WARD_CTE} SELECT {', '.join('cc.' + x for x in EP)}, {I('nc', 'num_cycles')}, cluster FROM cc LEFT JOIN (SELECT * FROM lb JOIN ct USING (dataset_id, task_index, grp)) USING ({EPC})")
 def _(spark, sf):
     return cycles(spark, sf).select(*EP, "num_cycles").join(members(spark, sf).select(*EP, "cluster"), EP, "left")
 
 
-@query("cluster_answers")
+@query("cluster_answers", f"WITH RECURSIVE {WARD_CTE} SELECT dataset_id, task_index, {CLUSTER_COLS}, human AS dominant_human, upper(label) AS proposed_label FROM ct")
 def _(spark, sf):
     c = clusters.cluster_table(members(spark, sf))
     answers = c.select(*TASK, "cluster", F.upper("label").alias("proposed_label"))

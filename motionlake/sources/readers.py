@@ -27,8 +27,9 @@ def canonical_frames(df: DataFrame, dataset_id: str = "dataset", rate: float = 1
     """Signal columns to (dataset_id, task_index, episode_index, frame_index, ts, action, state)."""
     if "frame_index" not in df.columns:
         # ``index`` runs on over the dataset: frames are its places in each episode
-        places = numbered(df.select("episode_index", "index"), ["episode_index"], "index", F.floor(F.col("index") / CHUNK), "frame_index")
-        df = df.join(places, ["episode_index", "index"])
+        keys = [c for c in ("dataset_id", "episode_index") if c in df.columns]
+        places = numbered(df.select(*keys, "index"), keys, "index", F.floor(F.col("index") / CHUNK), "frame_index")
+        df = df.join(places, [*keys, "index"])
     picked = append_gripper(pick_action(df, "_signal"), "_signal")
     has = set(df.columns)
     frame = F.col("frame_index")
