@@ -149,33 +149,64 @@ def value_bucket(v, per_e: int = 64) -> Column:
             .otherwise(-(F.floor(F.log(-v) * per_e) + shift).cast("long")))
 
 
+#: Bits of a digit below the value bucket.
+DIGIT = 16
+
+
+def value_digits(v, per_e: int = 64) -> Column:
+    """Two digits of ``DIGIT`` bits inside the value bucket, monotone like it: (d1, d2).
+
+    They are the next bits of the logarithm that the bucket is the whole part of. Doubles that share
+    bucket and both digits are at most 2^14 different ones.
+    """
+    v = F.col(v) if isinstance(v, str) else v
+    base = F.lit(float(1 << DIGIT))
+    fold = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    turn = lambda d: F.when(v > 0, d).otherwise((1 << DIGIT) - 1 - d).cast("int")
+    rest = lambda y: y - F.floor(y)
+    digits = fold(rest(F.log(F.abs(v)) * per_e) * base, lambda y: F.struct(turn(F.floor(y)).alias("d1"), turn(F.floor(rest(y) * base)).alias("d2")))
+    return F.when(v != 0, digits).otherwise(F.struct(F.lit(0).alias("d1"), F.lit(0).alias("d2")))
+
+
+def _located(counts: DataFrame, inside: list, digit: str, weight: Column, need, first: bool = False) -> DataFrame:
+    """The digits of each group that hold a wanted rank, with the number of values before them."""
+    held = counts.groupBy(*inside, digit, *([] if first else ["n", "_before"])).agg(F.sum(weight).alias("_c"))
+    group = Window.partitionBy(*inside)
+    before = F.lit(0) if first else F.col("_before")
+    held = held.select(*inside, digit, "_c", (F.sum("_c").over(group) if first else F.col("n")).alias("n"),
+                       (before + F.sum("_c").over(group.orderBy(digit).rowsBetween(Window.unboundedPreceding, 0))).alias("_cum"))
+    return held.filter(need).select(*inside, digit, "n", (F.col("_cum") - F.col("_c")).alias("_before"))
+
+
 def order_stats(df: DataFrame, keys, value, picks) -> DataFrame:
-    """Exact interpolated order statistics per key.
+    """Exact interpolated order statistics per key, by radix selection.
 
     ``picks``: output name -> function of the group size giving a 0-based fractional rank
     (see ``vectors.pct``). The result also carries ``n`` (non-null values).
 
-    1. histogram of (key, bucket), combined before the shuffle;
-    2. ranks are located in the histogram, whose rows per key are bounded;
-    3. only rows of the located buckets are shuffled, as (value, count), and ranked.
+    1. A histogram of (key, bucket), combined before the shuffle, locates the ranks; its rows per key are bounded.
+    2. Values of the located buckets become (value, count) rows: equal values are one row.
+    3. Two rounds of digit counts, at most 2^``DIGIT`` rows a group, narrow them; only values that share both digits
+       are sorted, at most 2^14 different ones.
     """
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, (v.cast("double") + F.lit(0.0)).alias("_v")).filter("_v is not null")
     rows = rows.withColumn("_b", value_bucket("_v"))
-    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    every = Window.partitionBy(*keys)
-    hist = hist.select(
-        *keys, "_b", "_c", F.sum("_c").over(every).alias("n"),
-        F.sum("_c").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"))
     need = F.lit(False)
     for rank in picks.values():
         low = F.floor(rank(F.col("n")))
         need = need | ((F.col("_cum") > low) & (F.col("_cum") - F.col("_c") <= F.least(low + 1, F.col("n") - 1)))
-    located = hist.filter(need).select(*keys, "_b", "n", (F.col("_cum") - F.col("_c")).alias("_before"))
+    located = _located(rows, keys, "_b", F.lit(1), need, first=True)
     counts = rows.join(located, [*keys, "_b"]).groupBy(*keys, "_b", "_v", "n", "_before").agg(F.count(F.lit(1)).alias("_m"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_hi", F.col("_before") + F.sum("_m").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_m"))
+    counts = counts.withColumn("_d", value_digits("_v")).select(*keys, "_b", "_v", "n", "_before", "_m", "_d.d1", "_d.d2")
+    inside = [*keys, "_b"]
+    for digit in ("d1", "d2"):
+        narrow = _located(counts, inside, digit, F.col("_m"), need)
+        counts = counts.drop("n", "_before").join(narrow, [*inside, digit])
+        inside.append(digit)
+    along = Window.partitionBy(*inside).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_hi", F.col("_before") + F.sum("_m").over(along)).withColumn("_lo", F.col("_hi") - F.col("_m"))
     aggs = [F.first("n").alias("n")]
     for name, rank in picks.items():
         h = rank(F.col("n"))
@@ -217,12 +248,62 @@ def merge_ranges(ranges: DataFrame, gap: int, keys=EP, size: int = CHUNK, extra=
             .withColumnRenamed("_start", "start"))
 
 
-def greedy_min_gap(candidates: DataFrame, k: int, keys=EP, frame: str = "frame_index", size: int = CHUNK) -> DataFrame:
-    """Keep a frame only if it is at least ``k`` after the last kept one: (key, frame). Runs a job.
+def entry_states(maps: DataFrame, k: int, keys=EP, size: int = CHUNK, fan: int = 64) -> DataFrame:
+    """(key, _chunk, _entry): the state each chunk is entered with, from (key, _chunk, _exit). Runs a job.
+
+    ``_exit`` gives for each entry state 0..k-1 the state a chunk is left with; a state is the number of frames that
+    stay blocked and falls by one a frame where no chunk stands. Maps of up to ``fan`` neighbours compose to the map
+    of a node, those to the map of a wider node, up to one per key; entries then go down the same tree.
+    No row holds more than ``fan`` maps, however long the key.
+    """
+    long = lambda x: F.lit(x).cast("long")
+    fall = lambda s, gap: F.greatest(s - gap, long(0))
+    through = lambda m, s: F.element_at(m, (s + 1).cast("int"))
+    top = maps.agg(F.max("_chunk")).first()[0] or 0
+    begin, end = F.col("_up") * fan, (F.col("_up") + 1) * fan
+
+    def entered_with(acc, x, width):
+        return fall(acc["s"], (x["_node"] - acc["at"]) * width)
+
+    def composition(width):
+        def step(acc, x):
+            return F.struct((x["_node"] + 1).alias("at"), through(x["_map"], entered_with(acc, x, width)).alias("s"))
+
+        return lambda s: F.aggregate("_l", F.struct(begin.alias("at"), s.alias("s")), step, lambda acc: fall(acc["s"], (end - acc["at"]) * width))
+
+    def entries(width):
+        def step(acc, x):
+            s = entered_with(acc, x, width)
+            return F.struct((x["_node"] + 1).alias("at"), through(x["_map"], s).alias("s"), F.array_append(acc["o"], F.struct(x["_node"].alias("_node"), s.alias("_entry"))).alias("o"))
+
+        first = F.struct(begin.alias("at"), F.col("_s").alias("s"), F.array().cast("array<struct<_node:bigint,_entry:bigint>>").alias("o"))
+        return F.inline(F.aggregate("_l", first, step, lambda acc: acc["o"]))
+
+    levels, span, last = [maps.select(*keys, F.col("_chunk").alias("_node"), F.col("_exit").alias("_map"))], size, top
+    parents = []
+    while True:
+        node = F.floor(F.col("_node") / fan).cast("long")
+        group = levels[-1].groupBy(*keys, node.alias("_up")).agg(F.array_sort(F.collect_list(F.struct("_node", "_map"))).alias("_l"))
+        parents.append((group, span))
+        last //= fan
+        if not last:
+            break
+        composed = group.select(*keys, F.col("_up").alias("_node"), F.transform(F.sequence(long(0), long(k - 1)), composition(span)).alias("_map"))
+        levels.append(materialise(composed))
+        span *= fan
+    entered = None
+    for group, width in reversed(parents):
+        # a key enters its widest node with nothing blocked
+        start = group.withColumn("_s", long(0)) if entered is None else group.join(entered.withColumnsRenamed({"_node": "_up", "_entry": "_s"}), [*keys, "_up"])
+        entered = start.select(*keys, entries(width))
+    return entered.withColumnRenamed("_node", "_chunk")
+
+
+def greedy_min_gap(candidates: DataFrame, k: int, keys=EP, frame: str = "frame_index", size: int = CHUNK, fan: int = 64) -> DataFrame:
+    """Keep a frame only if it is at least ``k`` after the last kept one: (key, frame). Runs jobs.
 
     The only state crossing a chunk border is how many frames stay blocked (0..k-1), so each
-    chunk is folded once per entry state; nearly all chunks leave the same state whatever
-    they entered with, and only runs of chunks that do not are chained.
+    chunk is a map from entry to exit state, and maps compose (``entry_states``).
     """
     cells = (materialise(candidates.select(*keys, frame).distinct())
              .groupBy(*keys, chunk_of(frame, size).alias("_chunk"))
@@ -231,30 +312,8 @@ def greedy_min_gap(candidates: DataFrame, k: int, keys=EP, frame: str = "frame_i
 
     exits = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), lambda entry: F.greatest(
         F.aggregate(F.col("_f"), first + entry, lambda b, f: F.when(f >= b, f + k).otherwise(b)) - after, F.lit(0)))
-    maps = cells.withColumn("_exit", exits)
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    fixed = F.array_min("_exit") == F.array_max("_exit")
-    linked = maps.select(*keys, "_chunk", "_exit", fixed.alias("_fixed"))
-    linked = linked.select(
-        "*", F.lag("_chunk").over(by_chunk).alias("_pc"), F.lag("_fixed").over(by_chunk).alias("_pf"),
-        F.lag("_exit").over(by_chunk).alias("_pe"))
-    adjacent = F.col("_pc").eqNullSafe(F.col("_chunk") - 1)
-    # entry state known without looking further back
-    known = F.when(~adjacent, F.lit(0).cast("long")).when(F.col("_pf"), F.element_at("_pe", 1))
-    linked = linked.withColumn("_known", known)
-    linked = linked.withColumn("_seg", F.sum(F.when(F.col("_known").isNotNull(), 1).otherwise(0)).over(
-        by_chunk.rowsBetween(Window.unboundedPreceding, 0)))
-    chains = linked.groupBy(*keys, "_seg").agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "_known", "_exit"))).alias("_l"))
-    step = F.aggregate(
-        F.col("_l"), F.struct(F.lit(0).cast("long").alias("s"),
-                              F.array().cast("array<struct<c:bigint,e:bigint>>").alias("o")),
-        lambda acc, x: F.struct(
-            F.element_at(x["_exit"], (F.coalesce(x["_known"], acc["s"]) + 1).cast("int")).alias("s"),
-            F.array_append(acc["o"], F.struct(x["_chunk"].alias("c"), F.coalesce(x["_known"], acc["s"]).alias("e"))).alias("o")),
-        lambda acc: acc["o"])
-    entries = chains.select(*keys, F.inline(step)).withColumnsRenamed({"c": "_chunk", "e": "_entry"})
-    joined = cells.join(entries, [*keys, "_chunk"])
+    cells = materialise(cells.withColumn("_exit", exits))
+    joined = cells.join(entry_states(cells, k, keys, size, fan), [*keys, "_chunk"])
     kept = F.aggregate(
         F.col("_f"), F.struct((first + F.col("_entry")).alias("b"), F.array().cast("array<bigint>").alias("o")),
         lambda acc, f: F.when(f >= acc["b"], F.struct((f + k).alias("b"), F.array_append(acc["o"], f).alias("o"))).otherwise(acc),

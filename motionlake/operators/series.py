@@ -15,26 +15,26 @@ from motionlake.operators.spectrum import low_power
 from motionlake.schema import EP, HALO, TASK
 
 
-def derivatives(frames: DataFrame) -> DataFrame:
+def derivatives(frames: DataFrame, halo: int = HALO) -> DataFrame:
     """Velocity, acceleration and jerk vectors of the action; halo rows are kept.
 
     All three come from one window over the chunk.
     """
     w = by_frame()
-    lagged = chunked(frames).select("*", *[F.lag("action", k).over(w).alias(f"_a{k}") for k in (1, 2, 3)])
+    lagged = chunked(frames, halo=halo).select("*", *[F.lag("action", k).over(w).alias(f"_a{k}") for k in (1, 2, 3)])
     v0, v1, v2 = minus("action", "_a1"), minus("_a1", "_a2"), minus("_a2", "_a3")
     return (lagged.select("*", v0.alias("vel"), minus(v0, v1).alias("acc"),
                           minus(minus(v0, v1), minus(v1, v2)).alias("jerk"))
             .drop("_a1", "_a2", "_a3"))
 
 
-def motion_signals(frames: DataFrame) -> DataFrame:
+def motion_signals(frames: DataFrame, halo: int = HALO) -> DataFrame:
     """Scalar motion series per frame, halo rows kept.
 
     speed, accel, jerk exclude the gripper; delta and accel_all do not; speed3 is the norm of
     the first three dimensions' change.
     """
-    d = derivatives(frames)
+    d = derivatives(frames, halo)
     return d.select(
         *EP, "frame_index", "_chunk", "_own",
         norm(motion("vel")).alias("speed"), norm(motion("acc")).alias("accel"), norm(motion("jerk")).alias("jerk"),
@@ -202,7 +202,7 @@ def post_mean(frames: DataFrame) -> DataFrame:
 def autocorr_decay(frames: DataFrame, lags: int = 10) -> DataFrame:
     """Mean of the normalised autocorrelation of speed over the first lags: (episode, n_frames, decay)."""
     w = by_frame()
-    s = motion_signals(frames)
+    s = motion_signals(frames, max(HALO, lags + 1))
     s = s.select(*EP, "frame_index", "_own", F.col("speed3"), *[
         (F.col("speed3") * F.lead("speed3", k).over(w)).alias(f"_r{k}") for k in range(lags)])
     sums = own(s).groupBy(*EP).agg(F.count(F.lit(1)).alias("n_frames"), *[F.sum(f"_r{k}").alias(f"_r{k}") for k in range(lags)])
@@ -220,7 +220,7 @@ def cross_corr(series: DataFrame, left: str = "x", right: str = "y", max_lag: in
     stats = series.groupBy(*EP).agg(
         F.count(F.lit(1)).alias("n_frames"),
         *[f(x).alias(f"_{p}{x}") for x in (left, right) for p, f in (("m", F.avg), ("s", F.stddev_pop))])
-    ch = attach(chunked(series.select(*EP, "frame_index", left, right)), stats,
+    ch = attach(chunked(series.select(*EP, "frame_index", left, right), halo=max(HALO, max_lag + 1)), stats,
                 ["n_frames", f"_m{left}", f"_s{left}", f"_m{right}", f"_s{right}"])
 
     def z(x):

@@ -106,3 +106,41 @@ def test_no_plan_gathers_an_episode(spark):
     for line in plan.splitlines():
         if "Window [" in line:
             assert "_chunk" in line
+
+
+@pytest.mark.parametrize("k, fan", [(5, 2), (20, 3), (3, 64)])
+def test_greedy_gap_where_no_chunk_settles(spark, k, fan):
+    """Dense candidates, chunks of 8, three levels and more of composed maps, gaps between chunks."""
+    rng = np.random.default_rng(3)
+    data = {0: np.arange(500), 1: np.flatnonzero(rng.random(400) < 0.9), 2: np.concatenate([np.arange(40), np.arange(97, 150), [151, 640]]), 3: np.array([7])}
+    df = spark.createDataFrame([("d", 0, e, int(f)) for e, v in data.items() for f in v], "dataset_id string, task_index long, episode_index long, frame_index long")
+    got = {}
+    for r in chunks.greedy_min_gap(df, k, size=8, fan=fan).collect():
+        got.setdefault(r.episode_index, []).append(r.frame_index)
+    for e, v in data.items():
+        kept = []
+        for f in v:
+            if not kept or f - kept[-1] >= k:
+                kept.append(int(f))
+        assert sorted(got[e]) == kept
+
+
+def test_percentiles_of_a_narrow_range(spark):
+    """Every group that is sorted stays small, though all values share a bucket."""
+    v = spark.range(200000).select(F.lit(0).alias("g"), (F.lit(0.5) + F.col("id") * 1e-8 * F.when(F.col("id") % 2 == 0, 1).otherwise(0.5)).alias("x"))
+    v = v.unionByName(v.select(F.lit(1).alias("g"), (-F.col("x")).alias("x")))
+    rows = {r.g: r for r in chunks.order_stats(v, ["g"], "x", {"a": pct(5), "b": pct(50), "c": pct(99)}).collect()}
+    x = 0.5 + np.arange(200000) * 1e-8 * np.where(np.arange(200000) % 2 == 0, 1, 0.5)
+    for g, y in ((0, x), (1, -x)):
+        assert [rows[g].a, rows[g].b, rows[g].c] == pytest.approx(np.percentile(y, [5, 50, 99]), abs=1e-15)
+    digits = v.select("g", chunks.value_bucket("x").alias("b"), chunks.value_digits("x").alias("d"), "x")
+    assert digits.groupBy("g", "b").agg(F.countDistinct("x").alias("n")).agg(F.max("n")).first()[0] > 100000
+    assert digits.groupBy("g", "b", "d").agg(F.countDistinct("x").alias("n")).agg(F.max("n")).first()[0] <= 1 << 14
+
+
+def test_digits_are_monotone(spark):
+    rng = np.random.default_rng(5)
+    v = np.sort(np.concatenate([[0.0, -0.0], rng.normal(size=300), 0.5 + rng.random(300) * 1e-9, -3 - rng.random(300) * 1e-12, 10.0 ** rng.integers(-300, 300, 60)]))
+    rows = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", chunks.value_bucket("v").alias("b"), chunks.value_digits("v").alias("d")).orderBy("v").collect()
+    places = [(r.b, r.d.d1, r.d.d2) for r in rows]
+    assert places == sorted(places)

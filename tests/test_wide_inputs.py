@@ -16,6 +16,30 @@ def test_frames_from_running_index_are_dense(spark):
     assert got.filter("frame_index <> action[0]").count() == 0
 
 
+def test_datasets_of_one_folder_are_numbered_apart(spark):
+    rows = [(d, 0, k, [float(k)] * 7) for d in ("a", "b") for k in range(5)]
+    got = canonical_frames(spark.createDataFrame(rows, "dataset_id string, episode_index long, index long, action array<double>"))
+    assert sorted((r.dataset_id, r.frame_index) for r in got.collect()) == [(d, k) for d in ("a", "b") for k in range(5)]
+
+
+def test_lags_across_chunks(spark):
+    n, shift = 9000, 20
+    f = spark.range(n).select(F.lit("d").alias("dataset_id"), F.lit(0).cast("long").alias("task_index"), F.lit(1).cast("long").alias("episode_index"), F.col("id").alias("frame_index"),
+                              F.sin((F.col("id") - shift) * F.col("id") / 900).alias("x"), F.sin(F.col("id") * (F.col("id") + shift) / 900).alias("y"))
+    i = np.arange(n)
+    x, y = np.sin((i - shift) * i / 900), np.sin(i * (i + shift) / 900)
+    x, y = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
+    want = max((x[k:] @ y[:n - k] if k >= 0 else x[:k] @ y[-k:]) / n for k in range(-25, 26))
+    r = series.cross_corr(f, max_lag=25).first()
+    assert r.lag == shift and r.peak == pytest.approx(want, abs=1e-12)
+    walk = np.cumsum(np.sin(i * i / 500.0))
+    g = spark.createDataFrame([("d", 0, 1, int(k), [float(walk[k])] + [0.0] * 6) for k in range(n)], "dataset_id string, task_index long, episode_index long, frame_index long, action array<double>")
+    speed = np.abs(np.diff(walk))
+    r0 = speed @ speed
+    decay = np.clip(sum(speed[k:] @ speed[:n - 1 - k] for k in range(30)) / r0 / 30, 0, 1)
+    assert series.autocorr_decay(g, lags=30).first().decay == pytest.approx(float(decay), abs=1e-9)
+
+
 @pytest.mark.parametrize("sigma", [3.0, 5.0, 8.0])
 def test_smoothing_across_chunks(spark, sigma):
     n, r = 9000, int(4 * sigma + 0.5)
