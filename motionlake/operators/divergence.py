@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions.vectors import one_decimal, pct
-from motionlake.operators.chunks import episode_lengths, greedy_min_gap, materialise, order_stats
+from motionlake.operators.chunks import episode_lengths, greedy_min_gap, materialise, order_stats, spread_join
 from motionlake.operators.series import resample
 from motionlake.schema import EP, TASK
 
@@ -35,7 +35,7 @@ def task_trajectory_stats(binned: DataFrame) -> DataFrame:
 def scored_bins(binned: DataFrame, stats: DataFrame) -> DataFrame:
     """z distance of each resampled value to the task median: (episode, n_frames, bin, dim, z)."""
     keys = [*TASK, "dims", "bin", "dim"]
-    j = binned.join(stats.select(*keys, "med", "std"), keys)
+    j = spread_join(binned, stats.select(*keys, "med", "std"), keys)
     return j.select(*EP, "n_frames", "dims", "bin", "dim", (F.abs(F.col("x") - F.col("med")) / F.greatest("std", F.lit(1e-6))).alias("z"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions.vectors import clip, dot, fmt, last, minus, motion, norm, one_decimal, pct, whole
-from motionlake.operators.chunks import attach, by_frame, chunk_of, chunked, episode_lengths, greedy_min_gap, materialise, order_stats, own, scan
+from motionlake.operators.chunks import attach, by_frame, chunk_of, chunked, episode_lengths, greedy_min_gap, materialise, order_stats, own, scan, spread_join
 from motionlake.operators.series import derivatives, motion_signals
 from motionlake.schema import EP
 
@@ -232,4 +232,5 @@ def all_events(frames: DataFrame, ready: DataFrame = None) -> DataFrame:
     merged = (gripper_events(frames).unionByName(pause_events(frames, ready=ready)).unionByName(direction_changes(frames))
               .unionByName(high_jerk(frames, ready=ready)).unionByName(recovery_events(frames, ready=ready))
               .unionByName(near_miss_events(frames)))
-    return dedupe_anchor(materialise(merged.join(long_enough, EP, "left_semi")))
+    # an episode of many events is one key
+    return dedupe_anchor(materialise(spread_join(merged, long_enough, EP, "frame")))

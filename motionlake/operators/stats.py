@@ -126,7 +126,7 @@ def signal_envelope(binned: DataFrame, keys=TASK) -> DataFrame:
 
 def outlier_fraction(binned: DataFrame, envelope: DataFrame, listed: float = 0.05, keys=TASK) -> DataFrame:
     """Share of bins outside the envelope and the bin of largest deviation, if above ``listed``."""
-    j = binned.join(envelope, [*keys, "bin"])
+    j = spread_join(binned, envelope, [*keys, "bin"])
     out = (F.col("value") > F.col("upper")) | (F.col("value") < F.col("lower"))
     dev = F.struct(F.abs(F.col("value") - F.col("mean")).alias("d"), (-F.col("bin")).alias("o"))
     a = j.groupBy(*EP).agg(F.avg(F.when(out, 1.0).otherwise(0.0)).alias("fraction"), F.max(dev).alias("_d"))
