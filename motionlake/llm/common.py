@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motionlake.operators.chunks import shared_folder
+from motionlake.operators.chunks import numbered, shared_folder
 
 #: ASCII white space, and a word between it; the same in Java and RE2 syntax.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -81,6 +81,36 @@ def likely(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame
     return marked.join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
+def maybe_among(rows: DataFrame, column: str, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """The rows with a flag: false only where the column is surely not among the keys (same bit map as ``likely``)."""
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITS))
+
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(_at % 64 as int))")
+    words = keys.select(place(key).alias("_at")).select(F.floor(F.col("_at") / 64).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_at", place(column)).withColumn("_word", F.floor(F.col("_at") / 64)).join(F.broadcast(words), "_word", "left")
+    return marked.select(*rows.columns, (F.coalesce(F.col("_bits").bitwiseAND(bit), F.lit(0)) != 0).alias(flag))
+
+
+#: Rows of one key that one task numbers.
+RUN = 1 << 16
+
+
+def among_equals(rows: DataFrame, code: str, name: str, scratch: Scratch) -> DataFrame:
+    """Number the rows of equal ``code`` (never null) from 0. Runs jobs.
+
+    Codes that stand more than once are counted first; rows that a bit map shows to be single get 0
+    where they are. Only the others are written, with a running id, and numbered over runs
+    of ``RUN`` ids, so a code that holds a third of all rows is spread over many tasks.
+    """
+    many = scratch.keep(rows.groupBy(code).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(code))
+    flagged = maybe_among(rows, code, many, code, "_maybe")
+    single = flagged.filter(~F.col("_maybe")).drop("_maybe").withColumn(name, F.lit(0).cast("long"))
+    some = scratch.keep(flagged.filter("_maybe").drop("_maybe").withColumn("_id", F.monotonically_increasing_id()))
+    place = numbered(some.select(code, "_id"), [code], "_id", F.floor(F.col("_id") / RUN).cast("long"), name)
+    return single.unionByName(some.join(place.select("_id", name), "_id").drop("_id"))
+
+
 def ranked(df: DataFrame, order, scratch: Scratch, name: str = "rank") -> DataFrame:
     """0-based rank over all rows, without one task that sees them all.
 

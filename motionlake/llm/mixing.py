@@ -1,19 +1,20 @@
 """Operator 1: mixing sources to target weights.
 
 Tokens are added up per source; a source's repetition rate is its target over its size. A
-document is taken floor(rate) times, plus once more if a draw seeded by its id falls below
-the fraction of the rate. Draws depend on the id and the seed only, so reruns agree.
+document is taken floor(rate) times, plus once more if a draw falls below the fraction of the
+rate. A draw is seeded by a hash of id, source and text and by the row's number among equal
+rows, so reruns agree and rows without an id, or with one id, draw apart.
 
 Defined cases: a null source is a source of its own, last in order; null or empty text has
-size 0 and is taken at the rate of its source with 0 words; a null id draws like the empty
-id, so equal ids are taken equally often; an empty table gives no rows. Columns of the
+size 0 and is taken at the rate of its source with 0 words; null and repeated ids draw by
+their texts, repeated rows one by one; an empty table gives no rows. Columns of the
 documents with other names do not matter here and are carried through by ``emit``.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionlake.llm.common import Scratch, WORD, ranked
+from motionlake.llm.common import Scratch, WORD, among_equals, ranked
 from motionlake.operators.chunks import spread_join
 
 #: Up to so many sources their table is broadcast; more are joined over salted keys.
@@ -61,40 +62,53 @@ def source_rates(sizes: DataFrame, scratch: Scratch, cycle=(1, 2, 3), most: int
     return table.select("_key", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) from the first 52 bits of a hash of the id."""
-    code = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return F.conv(F.substring(code, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+def row_code(doc_id: Column, source: Column, text: Column) -> Column:
+    """A code of id, source and text, equal only for rows that agree in all three; never null."""
+    own = F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n"))
+    return F.md5(F.concat_ws("|", own, F.coalesce(F.md5(text), F.lit("n")), source_key(source)))
 
 
-def with_rates(rows: DataFrame, rates: DataFrame, salt_on: str = "doc_id") -> DataFrame:
+def draw(code: Column, place: Column, seed: str) -> Column:
+    """A number in [0, 1) from the first 52 bits of a hash of a row's code and its number among equal rows."""
+    bits = F.md5(F.concat_ws("|", F.lit(seed), code, place.cast("string")))
+    return F.conv(F.substring(bits, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+def with_rates(rows: DataFrame, rates: DataFrame, salt_on: str) -> DataFrame:
     """Join (_key, ...) with the table of sources: broadcast when that is small, else salted."""
     if rates.count() <= SMALL:
         return rows.join(F.broadcast(rates), "_key")
     return spread_join(rows, rates, ["_key"], salt_on)
 
 
-def mix(docs: DataFrame, seed: str = "mix|", cycle=(1, 2, 3), most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", cycle=(1, 2, 3), most: int = 3) -> DataFrame:
     """Per document: doc_id, size, source_size, target, copies, taken. Runs jobs."""
     scratch = Scratch(docs.sparkSession)
-    sizes = scratch.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    rates = scratch.keep(source_rates(sizes, scratch, cycle, most))
-    joined = with_rates(sizes.withColumn("_key", source_key(F.col("source"))), rates)
-    copies = copies_of("rate", F.col("doc_id"), seed)
+    code = row_code(F.col("doc_id"), F.col("source"), F.col("text"))
+    sizes = scratch.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), code.alias("_code")))
+    rates = scratch.keep(source_rates(sizes.select("source", "size"), scratch, cycle, most))
+    placed = among_equals(sizes, "_code", "_place", scratch)
+    joined = with_rates(placed.withColumn("_key", source_key(F.col("source"))), rates, "_code")
+    copies = copies_of("rate", F.col("_code"), F.col("_place"), seed)
     return scratch.result(joined.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")))
 
 
-def copies_of(rate: str, doc_id: Column, seed: str) -> Column:
+def copies_of(rate: str, code: Column, place: Column, seed: str) -> Column:
     whole = F.floor(F.col(rate))
-    return (whole + F.when(draw(doc_id, seed) < F.col(rate) - whole, 1).otherwise(0)).cast("long")
+    return (whole + F.when(draw(code, place, seed) < F.col(rate) - whole, 1).otherwise(0)).cast("long")
 
 
-def emit(docs: DataFrame, seed: str = "mix|", cycle=(1, 2, 3), most: int = 3) -> DataFrame:
-    """The documents, each as often as the mix takes it. Runs jobs."""
+def emit(docs: DataFrame, seed: str = "mix", cycle=(1, 2, 3), most: int = 3) -> DataFrame:
+    """The documents, each as often as the mix takes it. Runs jobs.
+
+    Rows that agree in id, source and text are numbered in the order in which they are read, so which
+    of them stays may change if their further columns differ; how many stay does not.
+    """
     scratch = Scratch(docs.sparkSession)
     sizes = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size"))
     rates = scratch.keep(source_rates(scratch.keep(sizes), scratch, cycle, most))
-    packed = docs.select(F.struct("*").alias("_row"), source_key(F.col("source")).alias("_key"), F.col("doc_id").alias("_id"))
-    joined = with_rates(packed, rates.select("_key", "rate"), "_id")
-    copies = copies_of("rate", F.col("_id"), seed).cast("int")
+    code = row_code(F.col("doc_id"), F.col("source"), F.col("text"))
+    packed = docs.select(F.struct("*").alias("_row"), source_key(F.col("source")).alias("_key"), code.alias("_code"))
+    joined = with_rates(among_equals(packed, "_code", "_place", scratch), rates.select("_key", "rate"), "_code")
+    copies = copies_of("rate", F.col("_code"), F.col("_place"), seed).cast("int")
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")

@@ -23,7 +23,9 @@ def query(name: str, sql: str | None = None):
 
 
 @query("op1_mixing", rf"""
-WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{W}')), 0) AS BIGINT) size FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{W}')), 0) AS BIGINT) size,
+  md5(coalesce('i' || doc_id, 'n') || '|' || coalesce(md5(text), 'n') || '|' || coalesce('s' || source, 'n')) code,
+  row_number() OVER (PARTITION BY doc_id, source, text) - 1 place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) ss FROM d GROUP BY 1),
 w AS (SELECT source, ss, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 w FROM s),
 c AS (SELECT *, CAST(sum(ss) OVER () - coalesce(sum(3 * ss) OVER b, 0) AS BIGINT) num,
@@ -32,7 +34,7 @@ c AS (SELECT *, CAST(sum(ss) OVER () - coalesce(sum(3 * ss) OVER b, 0) AS BIGINT
 f AS (SELECT num fn, den fd, k fk FROM c WHERE 3 * ss * den >= num * w ORDER BY k LIMIT 1),
 t AS (SELECT source, ss, CASE WHEN k < fk THEN CAST(3 * ss AS DOUBLE) ELSE CAST(fn * w AS DOUBLE) / fd END target FROM c, f),
 r AS (SELECT d.doc_id, d.size, t.ss source_size, t.target, CASE WHEN t.ss > 0 THEN t.target / t.ss ELSE 0 END rate,
-  CAST(('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496e0 u
+  CAST(('0x' || substr(md5('mix|' || code || '|' || place), 1, 13)) AS BIGINT) / 4503599627370496e0 u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) target,
   CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) copies, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) taken

@@ -74,6 +74,41 @@ def test_mix_targets(spark):
     assert emitted == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
 
 
+def plain_copies(rows, rates, seed="mix"):
+    """Copies of every (id, source, text), by the rule of the operator in plain Python."""
+    seen, out = collections.Counter(), collections.Counter()
+    sha = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for i, t, s in rows:
+        code = sha("|".join(["n" if i is None else f"i{i}", "n" if t is None else sha(t), "n" if s is None else f"s{s}"]))
+        u = int(sha(f"{seed}|{code}|{seen[code]}")[:13], 16) / 16**13
+        seen[code] += 1
+        out[(i, t, s)] += int(rates[s]) + (u < rates[s] - int(rates[s]))
+    return {k: n for k, n in out.items() if n}
+
+
+def test_mix_without_ids_and_with_repeats(spark):
+    """Rows without id, with one id, and repeated rows: near the target, and equal to the plain rule."""
+    rng = random.Random(12)
+    rows = ([(None, lines(rng, rng.randint(1, 9)), "a") for _ in range(1500)] + [(7, lines(rng, rng.randint(1, 9)), "b") for _ in range(1500)]
+            + [(8, "same text here", "c")] * 1500 + [(None, None, None)] * 5 + [(i, "", "d") for i in range(5)])
+    docs = table(spark, rows, extra=True).repartition(7)
+    got = mixing.mix(docs).collect()
+    size, target, taken = collections.Counter(), {}, collections.Counter()
+    for i, t, s in rows:
+        size[s] += len((t or "").split())
+    of = {None: "a", 7: "b", 8: "c"}
+    for r in got:
+        if r["size"]:
+            target[of[r["doc_id"]]] = r["target"]
+            taken[of[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) < 0.1 * target[s] for s in "abc")
+    rates = {s: target[s] / size[s] if size[s] else 0 for s in size}
+    emitted = mixing.emit(docs).groupBy("doc_id", "text", "source").count().collect()
+    want = plain_copies(rows, rates)
+    assert {(r["doc_id"], r["text"], r["source"]): r["count"] for r in emitted} == want
+    assert sum(r["copies"] for r in got) == sum(want.values())
+
+
 def test_slots_match_and_fill():
     rng = random.Random(3)
     for _ in range(60):
