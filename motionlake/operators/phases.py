@@ -224,7 +224,12 @@ def _longest_run(z, limit: float) -> Column:
 
 def phase_envelope_flags(frames: DataFrame, phases: DataFrame, sigma: float = 3.0, run_min: int = 10, run_share: float = 0.4) -> DataFrame:
     """Phases that leave the cohort envelope for 40 % of their length or more."""
-    z = envelope_scores(materialise(phase_signals(frames, phases)), phases)
+    return envelope_flags(materialise(phase_signals(frames, phases)), phases, sigma, run_min, run_share)
+
+
+def envelope_flags(signals: DataFrame, phases: DataFrame, sigma: float = 3.0, run_min: int = 10, run_share: float = 0.4) -> DataFrame:
+    """``phase_envelope_flags`` from the signals of the phases."""
+    z = envelope_scores(signals, phases)
     z = z.withColumn("longest", _longest_run(F.col("z"), sigma)).filter(F.col("longest") >= max(run_min, int(run_share * PHASE_BINS)))
     z = z.withColumn("_peak", F.array_max(F.filter("z", lambda x: x > sigma)))
     text = F.concat(F.lit("Unusual "), F.col("channel"), F.lit(" during "), F.col("phase"), F.lit(" (cycle "), F.col("cycle").cast("string"),

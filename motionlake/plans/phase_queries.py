@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from motionlake.operators import clusters, enrichment, outliers, phases
 from motionlake.operators.chunks import materialise
+from motionlake.operators.scopes import ALL_TASKS
 from motionlake.operators.series import gaussian_weights
 from motionlake.plans import reports
 from motionlake.plans.frame_queries import SQL_EP, frames, gauss_sql
@@ -347,6 +348,33 @@ def _(spark, sf):
     return reports.episode_overview(r)
 
 
+def whole(sql: str) -> str:
+    """The same SQL with every dataset as one task (-1 and -2 while it runs, -1 in the result)."""
+    return f"SELECT * REPLACE (CAST({ALL_TASKS} AS BIGINT) AS task_index) FROM ({sql.replace('u % 5 task_index', '-1 - u % 5 % 2 task_index')})"
+
+
+def both_scopes(spark, sf):
+    """The report of every task and of every dataset as a whole, from one pass over the frames."""
+    kept = {}
+
+    def table(name):
+        if not kept:
+            kept.update(reports.analyze_tasks(frames(spark, sf), scopes=("task", "dataset")))
+        return kept[name]
+
+    return {n: ingested(spark, sf, f"both_{n}", lambda n=n: table(n)) for n in ("cycles", "reasons", "members")}
+
+
+@query("phase_report_all", f"{ORACLES['phase_report'].join(['SELECT * FROM (', ')'])} UNION ALL BY NAME {whole(ORACLES['phase_report'])}")
+def _(spark, sf):
+    return reports.episode_overview(both_scopes(spark, sf))
+
+
+@query("anomaly_reasons_all", f"{ORACLES['anomaly_reasons'].join(['SELECT * FROM (', ')'])} UNION ALL BY NAME {whole(ORACLES['anomaly_reasons'])}")
+def _(spark, sf):
+    return both_scopes(spark, sf)["reasons"]
+
+
 @query("phase_report_json")
 def _(spark, sf):
     r = sinks.episode_reports(cycles(spark, sf), members(spark, sf), segmented(spark, sf), features(spark, sf), reasons(spark, sf))

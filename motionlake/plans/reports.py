@@ -5,25 +5,34 @@ from pyspark.sql import functions as F
 
 from motionlake.functions.vectors import magnitude
 from motionlake.operators import clusters, outliers, phases, stats
-from motionlake.operators.chunks import materialise
+from motionlake.operators.chunks import attach, chunk_of, episode_lengths, materialise
+from motionlake.operators.scopes import scope_episodes, scoped
 from motionlake.operators.series import hot_zones
 from motionlake.schema import EP
 
 
-def analyze_tasks(frames: DataFrame, cohort_size: int = None) -> dict:
+def analyze_tasks(frames: DataFrame, cohort_size: int = None, scopes=("task",)) -> dict:
     """Phases, features, reasons and clusters of every task.
 
-    ``cohort_size`` keeps the first n episodes of a task; without it every episode counts.
-    Returns tables by name; shared intermediates are written once. Runs jobs.
+    ``scopes``: "task" compares an episode with its task, "dataset" with all episodes of its dataset
+    (``task_index`` is then ``ALL_TASKS``); both may be named and share one pass over the frames.
+    ``cohort_size`` keeps the first n episodes of a scope; without it every episode counts.
+    Returns tables by name, one row per scope for what depends on it (phases, cycles, features,
+    reasons, members); shared intermediates are written once. Runs jobs.
     """
+    lengths = episode_lengths(frames)
+    episodes = materialise(scope_episodes(lengths, scopes, cohort_size))
     if cohort_size is not None:
-        frames = materialise(phases.cohort(frames, cohort_size))
+        frames = materialise(attach(frames.withColumn("_chunk", chunk_of()), episodes, []).drop("_chunk"))
     raw = phases.raw_ranges(frames)
     ranges = phases.closed_ranges(raw)
-    found = materialise(phases.segment(frames, ranges))
-    cycles = materialise(phases.episode_cycles(frames, ranges, raw))
-    features = materialise(phases.shape_features(frames, cycles))
-    reasons = (phases.phase_envelope_flags(frames, found).unionByName(phases.phase_duration_flags(found))
+    segments = materialise(phases.segment(frames, ranges))
+    signals = materialise(phases.phase_signals(frames, segments))
+    counted = materialise(phases.episode_cycles(frames, ranges, raw))
+    shapes = phases.shape_features(frames, counted)
+    found, cycles = scoped(segments, episodes), materialise(scoped(counted, episodes))
+    features = materialise(scoped(shapes, episodes))
+    reasons = (phases.envelope_flags(scoped(signals, episodes), found).unionByName(phases.phase_duration_flags(found))
                .unionByName(phases.cycle_count_flags(cycles)).unionByName(outliers.shape_outlier_flags(features)))
     return {
         "raw_ranges": raw, "ranges": ranges, "phases": found, "cycles": cycles, "features": features,

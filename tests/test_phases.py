@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motionlake.operators import clusters, outliers, phases
 from motionlake.operators.chunks import materialise
+from motionlake.operators.scopes import ALL_TASKS, scope_episodes, scoped
 from motionlake.plans.reports import analyze_tasks, episode_overview
 from motionlake.schema import EP
 from tests import twins
@@ -196,3 +198,39 @@ def test_medoid_is_the_most_central_member(spark):
 def test_cohort_keeps_the_first(spark):
     f = frames_of(spark, random_episodes([12, 9, 15, 20]))
     assert {r.episode_index for r in phases.cohort(f, 2).select(*EP).distinct().collect()} == {0, 1}
+
+
+def task_of(frames, task, episodes):
+    return frames.filter(F.col("episode_index").isin(list(episodes))).withColumn("task_index", F.lit(task).cast("long"))
+
+
+def rows_of(report, name, task):
+    cols = [c for c in report[name].columns if c != "task_index"]
+    return sorted(str(tuple(r[c] for c in cols)) for r in report[name].filter(F.col("task_index") == task).collect())
+
+
+def test_all_scopes_equal_separate_runs(spark):
+    """Tasks and the whole dataset in one pass: the same rows as a run for each alone."""
+    eps = cohort(24, seed=8)
+    eps[3][0][5:28, 0] += 1.4
+    eps[20] = cycle_episode(np.random.default_rng(4), cycles=3)
+    all_ = materialise(frames_of(spark, eps))
+    parted = materialise(task_of(all_, 0, range(0, 11)).unionByName(task_of(all_, 1, range(11, 24))))
+    both = analyze_tasks(parted, scopes=("task", "dataset"))
+    for task, alone in ((0, task_of(all_, 0, range(0, 11))), (1, task_of(all_, 1, range(11, 24))), (ALL_TASKS, task_of(all_, ALL_TASKS, range(24)))):
+        single = analyze_tasks(alone)
+        for name in ("phases", "cycles", "features", "reasons", "members"):
+            assert rows_of(both, name, task) == rows_of(single, name, task), (name, task)
+    assert both["reasons"].filter(F.col("task_index") == ALL_TASKS).count() > 0
+
+
+def test_first_episodes_of_each_scope(spark):
+    """The first n by index: of each task, and of the dataset over all tasks."""
+    rows = [("d", i % 2, i, 10) for i in range(9)] + [("e", 5, 3, 10)]
+    lengths = spark.createDataFrame(rows, "dataset_id string, task_index long, episode_index long, n_frames long")
+    got = {(r.dataset_id, r.episode_index): r.scopes for r in scope_episodes(lengths, ("task", "dataset"), 3).collect()}
+    want = {("d", 0): [-1, 0], ("d", 1): [-1, 1], ("d", 2): [-1, 0], ("d", 3): [1], ("d", 4): [0], ("d", 5): [1], ("e", 3): [-1, 5]}
+    assert got == want
+    only = scope_episodes(lengths, ("dataset",), 2)
+    assert sorted((r.dataset_id, r.task_index, r.episode_index) for r in scoped(lengths, only).collect()) == [("d", -1, 0), ("d", -1, 1), ("e", -1, 3)]
+    assert scope_episodes(lengths.filter("false"), ("dataset",), 2).count() == 0
