@@ -1,7 +1,7 @@
 """Fingerprints of all documents meet without one row each.
 
-A task packs the fingerprints of a batch by hash part: one row per (batch, part) with the
-document ids, how many fingerprints each has there, and the low bytes of the fingerprints.
+A task packs the fingerprints of neighbouring documents, some ``HELD`` at a time, by hash part: one
+row per (pack, part) with the document ids, how many fingerprints each has there, and the low bytes of the fingerprints.
 Rows are dealt by part and each part is looked at in one go. A document holds a fingerprint
 at most once, so even one that a third of all documents share adds few entries to its part
 next to all their others; the number of parts follows ``spark.sql.shuffle.partitions``.
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from motionlake.llm.textnum import expand, mix, narrow, slices, squeeze, widen
 
+#: Fingerprints that a task holds before it packs them; one slice of texts more at most.
+HELD = 1 << 20
+
 PACKED = "part int, ids binary, counts binary, prints binary"
 _ARROW = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
 
@@ -37,29 +40,34 @@ def pack(docs: DataFrame, prints, n_parts: int, size: int, lower: bool = False)
     """
     def run(batches):
         for batch in batches:
-            ids, docs_, values = batch.column(0).to_numpy(zero_copy_only=False), [], []
-            for at, texts in slices(batch.column(1), lower):
-                doc, value = prints(texts)
-                docs_.append((doc + at).astype(np.int32))
-                values.append(value)
-            if not docs_:
-                continue
+            ids, docs_, values, held = batch.column(0).to_numpy(zero_copy_only=False), [], [], 0
             order = np.argsort(ids, kind="stable")
             rank = np.empty(len(ids), np.int32)
             rank[order] = np.arange(len(ids), dtype=np.int32)
-            doc, value = rank[np.concatenate(docs_)], np.concatenate(values)
-            by_doc = np.argsort(doc, kind="stable")
-            doc, value = doc[by_doc], value[by_doc]
-            part = (value % np.uint64(n_parts)).astype(np.uint32 if n_parts > 65535 else np.uint16)
-            by_part = np.argsort(part, kind="stable")
-            doc, value, part = doc[by_part], value[by_part] // np.uint64(n_parts), part[by_part]
-            cuts = np.searchsorted(part, np.arange(n_parts + 1, dtype=np.int64))
-            rows = []
-            for p in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[p], cuts[p + 1]
-                held, counts = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(p), squeeze(ids[order][held].astype(np.int64)), squeeze(counts.astype(np.int32)), narrow(value[a:b], size)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)] if rows else [pa.array([], t.type) for t in _ARROW], schema=_ARROW)
+            for at, texts in slices(batch.column(1), lower):
+                doc, value = prints(texts)
+                docs_.append(rank[doc + at])
+                values.append(value)
+                held += len(value)
+                if held >= HELD:
+                    yield dealt(ids[order], np.concatenate(docs_), np.concatenate(values))
+                    docs_, values, held = [], [], 0
+            if docs_:
+                yield dealt(ids[order], np.concatenate(docs_), np.concatenate(values))
+
+    def dealt(ids, doc, value):
+        by_doc = np.argsort(doc, kind="stable")
+        doc, value = doc[by_doc], value[by_doc]
+        part = (value % np.uint64(n_parts)).astype(np.uint32 if n_parts > 65535 else np.uint16)
+        by_part = np.argsort(part, kind="stable")
+        doc, value, part = doc[by_part], value[by_part] // np.uint64(n_parts), part[by_part]
+        cuts = np.searchsorted(part, np.arange(n_parts + 1, dtype=np.int64))
+        rows = []
+        for p in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[p], cuts[p + 1]
+            held, counts = np.unique(doc[a:b], return_counts=True)
+            rows.append((int(p), squeeze(ids[held].astype(np.int64)), squeeze(counts.astype(np.int32)), narrow(value[a:b], size)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)] if rows else [pa.array([], t.type) for t in _ARROW], schema=_ARROW)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, PACKED)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionlake.llm import common, mixing, packing, pii, quality, secrets, setjoin, substring, suffix, topk, toxicity
+from motionlake.llm import common, exchange, mixing, packing, pii, quality, secrets, setjoin, substring, suffix, topk, toxicity
 
 LONG = "word " * 30000
 
@@ -445,3 +445,21 @@ def test_likely_loses_nothing(spark):
     rows, keys = spark.range(5000).withColumnRenamed("id", "k"), spark.range(0, 5000, 7).withColumnRenamed("id", "j")
     got = {r[0] for r in common.likely(rows, "k", keys, "j").collect()}
     assert {*range(0, 5000, 7)} <= got and len(got) < 800
+
+
+def test_packs_of_any_size_meet_alike(spark, monkeypatch):
+    """The same fingerprints of each document, whether a batch is packed at once or slice by slice."""
+    rng = random.Random(21)
+    docs = table(spark, [(i, lines(rng, 40), "a") for i in range(1200)] + [(1200, None, "a"), (1201, "", "a")]).coalesce(1)
+
+    def entries(held):
+        monkeypatch.setattr(exchange, "HELD", held)
+        packed = exchange.pack(docs, lambda texts: setjoin.shingles(texts, 5), 4, 5, lower=True).collect()
+        out = []
+        for r in packed:
+            ids = np.repeat(exchange.expand(r["ids"], np.int64), exchange.expand(r["counts"], np.int32))
+            out += zip([r["part"]] * len(ids), ids.tolist(), exchange.widen(r["prints"], 5).tolist())
+        return len(packed), sorted(out)
+
+    (few, want), (more, got) = entries(1 << 20), entries(1)
+    assert got == want and len(want) == 1200 * 36 and more > few
