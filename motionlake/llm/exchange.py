@@ -4,7 +4,7 @@ A task packs the fingerprints of neighbouring documents, some ``HELD`` at a time
 row per (pack, part) with the document ids, how many fingerprints each has there, and the low bytes of the fingerprints.
 Rows are dealt by part and each part is looked at in one go. A document holds a fingerprint
 at most once, so even one that a third of all documents share adds few entries to its part
-next to all their others; the number of parts follows ``spark.sql.shuffle.partitions``.
+next to all their others. ``parts_for`` gives the number of parts from the counted fingerprints.
 """
 
 import math
@@ -23,6 +23,15 @@ PACKED = "part int, ids binary, counts binary, prints binary"
 _ARROW = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
 
 
+#: Fingerprints of a part that its task sorts, about; more of them make more parts.
+PER_PART = 1 << 21
+
+
+def parts_for(total: int, least: int) -> int:
+    """Number of hash parts for so many fingerprints: as the session asks, or more if a part would pass ``PER_PART``."""
+    return max(least, -(-total // PER_PART))
+
+
 def first_of_each(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Which entries are the first of their (document, value)."""
     order = np.lexsort((value, doc))
@@ -88,9 +97,12 @@ def meet(packed: DataFrame, n_parts: int, size: int, judge, schema: str) -> Data
 
     def answer(part, held):
         ids, prints = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        order = np.argsort(ids, kind="stable")
-        order = order[np.argsort(prints[order], kind="stable")]
-        out = judge(part, ids[order], prints[order])
+        held.clear()
+        order = np.lexsort((ids, prints))
+        ids = ids[order]
+        prints = prints[order]
+        del order
+        out = judge(part, ids, prints)
         if out is not None:
             yield out
 

@@ -238,9 +238,9 @@ def links(sets: DataFrame, scratch: Scratch, share: int = SHARE) -> DataFrame:
 def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. Runs jobs."""
     scratch = Scratch(docs.sparkSession)
-    n_parts = parts(docs.sparkSession, 1)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = scratch.keep(signatures(named, width))
+    n_parts = exchange.parts_for(every.agg(F.sum("n_shingles")).first()[0] or 0, parts(docs.sparkSession, 1))
     digest = ["n_shingles", "a", "b"]
     stands = scratch.keep(every.filter("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("rep")))
 

@@ -463,3 +463,14 @@ def test_packs_of_any_size_meet_alike(spark, monkeypatch):
 
     (few, want), (more, got) = entries(1 << 20), entries(1)
     assert got == want and len(want) == 1200 * 36 and more > few
+
+
+def test_parts_follow_the_counted_fingerprints(spark, monkeypatch):
+    """Small parts make more of them; the components stay the same."""
+    rng = random.Random(22)
+    bodies = [lines(rng, 60) for _ in range(20)]
+    docs = table(spark, [(i, bodies[i % 20] + (" tail" if i >= 20 else ""), "a") for i in range(60)])
+    want = sorted(map(tuple, setjoin.join(docs).collect()))
+    monkeypatch.setattr(exchange, "PER_PART", 300)
+    assert exchange.parts_for(3360, 2) == 12 and exchange.parts_for(0, 2) == 2
+    assert sorted(map(tuple, setjoin.join(docs).collect())) == want and len({r[2] for r in want}) == 20
