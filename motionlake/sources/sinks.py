@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motionlake.operators.chunks import numbered, shared_folder
 from motionlake.schema import CHUNK, EP
+from motionlake.sources import commits
 
 
 def episode_reports(cycles: DataFrame, members: DataFrame, phases: DataFrame, features: DataFrame, reasons: DataFrame, page: int = 1000) -> DataFrame:
@@ -47,20 +48,19 @@ def missing_keys(requests: DataFrame, stored: DataFrame, key: str = "result_key"
 
 
 def materialise_results(requests: DataFrame, path: str, compute, version: str = "phase_aware_v1") -> DataFrame:
-    """Result table with only the missing keys computed and appended.
+    """Results of the requests; only keys that the table lacks are computed and committed.
 
     requests: (dataset_id, task_index, cohort_size). ``compute`` maps the missing requests to
-    rows that carry ``result_key``.
+    rows that carry ``result_key``. Of two writers of a key the first commit holds.
     """
     spark = requests.sparkSession
     keyed = requests.withColumn("result_key", result_key("dataset_id", F.col("task_index").cast("string"), F.concat(F.lit("cohort="), F.col("cohort_size").cast("string")), version=version))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    todo = missing_keys(keyed, spark.read.parquet(path)) if exists else keyed
-    compute(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(keyed.select("result_key"), "result_key", "left_semi")
-
-
+    seen = commits.log(spark, path)
+    stored = commits.read_committed(spark, path, commits=seen)
+    todo = keyed if stored is None else missing_keys(keyed, stored)
+    if stored is None or not todo.isEmpty():
+        commits.publish_keys(compute(todo), path, "result_key", seen)
+    return commits.read_committed(spark, path).join(keyed.select("result_key"), "result_key", "left_semi")
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:

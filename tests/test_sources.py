@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionlake.functions import scalars
 from motionlake.operators import enrichment, images, metadata, projections, relations, stats
-from motionlake.sources import readers, sinks
+from motionlake.sources import commits, readers, sinks
 from tests.fixtures import frames_of, random_episodes
 
 
@@ -174,3 +174,58 @@ def test_range_of_equal_values(spark):
     df = spark.createDataFrame([("d", 0, 0, i, 2.0) for i in range(5)], "dataset_id string, task_index long, episode_index long, frame_index long, value double")
     r = stats.robust_range(df).collect()[0]
     assert (r.range_min, r.range_max) == (1.5, 2.5)
+
+
+def _requests(spark, *tasks):
+    return spark.createDataFrame([("d", i, 30) for i in tasks], "dataset_id string, task_index long, cohort_size long")
+
+
+def _two_rows_a_key(todo):
+    return todo.withColumn("place", F.explode(F.array(F.lit(0), F.lit(1))))
+
+
+def test_two_writers_at_once_leave_each_key_once(spark, tmp_path):
+    import threading
+    path, gate, failed = str(tmp_path / "results"), threading.Barrier(2), []
+
+    def writer(name, *tasks):
+        def compute(todo):
+            gate.wait(60)  # both have read the same log before either commits
+            return _two_rows_a_key(todo).withColumn("writer", F.lit(name))
+        try:
+            sinks.materialise_results(_requests(spark, *tasks), path, compute)
+        except Exception as e:
+            failed.append(e)
+
+    both = [threading.Thread(target=writer, args=a) for a in (("a", 1, 2, 3), ("b", 2, 3, 4))]
+    for t in both:
+        t.start()
+    for t in both:
+        t.join(120)
+    rows = commits.read_committed(spark, path).collect()
+    assert not failed and [c["number"] for c in commits.log(spark, path)] == [0, 1]
+    assert sorted((r.task_index, r.place) for r in rows) == [(t, p) for t in (1, 2, 3, 4) for p in (0, 1)]
+    assert all(len({r.writer for r in rows if r.task_index == t}) == 1 for t in (1, 2, 3, 4))
+
+
+def test_a_job_stopped_half_way_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "results")
+    first = sinks.materialise_results(_requests(spark, 1), path, _two_rows_a_key).count()
+    commits.stage(_two_rows_a_key(_requests(spark, 2).withColumn("result_key", F.lit("k"))), path)  # staged, never committed
+
+    def broken(todo):
+        return _two_rows_a_key(todo).withColumn("x", F.raise_error(F.lit("stopped")).cast("string"))
+
+    with pytest.raises(Exception, match="stopped"):
+        sinks.materialise_results(_requests(spark, 2), path, broken)
+    assert first == 2 and commits.read_committed(spark, path).count() == 2 and len(commits.log(spark, path)) == 1
+    assert sinks.materialise_results(_requests(spark, 1, 2), path, _two_rows_a_key).count() == 4
+
+
+def test_a_number_is_claimed_once_and_a_token_commits_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    part = commits.stage(_requests(spark, 1), path)
+    entry = {"number": 0, "token": None, "parts": {"rows": part}}
+    assert commits.claim(spark, path, entry) and not commits.claim(spark, path, entry)
+    put = lambda: commits.publish(spark, path, lambda log: {"rows": _requests(spark, 5)}, token="batch 3")
+    assert put() == 1 and put() is None and commits.read_committed(spark, path).count() == 2
