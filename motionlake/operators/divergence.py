@@ -128,6 +128,26 @@ def task_quality(divergence: DataFrame, transitions: DataFrame) -> DataFrame:
     return a.join(top, TASK)
 
 
+def episode_partials(frames: DataFrame, bins: int = BINS) -> DataFrame:
+    """What the quality of a task needs of an episode: its resampled actions and its transitions.
+
+    One row per episode of five frames or more, of ``bins`` points however long the episode is, and
+    independent of all other episodes: partials of new episodes are added to those already kept.
+    """
+    from motionlake.operators.scores import transition_metrics
+    r = resample(frames, bins, "action", min_frames=5)
+    points = r.groupBy(*EP).agg(F.max("n_frames").alias("n_frames"), F.array_sort(F.collect_list(F.struct("bin", "action"))).alias("points"))
+    return points.join(transition_metrics(frames), EP)
+
+
+def quality_of_partials(partials: DataFrame) -> DataFrame:
+    """Task quality from partials, one row per task; equals ``task_quality_report`` of all their frames."""
+    points = partials.select(*EP, "n_frames", F.inline("points"))
+    binned = points.select(*EP, "n_frames", "bin", F.size("action").alias("dims"), F.posexplode("action").alias("dim", "x"))
+    per_bin = frame_divergence(scored_bins(binned, task_trajectory_stats(binned)))
+    return task_quality(episode_divergence(per_bin, partials.select(*EP, "n_frames")), partials.drop("n_frames", "points"))
+
+
 def task_quality_report(frames: DataFrame) -> DataFrame:
     """Task quality of every task in one job."""
     from motionlake.operators.scores import transition_metrics

@@ -1,13 +1,16 @@
 """Queries over catalogue, message, text and image tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from motionlake.functions import scalars
 from motionlake.operators import enrichment, images, metadata, relations, stats
+from motionlake.operators.chunks import shared_folder, spread_join
 from motionlake.operators.projections import search_tasks
 from motionlake.plans.frame_queries import frames, lengths
-from motionlake.plans.registry import EPC, EPISODES, I, R, query
-from motionlake.schema import EP
+from motionlake.plans.registry import EPC, EPISODES, FRAMES, ORACLES, I, R, W, query
+from motionlake.schema import EP, TASK
 from motionlake.sources import readers, sinks
 from motionlake.sources.driver_tables import ingested, table
 from motionlake.streaming import streams
@@ -175,16 +178,43 @@ def _(spark, sf):
     return streams.batch_signals(messages(spark, sf), 10).select("episode_id", "topic", "log_time_ns", "kind", "stride")
 
 
-@query("stream_channel_counts", """SELECT event_type AS topic, CAST(count(*) AS BIGINT) AS messages FROM events GROUP BY 1""")
+@query("stream_signals", f"WITH {SIG} SELECT episode_id, topic, log_time_ns, kind FROM sr WHERE rn % 3 = 0")
 def _(spark, sf):
-    """Tumbling-window counts of a file stream, run to its end and summed per topic."""
+    """Every third signal row of an (episode, kind), whatever its topic, from a stream in event time."""
+
+    def run():
+        m = messages(spark, sf).drop("event_id").withColumn("event_time", F.timestamp_micros(F.floor(F.col("log_time_ns") / 1000).cast("long")))
+        end = F.max("log_time_ns") + F.lit(400 * 86400 * 10**9)
+        signal = {"episode_id": F.lit("closing"), "topic": F.lit("/arm/joint_command"), "payload": F.from_json(F.lit('{"data": [0.0]}'), m.schema["payload"].dataType)}
+        closing = m.agg(end.alias("log_time_ns")).first().log_time_ns
+        src = sinks.replay(m, signal | {"log_time_ns": F.lit(closing)}, "400 DAYS").drop("event_time")
+        return sinks.run_to_end(streams.stream_signals(src, 3, "1 day", "60 days"))
+
+    return ingested(spark, sf, "stream_signals", run).select("episode_id", "topic", "log_time_ns", "kind")
+
+
+def channel_windows(spark, sf):
+    """Daily counts per topic of an event stream, each window written once it is closed."""
 
     def run():
-        src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-        m = src.select(F.col("event_type").alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("log_time_ns"))
-        return sinks.run_to_end(streams.channel_counts(m, "1 day", "1 day"), "complete")
+        ev = table(spark, sf, "events").select(F.col("event_type").alias("topic"), F.col("ts").cast("timestamp").alias("event_time"))
+        src = sinks.replay(ev, {"topic": F.lit("closing")}, "400 DAYS")
+        m = src.select("topic", (F.unix_micros("event_time") * 1000).alias("log_time_ns"))
+        return sinks.run_to_end(streams.channel_counts(m, "1 day", "1 day"))
 
-    return ingested(spark, sf, "stream_channels", run).groupBy("topic").agg(F.sum("messages").alias("messages"))
+    return ingested(spark, sf, "stream_channels", run)
+
+
+@query("stream_channel_counts", """SELECT event_type AS topic, CAST(count(*) AS BIGINT) AS messages FROM events GROUP BY 1""")
+def _(spark, sf):
+    """The windows of ``stream_channel_windows``, summed per topic."""
+    return channel_windows(spark, sf).groupBy("topic").agg(F.sum("messages").alias("messages"))
+
+
+@query("stream_channel_windows", """SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_type AS topic, CAST(count(*) AS BIGINT) AS messages FROM events GROUP BY ALL""")
+def _(spark, sf):
+    day = F.floor(F.unix_micros("window_start") / F.lit(86400000000)).cast("long")
+    return channel_windows(spark, sf).select(day.alias("day"), "topic", "messages")
 
 
 # ---------------------------------------------------------------- files and formats
@@ -478,16 +508,56 @@ def _(spark, sf):
     return lengths(spark, sf).select(*EP, sinks.result_key("dataset_id", F.col("task_index").cast("string"), F.lit("cohort=30")).alias("result_key"))
 
 
+@query("materialised_results", f"""WITH {EPISODES} SELECT dataset_id, task_index, CAST(30 AS BIGINT) AS cohort_size, left(sha256(dataset_id || chr(0) || task_index || chr(0) || 'cohort=30' || chr(0) || 'phase_aware_v1'), 16) AS result_key,
+count(*) AS episodes, {I("sum(n_frames)", "frames")} FROM ep GROUP BY ALL""")
+def _(spark, sf):
+    """Totals of tasks by result key: first those of even tasks, then the rest, as two commits."""
+
+    def run():
+        e = lengths(spark, sf)
+        wanted = e.select(*TASK).distinct().withColumn("cohort_size", F.lit(30).cast("long"))
+        totals = e.groupBy(*TASK).agg(F.count(F.lit(1)).alias("episodes"), F.sum("n_frames").alias("frames"))
+        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        sinks.materialise_results(wanted.filter("task_index % 2 = 0"), path, lambda todo: todo.join(totals, TASK))
+        return sinks.materialise_results(wanted, path, lambda todo: todo.join(totals, TASK))
+
+    return ingested(spark, sf, "materialised_results", run)
+
+
+def frame_stream(spark, sf):
+    """Frames as a stream, each episode's clock starting on one day, ended by a closing frame."""
+    clock = F.timestamp_micros(F.lit(1704067200 * 10**6) + F.round(F.col("ts") * 1000000).cast("long"))
+    f = frames(spark, sf).select(*EP, "frame_index", clock.alias("event_time"), "ts", F.element_at("action", -1).alias("grip"))
+    closing = {"dataset_id": F.lit("closing"), "task_index": F.lit(0), "episode_index": F.lit(0), "frame_index": F.lit(0), "ts": F.lit(0.0), "grip": F.lit(0.0)}
+    return sinks.replay(f, closing, "400 DAYS")
+
+
 @query("stream_episode_summary", f"WITH {EPISODES} SELECT {EPC}, CAST(n_frames AS BIGINT) AS n_frames FROM ep")
 def _(spark, sf):
-    """Idle-closed episode summaries of a frame stream; a closing frame at the end lets all of them out."""
+    """Idle-closed episode summaries of a frame stream; a closing frame lets all of them out."""
+    run = lambda: sinks.run_to_end(streams.episode_summaries(frame_stream(spark, sf), "60 days", "1 day"))
+    return ingested(spark, sf, "stream_episodes", run).select(*EP, "n_frames")
+
+
+@query("stream_gripper_events", f"""WITH {FRAMES}, g AS (SELECT *, lag(a6) OVER {W} q FROM fr) SELECT {EPC}, frame_index AS frame, CASE WHEN a6 < 0 THEN 'close' ELSE 'open' END AS kind FROM g WHERE a6 * q < 0""")
+def _(spark, sf):
+    """Gripper sign changes of a frame stream in event time."""
+    run = lambda: sinks.run_to_end(streams.gripper_events(frame_stream(spark, sf), "1 day", "60 days"))
+    return ingested(spark, sf, "stream_gripper", run)
+
+
+@query("stream_task_quality", ORACLES["task_quality"])
+def _(spark, sf):
+    """Quality of tasks kept up to date by a stream of finished episodes, which come in two batches."""
 
     def run():
-        f = frames(spark, sf)
-        path = f.inputFiles()[0].rsplit("/", 1)[0]
-        src = spark.readStream.schema(f.schema).parquet(path).withColumn("event_time", F.timestamp_seconds(F.col("ts")))
-        key = ["dataset_id", "task_index", "episode_index"]
-        g = src.withWatermark("event_time", "1 day").groupBy(*key, F.session_window("event_time", "60 days").alias("s")).agg(F.count(F.lit(1)).alias("n_frames"))
-        return sinks.run_to_end(g.drop("s"), "complete")
-
-    return ingested(spark, sf, "stream_episodes", run)
+        folder, table_at = (f"{shared_folder(spark)}/{uuid.uuid4().hex}" for _ in range(2))
+        ended = lengths(spark, sf).select(*EP)
+        for half in (0, 1):
+            ended.filter(F.abs(F.hash("episode_index")) % 2 == half).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        load = lambda new: spread_join(frames(spark, sf), new, EP, "frame_index", "left_semi")
+        finished = spark.readStream.schema(ended.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        streams.task_quality_sink(finished, load, table_at, f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        return streams.latest_task_quality(spark, table_at)
+
+    return ingested(spark, sf, "stream_task_quality", run)

@@ -1,6 +1,7 @@
 """Result tables: nested reports and keyed materialisation."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,18 @@ def materialise_results(requests: DataFrame, path: str, compute, version: str =
     return commits.read_committed(spark, path).join(keyed.select("result_key"), "result_key", "left_semi")
 
 
+@contextmanager
+def state_on_disk(spark):
+    """Streams started inside keep their state in RocksDB, which lists and timers need; the session stays as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all available input into a table of the shared folder; return the last state.
 
@@ -75,7 +88,23 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     def land(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(land).option("checkpointLocation", f"{folder}/state")
-         .trigger(availableNow=True).start())
+    with state_on_disk(spark):
+        q = (stream.writeStream.outputMode(mode).foreachBatch(land).option("checkpointLocation", f"{folder}/state")
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def replay(rows: DataFrame, closing: dict, after: str, files: int | None = None) -> DataFrame:
+    """A stream over given rows with ``event_time``, ended by one row far behind all others.
+
+    ``closing`` gives the cells of that row, which must outlive the filters of the operator; its time lies ``after``
+    the last one, so the watermark passes all others. ``files`` files are read a batch where given.
+    """
+    spark = rows.sparkSession
+    end = rows.agg((F.max("event_time") + F.expr(f"INTERVAL {after}")).alias("event_time"))
+    last = end.select(*[F.col(c) if c == "event_time" else closing.get(c, F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes])
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows.unionByName(last).write.parquet(folder)
+    source = spark.readStream.schema(rows.schema)
+    return (source.option("maxFilesPerTrigger", files) if files else source).parquet(folder)

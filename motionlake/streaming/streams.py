@@ -1,16 +1,18 @@
 """Live recordings: Structured Streaming forms of the batch operators."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from motionlake.functions.scalars import action_vector, imu_sample, route_signal, seconds
-from motionlake.operators.chunks import numbered, spread_join
-from motionlake.operators.divergence import task_quality_report
+from motionlake.operators.chunks import materialise, numbered, spread_join
+from motionlake.operators.divergence import episode_partials, quality_of_partials
+from motionlake.schema import EP, TASK
+from motionlake.sources import commits
 
 FRAME_STREAM = "dataset_id string, task_index long, episode_index long, frame_index long, event_time timestamp, ts double, grip double"
 GRIPPER_OUT = "dataset_id string, task_index long, episode_index long, frame long, kind string"
@@ -31,41 +33,116 @@ def episode_summaries(frames: DataFrame, idle: str = "30 seconds", late: str = "
     return g.drop("s")
 
 
-def _gripper_steps(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emit sign changes up to the watermark, in frame order.
+class InEventTime(StatefulProcessor):
+    """Hold the rows of a key until the watermark passes them, then judge them in event-time order.
 
-    State: the last judged frame's value, and the frames still newer than the watermark. Late
-    frames inside the watermark are therefore sorted in before they are judged.
+    State: the rows that wait, and what ``judge`` carries from row to row. A timer at the newest
+    time of each batch lets that batch go; rows that came late but within the watermark are sorted in by then.
+    After a gap of more than ``idle_ms`` of event time a key starts anew, and its state is dropped as soon as the
+    watermark shows such a gap.
     """
-    last, wait_t, wait_f, wait_g = state.get if state.exists else (None, [], [], [])
-    wait = pd.DataFrame({"t": list(wait_t), "f": list(wait_f), "g": list(wait_g)})
-    if not state.hasTimedOut:
-        new = [pd.DataFrame({"t": b["event_time"].astype("int64") // 1000, "f": b["frame_index"], "g": b["grip"]}) for b in batches]
-        new = [b.assign(t=b["t"]) for b in new if len(b)]
-        wait = pd.concat([wait, *new], ignore_index=True) if len(wait) else pd.concat(new, ignore_index=True)
-    mark = state.getCurrentWatermarkMs() * 1000
-    wait = wait.sort_values("f", kind="stable")
-    ready = wait if state.hasTimedOut else wait[wait["t"] <= mark]
-    rest = wait.iloc[0:0] if state.hasTimedOut else wait[wait["t"] > mark]
-    out = []
-    for f, g in zip(ready["f"], ready["g"]):
-        if last is not None and last * g < 0:
-            out.append((*key, int(f), "close" if g < 0 else "open"))
-        last = float(g)
-    if state.hasTimedOut:
-        state.remove()
-    else:
-        state.update((last, [int(x) for x in rest["t"]], [int(x) for x in rest["f"]], [float(x) for x in rest["g"]]))
-        newest = int(wait["t"].max()) // 1000 if len(wait) else state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
-    yield pd.DataFrame(out, columns=["dataset_id", "task_index", "episode_index", "frame", "kind"])
+
+    def __init__(self, schema: str, times: str, order: list[str], carried: str, judge: Callable, idle_ms: int):
+        self.schema, self.times, self.order = schema, times, order
+        self.columns = [c.split()[0] for c in schema.split(", ")]
+        self.carried, self.judge, self.idle_ms = carried, judge, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.last = handle.getValueState("last", f"{self.carried}, newest_ms bigint")
+
+    def _cells(self, rows: pd.DataFrame) -> list[tuple]:
+        rows = rows[self.columns].astype(object)
+        plain = lambda x: x.tolist() if isinstance(x, np.ndarray) else x
+        return [tuple(map(plain, r)) for r in rows.where(rows.notna(), None).itertuples(index=False, name=None)]
+
+    def _ms(self, rows: pd.DataFrame) -> pd.Series:
+        """Event times, rounded up, so a row never counts as passed before the watermark is there."""
+        return -(-rows[self.times] // 1000000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendList(self._cells(batch))
+                top = int(self._ms(batch).max())
+                newest = top if newest is None else max(newest, top)
+        if newest is not None:
+            # a time that has passed already is due with the next watermark
+            self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs()) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns)
+        old = self.last.get() if self.last.exists() else None
+        carried, newest = (tuple(old)[:-1], old[-1]) if old is not None else (None, None)
+        if len(held):
+            due = self._ms(held) <= mark
+            ready, rest = held[due].sort_values(self.order, kind="stable"), held[~due]
+            if len(ready):
+                times = self._ms(ready).to_numpy()
+                before = np.concatenate(([times[0] if newest is None else newest], times[:-1]))
+                anew = np.flatnonzero(times - before > self.idle_ms)
+                for part in np.split(np.arange(len(ready)), anew):
+                    if not len(part):
+                        continue
+                    if part[0] in anew:
+                        carried = None
+                    found, carried = self.judge(ready.iloc[part].reset_index(drop=True), carried)
+                    if len(found):
+                        yield found
+                newest = int(times[-1])
+                if len(rest):
+                    self.waiting.put(self._cells(rest))
+                else:
+                    self.waiting.clear()
+            if len(rest):
+                if carried is not None:
+                    self.last.update((*carried, newest))
+                return
+        if newest is not None and mark - newest >= self.idle_ms:
+            self.last.clear()
+        elif newest is not None:
+            self.last.update((*carried, newest))
+            self.handle.registerTimer(newest + self.idle_ms + 1)
+
+    def close(self) -> None:
+        pass
 
 
-def gripper_events(frames: DataFrame, late: str = "10 seconds") -> DataFrame:
+def _milliseconds(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
+
+
+def _sign_changes(rows: pd.DataFrame, carried: tuple | None):
+    """Frames whose sign differs from the frame before; a step through exactly zero is not a change."""
+    g = rows["grip"].to_numpy(dtype=float)
+    before = np.concatenate(([np.nan if carried is None else carried[0]], g[:-1]))
+    hit = before * g < 0
+    out = rows.loc[hit, EP].assign(frame=rows.loc[hit, "frame_index"], kind=np.where(g[hit] < 0, "close", "open"))
+    return out, (float(g[-1]),)
+
+
+def gripper_events(frames: DataFrame, late: str = "10 seconds", idle: str = "1 hour") -> DataFrame:
     """Gripper sign changes per episode; equals the batch operator once the watermark has passed."""
-    return (frames.withWatermark("event_time", late).groupBy("dataset_id", "task_index", "episode_index")
-            .applyInPandasWithState(_gripper_steps, GRIPPER_OUT, "last double, t array<bigint>, f array<bigint>, g array<double>",
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+    held = frames.withWatermark("event_time", late).select(*EP, "frame_index", (F.unix_micros("event_time") * 1000).alias("time_ns"), "grip", "event_time")
+    schema = "dataset_id string, task_index bigint, episode_index bigint, frame_index bigint, time_ns bigint, grip double"
+    judge = InEventTime(schema, "time_ns", ["time_ns", "frame_index"], "grip double", _sign_changes, _milliseconds(idle))
+    return held.groupBy(*EP).transformWithStateInPandas(judge, GRIPPER_OUT, "append", "EventTime")
+
+
+class EveryNthRow:
+    """Every n-th row, counted on from what came before."""
+
+    def __init__(self, stride: int):
+        self.stride = stride
+
+    def __call__(self, rows: pd.DataFrame, carried: tuple | None):
+        seen = 0 if carried is None else carried[0]
+        keep = (np.arange(len(rows)) + seen) % self.stride == 0
+        return rows[keep], (seen + len(rows),)
 
 
 class EveryNth(StatefulProcessor):
@@ -94,7 +171,7 @@ class EveryNth(StatefulProcessor):
 SIGNAL_ROWS = "episode_id string, topic string, log_time_ns bigint, kind string, vec array<double>, vec_kind string"
 
 
-def routed_signals(messages: DataFrame) -> DataFrame:
+def routed_signals(messages: DataFrame, *rest: str) -> DataFrame:
     """Action and IMU rows of a message table or stream: camera topics go first, then decoding."""
     m = messages.withColumn("kind", route_signal("topic")).filter("kind is not null")
     i = imu_sample()
@@ -102,44 +179,77 @@ def routed_signals(messages: DataFrame) -> DataFrame:
     a = action_vector()
     m = m.withColumn("vec", F.when(F.col("kind") == "action", a["vec"]).otherwise(F.when(i.isNotNull(), imu)))
     m = m.withColumn("vec_kind", F.when(F.col("kind") == "action", a["kind"]).otherwise(F.lit("imu"))).filter("vec is not null")
-    return m.select("episode_id", "topic", "log_time_ns", "kind", "vec", "vec_kind")
+    return m.select("episode_id", "topic", "log_time_ns", "kind", "vec", "vec_kind", *rest)
 
 
-def stream_signals(messages: DataFrame, stride: int = 1) -> DataFrame:
-    """Signal rows as they arrive; a stride above one keeps a counter per (episode, topic)."""
-    s = routed_signals(messages)
-    if stride > 1:
-        s = s.groupBy("episode_id", "topic").transformWithStateInPandas(EveryNth(stride), SIGNAL_ROWS, "append", "None")
+def stream_signals(messages: DataFrame, stride: int = 1, late: str | None = None, idle: str = "1 hour") -> DataFrame:
+    """Signal rows, every ``stride``-th of them.
+
+    With ``late`` rows wait for the watermark and are counted per (episode, kind) in order of their time and topic,
+    as ``batch_signals`` counts them. Without it they go as they arrive, counted per (episode, topic).
+    """
+    if late is None:
+        s = routed_signals(messages)
+        if stride > 1:
+            s = s.groupBy("episode_id", "topic").transformWithStateInPandas(EveryNth(stride), SIGNAL_ROWS, "append", "None")
+        return s.withColumn("ts", seconds("log_time_ns"))
+    timed = messages.withColumn("event_time", F.timestamp_micros(F.floor(F.col("log_time_ns") / 1000).cast("long")))
+    s = routed_signals(timed.withWatermark("event_time", late), "event_time")
+    judge = InEventTime(SIGNAL_ROWS, "log_time_ns", ["log_time_ns", "topic"], "seen bigint", EveryNthRow(stride), _milliseconds(idle))
+    s = s.groupBy("episode_id", "kind").transformWithStateInPandas(judge, SIGNAL_ROWS, "append", "EventTime")
     return s.withColumn("ts", seconds("log_time_ns"))
 
 
-def batch_signals(messages: DataFrame, limit: int) -> DataFrame:
-    """Batch form: stride = ceil(messages of the kind / limit), counted per (episode, kind)."""
+def batch_signals(messages: DataFrame, limit: int | None = None, stride: int | None = None) -> DataFrame:
+    """Batch form, counted per (episode, kind): the stride is given, or ceil(messages of the kind / limit)."""
     s = routed_signals(messages)
-    n = s.groupBy("episode_id", "kind").agg(F.ceil(F.count(F.lit(1)) / limit).cast("long").alias("stride"))
     bucket = F.floor(F.col("log_time_ns") / 1000000000).cast("long")
     r = numbered(s, ["episode_id", "kind"], ["log_time_ns", "topic"], bucket)
-    return spread_join(r, n, ["episode_id", "kind"], salt_on="rn").filter(F.col("rn") % F.col("stride") == 0).drop("rn").withColumn("ts", seconds("log_time_ns"))
+    if stride is None:
+        n = s.groupBy("episode_id", "kind").agg(F.ceil(F.count(F.lit(1)) / limit).cast("long").alias("stride"))
+        r = spread_join(r, n, ["episode_id", "kind"], salt_on="rn")
+    else:
+        r = r.withColumn("stride", F.lit(stride).cast("long"))
+    return r.filter(F.col("rn") % F.col("stride") == 0).drop("rn").withColumn("ts", seconds("log_time_ns"))
 
 
 def task_quality_sink(finished: DataFrame, load_frames, path: str, checkpoint: str):
-    """Recompute the quality of tasks with new finished episodes, batch by batch.
+    """Keep the quality of tasks up to date with finished episodes, batch by batch.
 
-    ``finished``: stream of (dataset_id, task_index, episode_index). ``load_frames`` maps a table
-    of touched tasks to their frames. Each batch appends its tasks with the batch number, so
-    readers take the latest per task.
+    ``finished``: stream of (dataset_id, task_index, episode_index). ``load_frames`` maps a table of
+    these to the frames to take in; frames of earlier episodes are not read again. An episode is kept as one
+    partial of bounded size, and a batch rolls the partials of its tasks up. Partials, roll-up and
+    batch number are one commit, so a batch that is repeated changes nothing. Of an episode that
+    finishes again the later partial counts.
     """
     def land(batch: DataFrame, number: int) -> None:
-        touched = batch.select("dataset_id", "task_index").distinct()
-        if touched.isEmpty():
+        spark = batch.sparkSession
+        token = f"{checkpoint}#{number}"
+        if any(c["token"] == token for c in commits.log(spark, path)):
+            return
+        ended = materialise(batch.select(*EP).distinct())
+        if ended.isEmpty():
             return
-        report = task_quality_report(load_frames(touched))
-        report.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh = materialise(episode_partials(load_frames(ended)))
+
+        def build(seen: list[dict]) -> dict:
+            now = fresh.withColumn("version", F.lit(len(seen)).cast("long"))
+            mine = commits.stage(now, path)
+            all_of = commits.read_part(spark, path, [*[c["parts"]["partials"] for c in seen], mine])
+            touched = fresh.select(*TASK).distinct()
+            report = quality_of_partials(_latest(all_of.join(touched, TASK, "left_semi"), EP))
+            return {"partials": mine, "quality": report.withColumn("version", F.lit(len(seen)).cast("long"))}
+
+        commits.publish(spark, path, build, token)
 
     return finished.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
 
 
+def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_r")).select(*keys, "_r.*").drop("version")
+
+
 def latest_task_quality(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(path)
-    rest = [c for c in rows.columns if c not in ("dataset_id", "task_index")]
-    return rows.groupBy("dataset_id", "task_index").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("dataset_id", "task_index", "_r.*")
+    """The newest committed roll-up of each task."""
+    return _latest(commits.read_committed(spark, path, "quality"), TASK)

@@ -86,3 +86,55 @@ def test_task_quality_follows_new_episodes(spark, tmp_path):
     row = streams.latest_task_quality(spark, f"{tmp_path}/quality").collect()
     want = task_quality_report(f).collect()[0]
     assert len(row) == 1 and row[0].num_episodes == 6 and abs(row[0].mean_divergence - want.mean_divergence) < 1e-9
+
+
+def test_strided_signals_count_both_topics_of_a_kind_in_event_time(spark, tmp_path):
+    """Two topics of one kind, equal times, late rows: the stream keeps what the batch form keeps."""
+    rows = [message("r", t, k, [float(k)]) for k in range(45) for t in ("/arm/cmd", "/gripper/cmd") if t == "/arm/cmd" or k % 2 == 0]
+    rows += [message("q", "/arm/cmd", k, [float(k), 1.0]) for k in range(10)]
+    late = sorted(rows, key=lambda r: (r[3] // (6 * 10**9), -r[3]))  # backwards inside six seconds
+    src = drops(spark, str(tmp_path), [late[:31], late[31:60], late[60:], [message("end", "/arm/cmd", 10**5, [0.0])]], MESSAGE_SCHEMA)
+    out = sinks.run_to_end(streams.stream_signals(src, 4, "30 seconds", "10 minutes"))
+    cells = lambda df: sorted((r.episode_id, r.topic, r.log_time_ns, r.kind, tuple(r.vec), r.ts) for r in df.collect() if r.episode_id != "end")
+    want = cells(streams.batch_signals(spark.createDataFrame(rows, MESSAGE_SCHEMA), stride=4))
+    assert cells(out) == want and {r[1] for r in want} == {"/arm/cmd", "/gripper/cmd"}
+
+
+def test_an_idle_episode_leaves_no_state(spark, tmp_path):
+    eps = random_episodes([30, 30], seed=5)
+    later = [("d", 0, 0, 100 + f, T0 + dt.timedelta(hours=12, seconds=f), 0.0, g) for f, g in enumerate((1.0, -1.0))]
+    parts = [frame_rows(eps), END, later, [(*END[0][:3], 1, T0 + dt.timedelta(hours=20), 0.0, 1.0)]]
+    stream = streams.gripper_events(drops(spark, str(tmp_path), parts, streams.FRAME_STREAM), "10 seconds", "1 hour")
+    q = (stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = lambda name: {r[0].dataset_id for r in spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/state").select("key").collect()}
+    assert held("last") <= {"end"}
+    # the frames after twelve hours are an episode anew: their first frame is compared with none before it
+    got = {(r.episode_index, r.frame) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.dataset_id == "d"}
+    assert {f for e, f in got if f >= 100} == {101} and any(f < 100 for _, f in got)
+
+
+def test_a_repeated_batch_of_task_quality_changes_nothing(spark, tmp_path):
+    import os
+    f = frames_of(spark, cohort(5))
+    schema = "dataset_id string, task_index long, episode_index long"
+    src = drops(spark, str(tmp_path), [[("d", 0, 0), ("d", 0, 1), ("d", 0, 2)], [("d", 0, 3), ("d", 0, 4)]], schema)
+    asked = []
+
+    def load(new):
+        asked.append(sorted(r.episode_index for r in new.collect()))
+        return f.join(new, ["dataset_id", "task_index", "episode_index"], "left_semi")
+
+    run = lambda: streams.task_quality_sink(src, load, f"{tmp_path}/quality", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    run()
+    rows = lambda: [tuple(r) for r in streams.latest_task_quality(spark, f"{tmp_path}/quality").collect()]
+    before, want = rows(), [tuple(r) for r in task_quality_report(f).select(*streams.latest_task_quality(spark, f"{tmp_path}/quality").columns).collect()]
+    assert asked == [[0, 1, 2], [3, 4]] and len(before) == 1
+    assert all(abs(a - b) < 1e-9 if isinstance(a, float) else a == b for a, b in zip(before[0], want[0]))
+    # the stream forgets that it finished its last batch, as after a crash between the table and the stream's own log
+    os.remove(f"{tmp_path}/state/commits/1")
+    if os.path.exists(f"{tmp_path}/state/commits/.1.crc"):
+        os.remove(f"{tmp_path}/state/commits/.1.crc")
+    run()
+    assert rows() == before and len(asked) == 2
