@@ -1,5 +1,7 @@
 """Readers: files and nested tables to the canonical frames and catalogue tables."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,11 +75,13 @@ def read_tasks_meta(df: DataFrame) -> DataFrame:
 
 def file_manifest(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
     """Episode files below a folder with sizes, ``max_depth`` folders deep if given; content is not read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.{" + ",".join(EPISODE_FILES) + "}").load(root).select("path", F.col("length").alias("size_bytes")))
     base = root.rstrip("/")
-    base = base[len("file:"):] if base.startswith("file:") else base
-    rel = F.regexp_replace(F.col("path"), "^[a-z0-9]*:/*" + base.rstrip("/").replace(".", r"\.") + "/", "")
+    literal = re.sub(r"([\[\]{}*?\\])", r"\\\1", base)  # signs that would match other folders
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.{" + ",".join(EPISODE_FILES) + "}").load(literal).select("path", F.col("length").alias("size_bytes")))
+    base = F.lit((base[len("file:"):] if base.startswith("file:") else base) + "/")
+    at = F.instr("path", base)
+    rel = F.when(at > 0, F.col("path").substr(at + F.length(base), F.length("path"))).otherwise(F.col("path"))
     out = files.select(rel.alias("path"), "size_bytes").withColumn("ext", extension("path"))
     return out if max_depth is None else out.filter(F.size(F.split("path", "/")) - 1 <= max_depth)
 

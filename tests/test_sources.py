@@ -229,3 +229,13 @@ def test_a_number_is_claimed_once_and_a_token_commits_once(spark, tmp_path):
     assert commits.claim(spark, path, entry) and not commits.claim(spark, path, entry)
     put = lambda: commits.publish(spark, path, lambda log: {"rows": _requests(spark, 5)}, token="batch 3")
     assert put() == 1 and put() is None and commits.read_committed(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("name", ["a+(b)", "set[1]", "v{2}.x", "two words"])
+def test_manifest_of_a_folder_with_special_signs(spark, tmp_path, name):
+    for folder in (name, "set1", "v2.x"):
+        (tmp_path / folder / "t").mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / "t" / "a.mcap").write_bytes(b"0" * 7)
+    (tmp_path / name / "t" / "b.tar").write_bytes(b"0" * 3)
+    rows = sorted((r.path, r.size_bytes) for r in readers.file_manifest(spark, str(tmp_path / name)).collect())
+    assert rows == [("t/a.mcap", 7), ("t/b.tar", 3)]
