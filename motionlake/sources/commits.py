@@ -17,7 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from motionlake.operators.chunks import spread_join
+from motionlake.operators.chunks import joined_by_size, spread_join
 
 
 def _path(spark: SparkSession, path: str):
@@ -44,7 +44,7 @@ def stage(rows: DataFrame, path: str) -> dict:
 def read_part(spark: SparkSession, path: str, parts: list[dict]) -> DataFrame:
     """Rows of some staged parts; all have the schema of the first."""
     schema = T.StructType.fromJson(parts[0]["schema"])
-    return spark.read.schema(schema).parquet(*[f"{path}/{p['folder']}" for p in parts])
+    return joined_by_size(spark.read.schema(schema).parquet(*[f"{path}/{p['folder']}" for p in parts]))
 
 
 def read_committed(spark: SparkSession, path: str, part: str = "rows", commits: list[dict] | None = None) -> DataFrame | None:

@@ -144,3 +144,28 @@ def test_digits_are_monotone(spark):
     rows = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", chunks.value_bucket("v").alias("b"), chunks.value_digits("v").alias("d")).orderBy("v").collect()
     places = [(r.b, r.d.d1, r.d.d2) for r in rows]
     assert places == sorted(places)
+
+
+def test_stored_tables_of_many_rows_are_never_broadcast(spark):
+    """Six hundred thousand encoded frames take under 1 MB of files; a join must not collect them on the driver."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    many = spark.range(600000).select(F.lit("d").alias("dataset_id"), F.lit(0).cast("long").alias("task_index"), F.floor(F.col("id") / 60).alias("episode_index"),
+                                      (F.col("id") % 60).alias("frame_index"))
+    stored = chunks.materialise(many)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan(stored.join(stored.groupBy(*EP).agg(F.count(F.lit(1)).alias("n")), EP))
+    few = chunks.lookup(stored.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n")))
+    assert "BroadcastHashJoin" in plan(stored.join(few, "dataset_id"))
+
+
+def test_order_stats_of_small_and_large_keys(spark):
+    """Keys on both sides of the limit of a sorted row, with nulls and one value of all; both ways agree with numpy."""
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=chunks.IN_ROW + 900), "b": rng.normal(size=7), "c": np.zeros(3), "d": rng.integers(-4, 4, chunks.IN_ROW * 2).astype(float)}
+    df = spark.createDataFrame([(g, float(x)) for g, v in data.items() for x in v] + [("b", None), ("e", None)], "g string, x double")
+    rows = {r.g: r for r in chunks.order_stats(df, ["g"], "x", {"p5": pct(5), "p50": pct(50), "p90": pct(90)}).collect()}
+    assert set(rows) == set(data)
+    for g, v in data.items():
+        assert rows[g].n == len(v)
+        for p in (5, 50, 90):
+            assert rows[g][f"p{p}"] == pytest.approx(np.percentile(v, p), abs=1e-12)
