@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions.vectors import one_decimal, pct
-from motionlake.operators.chunks import episode_lengths, greedy_min_gap, materialise, order_stats, spread_join
+from motionlake.operators.chunks import episode_lengths, greedy_min_gap, keyed_join, materialise, order_stats, spread_join
 from motionlake.operators.series import resample
 from motionlake.schema import EP, TASK
 
@@ -17,8 +17,12 @@ READABLE = ["X position", "Y position", "Z position", "Roll", "Pitch", "Yaw", "G
 
 def binned_actions(frames: DataFrame, bins: int = BINS) -> DataFrame:
     """(episode, n_frames, bin, dims, dim, x) for episodes of five frames or more."""
-    r = resample(frames, bins, "action", min_frames=5)
-    return r.select(*EP, "n_frames", "bin", F.size("action").alias("dims"), F.posexplode("action").alias("dim", "x"))
+    return by_dimension(resample(frames, bins, "action", min_frames=5))
+
+
+def by_dimension(resampled: DataFrame) -> DataFrame:
+    """One row per bin and dimension, from resampled actions (episode, n_frames, bin, action)."""
+    return resampled.select(*EP, "n_frames", "bin", F.size("action").alias("dims"), F.posexplode("action").alias("dim", "x"))
 
 
 def task_trajectory_stats(binned: DataFrame) -> DataFrame:
@@ -39,6 +43,31 @@ def scored_bins(binned: DataFrame, stats: DataFrame) -> DataFrame:
     return j.select(*EP, "n_frames", "dims", "bin", "dim", (F.abs(F.col("x") - F.col("med")) / F.greatest("std", F.lit(1e-6))).alias("z"))
 
 
+def scored_vectors(resampled: DataFrame, stats: DataFrame) -> DataFrame:
+    """``scored_bins`` with one row per bin: (episode, n_frames, dims, bin, zs array of (dim, z)). Runs a job.
+
+    The statistics of a bin are one row, so the actions meet them once and not once per dimension.
+    """
+    keys = [*TASK, "dims", "bin"]
+    few = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "med", "std"))).alias("_st"))
+    rows = resampled.withColumn("dims", F.size("action"))
+    j = keyed_join(rows, few, keys)
+    z = F.transform("_st", lambda s: F.struct(s["dim"].alias("dim"), (F.abs(F.get("action", s["dim"]) - s["med"]) / F.greatest(s["std"], F.lit(1e-6))).alias("z")))
+    return j.select(*EP, "n_frames", "dims", "bin", z.alias("zs"))
+
+
+def long_scores(vectors: DataFrame) -> DataFrame:
+    """One row per bin and dimension, as ``scored_bins`` gives them."""
+    return vectors.select(*EP, "n_frames", "dims", "bin", F.inline("zs"))
+
+
+def vector_divergence(vectors: DataFrame) -> DataFrame:
+    """``frame_divergence`` of scored vectors, row by row."""
+    known = F.filter("zs", lambda x: x["z"].isNotNull())
+    total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda t, x: t + x["z"] * x["z"]))
+    return vectors.select(*EP, "n_frames", "bin", (F.sqrt(total) / F.sqrt("dims")).alias("divergence"))
+
+
 def frame_divergence(z: DataFrame) -> DataFrame:
     """RMS z over the dimensions: (episode, n_frames, bin, divergence)."""
     return z.groupBy(*EP, "n_frames", "bin").agg((F.sqrt(F.sum(F.col("z") * F.col("z"))) / F.sqrt(F.first("dims"))).alias("divergence"))
@@ -143,15 +172,14 @@ def episode_partials(frames: DataFrame, bins: int = BINS) -> DataFrame:
 def quality_of_partials(partials: DataFrame) -> DataFrame:
     """Task quality from partials, one row per task; equals ``task_quality_report`` of all their frames."""
     points = partials.select(*EP, "n_frames", F.inline("points"))
-    binned = points.select(*EP, "n_frames", "bin", F.size("action").alias("dims"), F.posexplode("action").alias("dim", "x"))
-    per_bin = frame_divergence(scored_bins(binned, task_trajectory_stats(binned)))
+    per_bin = vector_divergence(scored_vectors(points, task_trajectory_stats(by_dimension(points))))
     return task_quality(episode_divergence(per_bin, partials.select(*EP, "n_frames")), partials.drop("n_frames", "points"))
 
 
 def task_quality_report(frames: DataFrame) -> DataFrame:
     """Task quality of every task in one job."""
     from motionlake.operators.scores import transition_metrics
-    binned = materialise(binned_actions(frames))
-    per_bin = frame_divergence(scored_bins(binned, task_trajectory_stats(binned)))
+    points = materialise(resample(frames, BINS, "action", min_frames=5))
+    per_bin = vector_divergence(scored_vectors(points, task_trajectory_stats(by_dimension(points))))
     lengths = episode_lengths(frames).filter("n_frames >= 5")
     return task_quality(episode_divergence(per_bin, lengths), transition_metrics(frames))

@@ -154,3 +154,20 @@ def test_equal_scores_have_one_winner(spark):
     df = spark.createDataFrame(rows, "dataset_id string, mean_score double, avg_diversity double, avg_temporal double, pct_with_recovery double")
     r = stats.compare_datasets(df).first()
     assert (r["best_overall"], r["best_diversity"], r["best_temporal"], r["best_learning"]) == ("a",) * 4
+
+
+def test_scored_vectors_equal_scored_bins(spark):
+    """One row per bin gives the z distances and divergences of one row per dimension, with two action sizes in a task."""
+    five, seven = random_episodes([30, 41, 52], seed=4, dims=5), random_episodes([33, 28, 47], seed=5)
+    f = frames_of(spark, {**five, **{e + 10: x for e, x in seven.items()}})
+    r = series.resample(f, divergence.BINS, "action", min_frames=5)
+    b = divergence.by_dimension(r)
+    st = divergence.task_trajectory_stats(b)
+    v = divergence.scored_vectors(r, st)
+    cells = lambda df: {tuple(x)[:-1]: x[-1] for x in df.collect()}
+    long = lambda df: cells(df.select("episode_index", "bin", "dim", "z"))
+    got, want = long(divergence.long_scores(v)), long(divergence.scored_bins(b, st))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    each = lambda df: cells(df.select("episode_index", "bin", "divergence"))
+    got, want = each(divergence.vector_divergence(v)), each(divergence.frame_divergence(divergence.scored_bins(b, st)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
