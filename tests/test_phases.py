@@ -234,3 +234,13 @@ def test_first_episodes_of_each_scope(spark):
     only = scope_episodes(lengths, ("dataset",), 2)
     assert sorted((r.dataset_id, r.task_index, r.episode_index) for r in scoped(lengths, only).collect()) == [("d", -1, 0), ("d", -1, 1), ("e", -1, 3)]
     assert scope_episodes(lengths.filter("false"), ("dataset",), 2).count() == 0
+
+
+def test_duration_reasons_of_the_queries_are_those_of_gripper_phases(spark):
+    """The operator also flags phases cut at velocity minima; the SQL of the reasons has gripper phases only."""
+    from motionlake.plans import phase_queries
+    row = lambda signal, phase: ("d", 0, 1, signal, phase)
+    rows = [row("duration", "Motion3"), row("duration", "Pause1"), row("duration", "Place"), row("envelope", "Motion1"), row("shape", None), row("cycle_count", None)]
+    df = spark.createDataFrame(rows, "dataset_id string, task_index long, episode_index long, signal string, phase string")
+    kept = {(r.signal, r.phase) for r in phase_queries.of_gripper_phases(df).collect()}
+    assert kept == {("duration", "Place"), ("envelope", "Motion1"), ("shape", None), ("cycle_count", None)}
