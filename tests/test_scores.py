@@ -171,3 +171,9 @@ def test_scored_vectors_equal_scored_bins(spark):
     each = lambda df: cells(df.select("episode_index", "bin", "divergence"))
     got, want = each(divergence.vector_divergence(v)), each(divergence.frame_divergence(divergence.scored_bins(b, st)))
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_scores_equal_to_six_digits_go_to_the_first_frame(spark):
+    rows = [("ds0", 0, 1, 10, "high_jerk", "warning", 0.7000001, "a", 4), ("ds0", 0, 1, 11, "high_jerk", "warning", 0.7000002, "b", 4)]
+    df = spark.createDataFrame(rows, "dataset_id string, task_index long, episode_index long, frame long, event_type string, severity string, score double, description string, ordinal int")
+    assert [r.frame for r in events.dedupe_anchor(df).collect()] == [10]
