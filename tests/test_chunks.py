@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from motionlake.functions.vectors import one_decimal, pct
 from motionlake.operators import chunks
 from motionlake.schema import EP
+from motionlake.sources import driver_tables
 from tests import twins
 
 SCHEMA = "dataset_id string, task_index long, episode_index long, frame_index long, x double"
@@ -169,3 +170,37 @@ def test_order_stats_of_small_and_large_keys(spark):
         assert rows[g].n == len(v)
         for p in (5, 50, 90):
             assert rows[g][f"p{p}"] == pytest.approx(np.percentile(v, p), abs=1e-12)
+
+
+def test_column_stats_of_small_and_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "IN_ROW", 50)
+    rng = np.random.default_rng(8)
+    rows = [(key, float(x), None if i % 7 == 0 else float(y)) for key, n in ((1, 1), (2, 40), (3, 400)) for i, (x, y) in enumerate(rng.normal(size=(n, 2)))]
+    df = spark.createDataFrame(rows, "key long, x double, y double")
+    got = chunks.column_stats(df, ["key"], {"x90": ("x", pct(90)), "y20": ("y", pct(20))}, n=F.count(F.lit(1)), mean=F.avg("x")).collect()
+    assert {r.key for r in got} == {1, 2, 3}
+    for r in got:
+        x, y = [a for k, a, _ in rows if k == r.key], [b for k, _, b in rows if k == r.key and b is not None]
+        assert r.n == len(x) and abs(r.mean - np.mean(x)) < 1e-9 and abs(r.x90 - np.percentile(x, 90)) < 1e-9
+        assert r.y20 is None if not y else abs(r.y20 - np.percentile(y, 20)) < 1e-9
+
+
+def test_greedy_gap_needs_no_maps_in_first_chunks(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "entry_states", lambda *a, **k: pytest.fail("maps of keys of one chunk"))
+    df = spark.createDataFrame([("d", 0, e, f) for e in (1, 2) for f in range(0, 60, e)], "dataset_id string, task_index long, episode_index long, frame_index long")
+    assert chunks.greedy_min_gap(df, 10).count() == 12
+
+
+def test_crowded_users_are_cut_by_time_and_others_are_not(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(driver_tables, "CHUNK", 20)
+    seen = []
+    plain = driver_tables.scan
+    monkeypatch.setattr(driver_tables, "scan", lambda df, keys, chunk, *a, **k: seen.append(df.select("user_id", chunk.alias("c")).distinct().groupBy("user_id").count()) or plain(df, keys, chunk, *a, **k))
+    spark.sql("""select id event_id, timestamp_seconds(id * 5000 + id % 3) ts, if(id < 60, 1L, id % 4 + 2) user_id, 'x' event_type, id / 7.0D value, concat('{"k": ', id, '}') props
+        from range(120)""").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.episode_index, r.frame_index): r.ts for r in driver_tables.event_frames(spark, str(tmp_path)).collect()}
+    parts = {r.user_id: r["count"] for r in seen[0].collect()}
+    assert parts[1] > 1 and all(parts[u] == 1 for u in (2, 3, 4, 5))
+    for user in range(1, 6):
+        times = sorted(i * 5000 + i % 3 for i in range(120) if (1 if i < 60 else i % 4 + 2) == user)
+        assert [got[user, f] for f in range(len(times))] == [float(t - times[0]) for t in times]
