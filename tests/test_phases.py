@@ -168,6 +168,23 @@ def test_linkage_equals_plain_ward(spark, n, bound):
         assert groups == want and within[0] == pytest.approx(total, rel=1e-6) and within[1] == pytest.approx(4 * total, rel=1e-6)
 
 
+def test_nearest_clusters_come_from_bounded_cells(spark):
+    """In ten dimensions a cell of space that holds the nearest holds the whole set; a cell of the table of distances does not."""
+    rng = np.random.default_rng(8)
+    c, n, ids = rng.normal(size=(90, 10)).round(9), rng.integers(1, 5, 90), rng.permutation(90)
+    c[7] = c[11]
+    gap = clusters.ward(n.astype(float), c, n.astype(float), c)
+    np.fill_diagonal(gap, np.inf)
+    want = {int(ids[i]): min((float(gap[i, j]), int(ids[j])) for j in range(90)) for i in range(90)}
+    rows = [("d", 0, 0, int(ids[i]), int(n[i]), [float(v) for v in c[i]], None) for i in range(90)]
+    held = spark.createDataFrame(rows, "dataset_id string, task_index long, set int, id long, n long, c array<double>, other long")
+    sizes = spark.createDataFrame([("d", 0, 0, 90, 90)], "dataset_id string, task_index long, set int, _many long, _asks long")
+    got = {r.id: (r.gap, r.other) for r in clusters.nearest(held, sizes, 40).collect()}
+    assert got == want
+    near, whose = clusters.nearest_in(n.astype(float), c, ids, n.astype(float), c, ids)
+    assert {int(i): (float(g), int(o)) for i, g, o in zip(ids, near, whose)} == want
+
+
 def test_few_different_vectors_are_one_cluster(spark):
     rows = clusters.variance_clusters(feature_frame(spark, np.ones((6, 10)))).collect()
     assert {(r.cluster, r.size, r.episode_index) for r in rows} == {("C1", 6, i) for i in range(6)}
