@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,6 +372,24 @@ def test_suffix_of_repeated_rows_and_null_ids(spark, block):
     assert got == sorted(((i, *w) for (i, _), w in zip([x for x in texts for _ in range(3)], want)), key=str)
 
 
+def test_suffix_hands_python_few_texts_at_a_time(spark, monkeypatch):
+    name, sizes, anchors = "spark.sql.execution.arrow.maxRecordsPerBatch", [], suffix.anchors
+    before = spark.conf.get(name)
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    def watched(texts, *rest):
+        sizes.extend(r.n for r in texts.coalesce(1).mapInArrow(count, "n bigint").collect())
+        return anchors(texts, *rest)
+
+    monkeypatch.setattr(suffix, "anchors", watched)
+    out = suffix.dedup(table(spark, [(i, f"text {i}", "a") for i in range(1200)]))
+    assert out.count() == 1200 and sum(sizes) == 1200 and max(sizes) <= common.BATCH
+    assert spark.conf.get(name) == before
+
+
 def test_suffix_cuts_copies_once(spark):
     rng, made = random.Random(28), []
     text = "".join(rng.choice("abcdefgh ") for _ in range(900))
