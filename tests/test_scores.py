@@ -138,6 +138,28 @@ def test_start_distance_over_many_blocks(spark):
     assert got["a"].n == 150 and got["a"].mean_distance == pytest.approx(np.mean(d)) and got["b"].mean_distance is None
 
 
+def test_blocks_grow_with_their_key(spark):
+    df = spark.range(3000).selectExpr("'a' as k", "id", "array(cast(id as double)) as vec")
+    size, cells = scores.block_cells(df, ["k"], 32)
+    assert size.first()._nb <= scores.BLOCKS and cells.count() == 3000 * size.first()._nb
+    got = scores.starting_distance(df, ["k"], block=32).first()
+    assert got.n == 3000 and got.mean_distance == pytest.approx(3001 / 3, rel=1e-12)
+
+
+def test_close_far_and_infinite_vectors_keep_their_distances():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(40, 5)) + 1e6
+    a[10:20] = a[:10]
+    a[20:30] = a[:10] + 1e-7
+    b = np.concatenate([a[:7], rng.normal(size=(9, 5)) * 1e200, np.full((1, 5), np.inf)])
+    plain = lambda x, y: np.sqrt(((x - y) ** 2).sum())
+    with np.errstate(all="ignore"):
+        assert scores.distance_sum(a, step=100) == pytest.approx(sum(plain(a[i], a[j]) for i in range(40) for j in range(i)), rel=1e-9)
+        assert scores.distance_sum(a[:20], a[20:]) == pytest.approx(sum(plain(x, y) for x in a[:20] for y in a[20:]), rel=1e-9)
+        assert scores.distance_sum(a, b[:7]) == pytest.approx(sum(plain(x, y) for x in a for y in b[:7]), rel=1e-9)
+        assert scores.distance_sum(a, b) == np.inf and scores.distance_sum(a[:0], a) == 0
+
+
 def test_row_order_does_not_matter(frames):
     a = by_episode(scores.action_consistency(frames), "action_consistency")
     b = by_episode(scores.action_consistency(frames.orderBy(F.rand(3))), "action_consistency")
