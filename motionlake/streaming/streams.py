@@ -4,6 +4,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,40 +34,47 @@ def episode_summaries(frames: DataFrame, idle: str = "30 seconds", late: str = "
     return g.drop("s")
 
 
+#: Rows of a key in one element of its state.
+PACK = 10_000
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
 class InEventTime(StatefulProcessor):
     """Hold the rows of a key until the watermark passes them, then judge them in event-time order.
 
-    State: the rows that wait, and what ``judge`` carries from row to row. A timer at the newest
-    time of each batch lets that batch go; rows that came late but within the watermark are sorted in by then.
+    State: the rows that wait, packed PACK at most to an Arrow batch, and what ``judge`` carries from row to row. A
+    timer at the newest time of each batch lets that batch go; rows that came late but within the watermark are sorted in by then.
     After a gap of more than ``idle_ms`` of event time a key starts anew, and its state is dropped as soon as the
     watermark shows such a gap.
     """
 
     def __init__(self, schema: str, times: str, order: list[str], carried: str, judge: Callable, idle_ms: int):
-        self.schema, self.times, self.order = schema, times, order
-        self.columns = [c.split()[0] for c in schema.split(", ")]
+        self.schema = pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+        self.times, self.order = times, [(c, "ascending") for c in order]
         self.carried, self.judge, self.idle_ms = carried, judge, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.last = handle.getValueState("last", f"{self.carried}, newest_ms bigint")
 
-    def _cells(self, rows: pd.DataFrame) -> list[tuple]:
-        rows = rows[self.columns].astype(object)
-        plain = lambda x: x.tolist() if isinstance(x, np.ndarray) else x
-        return [tuple(map(plain, r)) for r in rows.where(rows.notna(), None).itertuples(index=False, name=None)]
+    def _packed(self, rows: pa.Table) -> list[tuple]:
+        return [(b.serialize().to_pybytes(),) for b in rows.combine_chunks().to_batches(max_chunksize=PACK)]
+
+    def _unpacked(self) -> pa.Table:
+        return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(rows)), self.schema) for (rows,) in self.waiting.get()], self.schema)
 
-    def _ms(self, rows: pd.DataFrame) -> pd.Series:
+    def _ms(self, times: np.ndarray) -> np.ndarray:
         """Event times, rounded up, so a row never counts as passed before the watermark is there."""
-        return -(-rows[self.times] // 1000000)
+        return -(-times // 1000000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest = None
         for batch in rows:
             if len(batch):
-                self.waiting.appendList(self._cells(batch))
-                top = int(self._ms(batch).max())
+                table = pa.Table.from_pandas(batch, self.schema, preserve_index=False)
+                self.waiting.appendList(self._packed(table))
+                top = int(self._ms(table[self.times].to_numpy()).max())
                 newest = top if newest is None else max(newest, top)
         if newest is not None:
             # a time that has passed already is due with the next watermark
@@ -75,27 +83,28 @@ class InEventTime(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns)
-        old = self.last.get() if self.last.exists() else None
+        held = self._unpacked().sort_by(self.order)
+        old = self.last.get()
         carried, newest = (tuple(old)[:-1], old[-1]) if old is not None else (None, None)
         if len(held):
-            due = self._ms(held) <= mark
-            ready, rest = held[due].sort_values(self.order, kind="stable"), held[~due]
-            if len(ready):
-                times = self._ms(ready).to_numpy()
+            every = self._ms(held[self.times].to_numpy())
+            # rows are in order of time, so those that are due come first
+            n_due = int(np.searchsorted(every, mark, "right"))
+            rest = held.slice(n_due)
+            if n_due:
+                times, ready = every[:n_due], held.slice(0, n_due).to_pandas(integer_object_nulls=True)
                 before = np.concatenate(([times[0] if newest is None else newest], times[:-1]))
                 anew = np.flatnonzero(times - before > self.idle_ms)
-                for part in np.split(np.arange(len(ready)), anew):
-                    if not len(part):
-                        continue
-                    if part[0] in anew:
+                edges = np.unique(np.concatenate(([0], anew, [n_due])))
+                for a, z in zip(edges, edges[1:]):
+                    if a in anew:
                         carried = None
-                    found, carried = self.judge(ready.iloc[part].reset_index(drop=True), carried)
+                    found, carried = self.judge(ready if z - a == n_due else ready.iloc[a:z].reset_index(drop=True), carried)
                     if len(found):
                         yield found
                 newest = int(times[-1])
                 if len(rest):
-                    self.waiting.put(self._cells(rest))
+                    self.waiting.put(self._packed(rest))
                 else:
                     self.waiting.clear()
             if len(rest):
@@ -103,7 +112,8 @@ class InEventTime(StatefulProcessor):
                     self.last.update((*carried, newest))
                 return
         if newest is not None and mark - newest >= self.idle_ms:
-            self.last.clear()
+            if old is not None:
+                self.last.clear()
         elif newest is not None:
             self.last.update((*carried, newest))
             self.handle.registerTimer(newest + self.idle_ms + 1)
@@ -121,8 +131,10 @@ def _sign_changes(rows: pd.DataFrame, carried: tuple | None):
     g = rows["grip"].to_numpy(dtype=float)
     before = np.concatenate(([np.nan if carried is None else carried[0]], g[:-1]))
     hit = before * g < 0
-    out = rows.loc[hit, EP].assign(frame=rows.loc[hit, "frame_index"], kind=np.where(g[hit] < 0, "close", "open"))
-    return out, (float(g[-1]),)
+    if not hit.any():
+        return (), (float(g[-1]),)
+    cells = {c: rows[c].to_numpy()[hit] for c in (*EP, "frame_index")}
+    return pd.DataFrame(cells | {"kind": np.where(g[hit] < 0, "close", "open")}).rename(columns={"frame_index": "frame"}), (float(g[-1]),)
 
 
 def gripper_events(frames: DataFrame, late: str = "10 seconds", idle: str = "1 hour") -> DataFrame:

@@ -115,6 +115,14 @@ def test_an_idle_episode_leaves_no_state(spark, tmp_path):
     assert {f for e, f in got if f >= 100} == {101} and any(f < 100 for _, f in got)
 
 
+def test_waiting_rows_of_a_batch_are_one_element_of_state(spark, tmp_path):
+    stream = streams.gripper_events(drops(spark, str(tmp_path), [frame_rows(random_episodes([30, 40], seed=6))], streams.FRAME_STREAM), "1 hour")
+    (stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+     .trigger(availableNow=True).start().awaitTermination())
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/state")
+    assert held.count() == 2
+
+
 def test_a_repeated_batch_of_task_quality_changes_nothing(spark, tmp_path):
     import os
     f = frames_of(spark, cohort(5))
