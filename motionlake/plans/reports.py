@@ -12,13 +12,19 @@ from motionlake.schema import EP
 
 
 def analyze_tasks(frames: DataFrame, cohort_size: int = None, scopes=("task",)) -> dict:
-    """Phases, features, reasons and clusters of every task.
+    """``analyze_phases`` with the clusters of every task (members). Runs jobs."""
+    found = analyze_phases(frames, cohort_size, scopes)
+    return {**found, "members": materialise(clusters.variance_clusters(found["features"]))}
+
+
+def analyze_phases(frames: DataFrame, cohort_size: int = None, scopes=("task",)) -> dict:
+    """Phases, features and reasons of every task.
 
     ``scopes``: "task" compares an episode with its task, "dataset" with all episodes of its dataset
     (``task_index`` is then ``ALL_TASKS``); both may be named and share one pass over the frames.
     ``cohort_size`` keeps the first n episodes of a scope; without it every episode counts.
     Returns tables by name, one row per scope for what depends on it (phases, cycles, features,
-    reasons, members); shared intermediates are written once. Runs jobs.
+    reasons); shared intermediates are written once. Runs jobs.
     """
     lengths = episode_lengths(frames)
     episodes = materialise(scope_episodes(lengths, scopes, cohort_size))
@@ -36,7 +42,7 @@ def analyze_tasks(frames: DataFrame, cohort_size: int = None, scopes=("task",))
                .unionByName(phases.cycle_count_flags(cycles)).unionByName(outliers.shape_outlier_flags(features)))
     return {
         "raw_ranges": raw, "ranges": ranges, "phases": found, "cycles": cycles, "features": features,
-        "reasons": materialise(reasons), "members": materialise(clusters.variance_clusters(features)),
+        "reasons": materialise(reasons),
     }
 
 

@@ -185,6 +185,16 @@ def test_nearest_clusters_come_from_bounded_cells(spark):
     assert {int(i): (float(g), int(o)) for i, g, o in zip(ids, near, whose)} == want
 
 
+def test_reasons_of_all_scopes_do_not_wait_for_clusters(spark, monkeypatch):
+    import motionlake.plans.phase_queries  # noqa: F401  (fills the registry)
+    from motionlake.plans.registry import QUERIES
+    from motionlake.sources import driver_tables
+
+    monkeypatch.setattr(driver_tables, "_INGESTED", {})
+    monkeypatch.setattr(clusters, "variance_clusters", lambda *a, **k: pytest.fail("clusters were built"))
+    QUERIES["anomaly_reasons_all"](spark, "/root/testdata/sf0.001").collect()
+
+
 def test_few_different_vectors_are_one_cluster(spark):
     rows = clusters.variance_clusters(feature_frame(spark, np.ones((6, 10)))).collect()
     assert {(r.cluster, r.size, r.episode_index) for r in rows} == {("C1", 6, i) for i in range(6)}
@@ -255,7 +265,8 @@ def test_first_episodes_of_each_scope(spark):
 
 def test_duration_reasons_of_the_queries_are_those_of_gripper_phases(spark):
     """The operator also flags phases cut at velocity minima; the SQL of the reasons has gripper phases only."""
-    from motionlake.plans import phase_queries
+    import motionlake.plans.phase_queries  # noqa: F401  (fills the registry)
+    from motionlake.plans.registry import QUERIES
     row = lambda signal, phase: ("d", 0, 1, signal, phase)
     rows = [row("duration", "Motion3"), row("duration", "Pause1"), row("duration", "Place"), row("envelope", "Motion1"), row("shape", None), row("cycle_count", None)]
     df = spark.createDataFrame(rows, "dataset_id string, task_index long, episode_index long, signal string, phase string")
