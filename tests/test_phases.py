@@ -185,6 +185,30 @@ def test_nearest_clusters_come_from_bounded_cells(spark):
     assert {int(i): (float(g), int(o)) for i, g, o in zip(ids, near, whose)} == want
 
 
+@pytest.mark.parametrize("kind", ["plain", "outliers", "sizes", "ties"])
+def test_large_sets_are_finished_without_their_matrix(kind, monkeypatch):
+    """Sets of any kind have one tree, whether their gaps are in one matrix or clusters ask boxes of others for the nearest."""
+    rng = np.random.default_rng(12)
+    c, n = rng.uniform(-3, 3, (900, 10)).round(9), np.ones(900, int)
+    if kind == "outliers":
+        c[::50] *= 100
+        c[0] = 1e4
+    if kind == "sizes":
+        n = rng.integers(1, 9, 900)
+    if kind == "ties":
+        c = np.unique(np.column_stack([rng.integers(0, 9, (900, 3)), np.zeros((900, 7))]), axis=0)
+        n = np.ones(len(c), int)
+    ids = rng.permutation(len(c)) * 3 + 1
+    monkeypatch.setattr(clusters, "IN_MATRIX", 10**6)
+    want = clusters.merge_sequence(ids, n, c)
+    asked, ward = [], clusters.ward
+    monkeypatch.setattr(clusters, "ward", lambda n, c, m, d: asked.append(len(n) * len(m)) or ward(n, c, m, d))
+    monkeypatch.setattr(clusters, "IN_MATRIX", 40)
+    monkeypatch.setattr(clusters, "TILE", 64)
+    assert clusters.merge_sequence(ids, n, c) == want
+    assert max(asked) <= 40 * 40
+
+
 def test_reasons_of_all_scopes_do_not_wait_for_clusters(spark, monkeypatch):
     import motionlake.plans.phase_queries  # noqa: F401  (fills the registry)
     from motionlake.plans.registry import QUERIES
